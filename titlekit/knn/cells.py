@@ -67,12 +67,16 @@ def router(tree: PivotTree, tau: float, side: str):
     return cells_of
 
 
-def to_matrix(sample: DataFrame) -> np.ndarray:
-    """Collect a bounded sample of ``features``; refused if it would not fit the driver comfortably."""
-    table = sample.select("features").toArrow()
+def drawn_points(sample: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and vectors of a bounded sample ``(tid, cell_id, features)`` in an order drawn by ``seed``.
+
+    Refused if the sample would not fit the driver comfortably.
+    """
+    table = sample.select(unit_hash(seed, "tid").alias("drawn"), "tid", "cell_id", "features").toArrow()
     if table.nbytes > SAMPLE_BYTES:
         raise ValueError("the sample for the pivot tree is too large; lower top_tree_size")
-    return block(table["features"])
+    table = table.sort_by([("drawn", "ascending"), ("tid", "ascending")])
+    return table["cell_id"].to_numpy(), block(table["features"])
 
 
 def vector_rows(df: DataFrame, id_col: str, features_col: str, aux: tuple[str, ...], id_out: str) -> DataFrame:
@@ -99,10 +103,10 @@ def block_rows(dimensions: int) -> int:
 
 def _grown_tree(rows: DataFrame, total: int, top_tree_size: int, leaf_size: int, seed: int, tau: float, balance: float):
     tree = PivotTree()
-    sample = to_matrix(sample_rows(rows, "tid", top_tree_size, seed, total))
-    if len(sample) == 0:
-        sample = to_matrix(rows.limit(1))
-    tree.grow(sample, leaf_size, np.random.default_rng(seed), tau, balance)
+    _, points = drawn_points(sample_rows(rows, "tid", top_tree_size, seed, total).withColumn("cell_id", F.lit(0)), seed)
+    if not len(points):
+        _, points = drawn_points(rows.limit(1).withColumn("cell_id", F.lit(0)), seed)
+    tree.grow(points, leaf_size, tau, balance)
     return tree
 
 
@@ -129,19 +133,11 @@ def _split_crowded(tree: PivotTree, assigned: DataFrame, stats: list, max_cell_r
     share = SPLIT_POINTS // len(crowded)
     wanted = {c: min(n, share, leaf_size * (2 + 2 * n // max_cell_rows)) for c, n in crowded.items()}
     fraction = F.create_map(*[F.lit(x) for c, n in crowded.items() for x in (c, wanted[c] / n)])
-    drawn = (
-        assigned.where(F.col("cell_id").isin(list(crowded)))
-        .where(unit_hash(seed, F.lit("cell"), "tid") < fraction[F.col("cell_id")])
-        .select("cell_id", "features").toArrow()
+    drawn = assigned.where(F.col("cell_id").isin(list(crowded))).where(
+        unit_hash(seed, F.lit("cell"), "tid") < fraction[F.col("cell_id")]
     )
-    if drawn.nbytes > SAMPLE_BYTES:
-        raise ValueError("the sample for the pivot tree is too large; lower top_tree_size")
-    rng = np.random.default_rng(seed)
-    owner = drawn["cell_id"].to_numpy()
-    points = block(drawn["features"])
-    return any([
-        tree.split_cell(c, points[owner == c], leaf_size, rng) for c in sorted(crowded) if (owner == c).sum() > leaf_size
-    ])
+    owner, points = drawn_points(drawn, seed)
+    return any([tree.split_cell(c, points[owner == c], leaf_size) for c in sorted(crowded) if (owner == c).sum() > leaf_size])
 
 
 def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "features", aux: tuple[str, ...] = (), *,

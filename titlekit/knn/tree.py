@@ -31,16 +31,15 @@ class PivotTree:
         self.centres.append((points.min(axis=0) + points.max(axis=0)) / 2.0)
         return -len(self.centres)
 
-    def grow(self, points: np.ndarray, leaf_size: int, rng, tau: float = 0.0, balance: float = 0.0) -> int:
-        """Split ``points`` until ``leaf_size`` is reached; returns the child number of the subtree.
+    def grow(self, points: np.ndarray, leaf_size: int, tau: float = 0.0, balance: float = 0.0) -> int:
+        """Split ``points``, given in random order, until ``leaf_size`` is reached; returns the subtree's child number.
 
         A node overlaps (both children keep the points within ``tau`` of its boundary) only where neither child then
         has more than ``balance`` of the points.
         """
         if len(points) <= leaf_size:
             return self._new_cell(points)
-        start = points[rng.integers(len(points))]
-        away = squared_to(points, start)
+        away = squared_to(points, points[0])
         left = points[away.argmax()]
         if away.max() == 0.0:
             return self._new_cell(points)
@@ -59,15 +58,15 @@ class PivotTree:
                 self.overlapping[node] = True
                 in_left, in_right = wide_left, wide_right
         self.children[node] = (
-            self.grow(points[in_left], leaf_size, rng, tau, balance),
-            self.grow(points[in_right], leaf_size, rng, tau, balance),
+            self.grow(points[in_left], leaf_size, tau, balance),
+            self.grow(points[in_right], leaf_size, tau, balance),
         )
         return node
 
-    def split_cell(self, cell: int, points: np.ndarray, leaf_size: int, rng) -> bool:
+    def split_cell(self, cell: int, points: np.ndarray, leaf_size: int) -> bool:
         """Grow a subtree in place of a cell; False if its points cannot be told apart."""
         before = self.cells
-        subtree = self.grow(points, leaf_size, rng)
+        subtree = self.grow(points, leaf_size)
         if subtree < 0:
             del self.centres[before:]
             return False

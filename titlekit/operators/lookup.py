@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+SALTS = 8
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -22,7 +22,7 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "inner
     """Join ``big`` with ``dim`` (unique on ``on``): broadcast if measured small, otherwise a salted shuffle join.
 
     Salting spreads the rows of a hot key of ``big`` over ``salts`` partitions and repeats each lookup row once per
-    salt, so one frequent word cannot fill a task. ``small`` skips the measuring where the caller already knows.
+    salt, so one frequent word cannot fill a task; what is still uneven is split by adaptive execution. ``small`` skips the measuring where the caller already knows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do {how}")

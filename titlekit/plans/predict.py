@@ -10,13 +10,14 @@ from titlekit.functions.lists import minimal_terms, priority_merge
 from titlekit.functions.text import PREDICT_MIN_LEN, title_tokens, with_ngrams
 from titlekit.operators.brands import title_brands
 from titlekit.operators.gazetteer import checked_prediction, known_terms
-from titlekit.operators.lookup import SALTS
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, title_words
 from titlekit.operators.vocabulary import index_to_term
 from titlekit.session import materialise
 from titlekit.sources.attributes import read_brands, read_model, read_terms
 from titlekit.sources.titles import read_unlabelled, write_results
 
+REPEAT_ROWS = 100_000
+
 
 def title_features(titles: DataFrame, min_len: int = PREDICT_MIN_LEN) -> DataFrame:
     """Add ``tokens``: words, 2-grams and 3-grams of ``product_name``."""
@@ -71,18 +72,19 @@ def predict_titles(titles: DataFrame, model: PipelineModel | None, terms: DataFr
                    lexicon: DataFrame | None = None, **options) -> DataFrame:
     """``product_name, core_terms, brands`` for rows without a key.
 
-    Equal titles have equal results, so each different title is predicted once; the results are joined back with a
-    salted key, so a title that fills a third of the table is spread over many tasks.
+    Equal titles have equal results, so each different title is predicted once and its result repeated as often as the
+    title occurs. Repeats are made in pieces of bounded size that are spread over the tasks, so a title that fills a
+    third of the table does not fall to one of them.
     """
-    named = titles.select("product_name")
-    distinct = named.where("product_name is not null").distinct()
-    keyed = distinct.withColumn("title_key", F.col("product_name"))
+    counts = titles.groupBy("product_name").agg(F.count(F.lit(1)).alias("_times"))
+    keyed = counts.where("product_name is not null").select("product_name", F.col("product_name").alias("title_key"))
     results = predict(keyed, "title_key", model, terms, brands, lexicon, **options).drop("title_key")
-    salted = named.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    copies = results.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(copies, ["product_name", "_salt"], "left")
+    joined = counts.join(results, "product_name", "left")
+    pieces = joined.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / REPEAT_ROWS).cast("int"))))
+    spread = pieces.repartition("product_name", "_piece")
+    rows = F.least(F.lit(REPEAT_ROWS), F.col("_times") - F.col("_piece") * F.lit(REPEAT_ROWS)).cast("int")
     none = F.array().cast("array<string>")
-    return joined.select(
+    return spread.withColumn("_row", F.explode(F.sequence(F.lit(1), rows))).select(
         "product_name", F.coalesce("core_terms", none).alias("core_terms"), F.coalesce("brands", none).alias("brands")
     )
 
