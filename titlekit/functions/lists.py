@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from titlekit.functions.binding import bound
+
 # Blanks and control characters, which are cut from both ends of a list item.
 EDGE_CHARACTERS = "".join(chr(i) for i in range(0x21))
 
@@ -28,7 +30,7 @@ def explode_keeping_null(items) -> Column:
 def without_words(tokens, words) -> Column:
     """Tokens that are not in ``words``, order and repeats kept (ARR5)."""
     words = F.coalesce(_column(words), F.array().cast("array<string>"))
-    return F.filter(_column(tokens), lambda t: ~F.array_contains(words, t))
+    return bound(lambda ts, ws: F.filter(ts, lambda t: ~F.array_contains(ws, t)), _column(tokens), words)
 
 
 def shared_items(tokens, terms) -> Column:
@@ -50,15 +52,18 @@ def minimal_terms(terms, whole_words: bool = False) -> Column:
     Quadratic in the list's own length, which is small for titles. For lists from long texts use
     ``operators.containment.minimal_terms_of``, which gives the same terms by an equi-join.
     """
-    terms = _column(terms)
-    return F.filter(terms, lambda x: ~F.exists(terms, lambda y: (x != y) & holds(x, y, whole_words)))
+    def shortest(ts: Column) -> Column:
+        return F.filter(ts, lambda x: ~F.exists(ts, lambda y: (x != y) & holds(x, y, whole_words)))
+
+    return bound(shortest, terms)
 
 
 def priority_merge(first, second, whole_words: bool = False) -> Column:
     """``first``, then the items of ``second`` that hold no item of ``first`` (ARR10)."""
-    first, second = _column(first), _column(second)
-    extra = F.filter(second, lambda t: ~F.exists(first, lambda x: holds(t, x, whole_words)))
-    return F.concat(first, extra)
+    def merged(t1: Column, t2: Column) -> Column:
+        return F.concat(t1, F.filter(t2, lambda t: ~F.exists(t1, lambda x: holds(t, x, whole_words))))
+
+    return bound(merged, first, second)
 
 
 def list_text(items) -> Column:

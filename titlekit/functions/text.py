@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from titlekit.functions.binding import bound
+
 TRAIN_MIN_LEN = 2
 PREDICT_MIN_LEN = 3
 
@@ -31,7 +33,10 @@ def title_tokens(text, min_len: int = TRAIN_MIN_LEN, unicode: bool = False) -> C
 
 def ngrams(tokens, n: int) -> Column:
     """Blank-joined runs of ``n`` neighbouring tokens, empty for fewer than ``n`` tokens (TXT3)."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    return bound(lambda t: _runs(t, n), tokens)
+
+
+def _runs(tokens: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, runs).otherwise(_no_strings())
@@ -39,8 +44,7 @@ def ngrams(tokens, n: int) -> Column:
 
 def with_ngrams(tokens) -> Column:
     """Tokens, then 2-grams, then 3-grams (ARR6)."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.concat(tokens, ngrams(tokens, 2), ngrams(tokens, 3))
+    return bound(lambda t: F.concat(t, _runs(t, 2), _runs(t, 3)), tokens)
 
 
 def clean_text(text) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,7 +27,7 @@ def _nearest_spacing(table: pa.Table) -> pa.Table:
     return pa.table({
         "sample": pa.array([table["sample"][0].as_py()], pa.int32()),
         "n": pa.array([len(points)], pa.int64()),
-        "spacing": pa.array([float(np.mean(nearest)) if nearest else None], pa.float64()),
+        "spacing": pa.array([math.fsum(nearest) / len(nearest) if nearest else None], pa.float64()),
     })
 
 
@@ -34,7 +35,7 @@ def sample_spacing(points: DataFrame, id_col: str = "tid", features_col: str = "
                    sizes: Sequence[int] = SAMPLE_SIZES, seed: int = 0) -> DataFrame:
     """``sample, n, spacing``: mean distance to the nearest different point within samples of several sizes.
 
-    One sample is one group; its expected size is given by ``sizes`` and does not grow with the data.
+    The mean does not depend on the order of the rows, so equal samples have equal spacing. One sample is one group; its expected size is given by ``sizes`` and does not grow with the data.
     """
     vectors = points.select(F.col(id_col), as_doubles(points, features_col).alias("features")).where("features is not null")
     samples = size_samples(vectors, id_col, sizes, seed)

@@ -23,8 +23,11 @@ def normalised_rows(labelled: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def training_features(labelled: DataFrame, min_len: int = TRAIN_MIN_LEN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row ``tokens, target, brands, stop_words`` per title and target; a row's own stop words are removed."""
-    rows = normalised_rows(labelled, keep)
+    """One row ``tokens, target, brands, stop_words`` per title and target; a row's own stop words are removed.
+
+    ``keep`` names further columns of ``labelled`` to carry, or ``title``.
+    """
+    rows = normalised_rows(labelled, tuple(c for c in keep if c != "title"))
     tokens = without_words(title_tokens(F.col("title"), min_len), "stop_words")
     return rows.select(
         *keep, tokens.alias("tokens"), explode_keeping_null("targets").alias("target"), "brands", "stop_words"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from titlekit.operators.brands import brand_pairs
 from titlekit.operators.training import training_features
@@ -26,8 +25,7 @@ class Trained:
 def train(labelled: DataFrame, folds: int = 10, metric: str = "f1", num_trees: int = 8, min_len: int = 2,
           seed: int = 0, **stages) -> Trained:
     """Learn the term classifier, the (term, brand) pairs and the term vocabulary."""
-    keyed = labelled.withColumn("title", F.col("product_name"))
-    features = materialise(training_features(keyed, min_len, keep=("title",)).where("target is not null"))
+    features = materialise(training_features(labelled, min_len, keep=("title",)).where("target is not null"))
     model = train_term_model(features, folds, metric, num_trees, "title", seed, **stages)
     return Trained(model, brand_pairs(features), term_vocabulary(features))
 

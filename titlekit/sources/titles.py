@@ -11,6 +11,9 @@ from titlekit.functions.lists import list_text
 LABELLED = ("product_name", "core_terms", "brand", "stop_words")
 UNLABELLED = ("product_name",)
 
+# Writer options that keep blanks at the ends of a value.
+AS_IS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def read_columns(spark: SparkSession, path, columns: tuple[str, ...], delimiter: str = ",", escape: str = "\\") -> DataFrame:
     """The named columns of CSV files with a header, all as text, wherever they stand in the file.
@@ -40,4 +43,4 @@ def write_results(predicted: DataFrame, path: str) -> None:
     """``product_name, core_terms, brands`` as CSV with a header, lists joined by ``", "`` (SNK4, PRJ5)."""
     predicted.select(
         "product_name", list_text(F.col("core_terms")).alias("core_terms"), list_text(F.col("brands")).alias("brands")
-    ).write.mode("overwrite").option("header", True).csv(path)
+    ).write.mode("overwrite").options(**AS_IS).csv(path)
