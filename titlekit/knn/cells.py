@@ -160,14 +160,13 @@ def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "featur
     if copies is not None:
         rows = without_surplus_copies(rows, copies)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
+    total, dimensions = rows.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
     if not total:
         raise ValueError("no training vectors")
-    dimensions = len(rows.select("features").first()["features"])
     if buffer_size >= 0:
         tau = buffer_size
     elif balance_threshold > 0:
-        tau = estimate_tau(rows, "tid", "features", buffer_size_sample_sizes, seed)
+        tau = estimate_tau(rows, "tid", "features", buffer_size_sample_sizes, seed, total)
     else:
         tau = 0.0
     tree = _grown_tree(rows, total, top_tree_size, top_tree_leaf_size, seed, tau,

@@ -16,6 +16,8 @@ from titlekit.operators.ranking import top_k
 from titlekit.session import materialise
 
 DEFAULT_K = 5
+# Vector pairs that one task compares.
+TASK_PAIRS = 1 << 28
 # Added to a bound so that rounding never rules out a cell; it only costs a visit.
 SLACK = 1e-6
 
@@ -37,16 +39,18 @@ def search_cells(index: CellIndex, routed: DataFrame, k: int, max_distance: floa
     """``qid, tid, distance, aux...``: the best ``k`` of each block that a query visits.
 
     ``routed`` is ``(qid, features, cell_id)``. A task gets one block of training rows and the queries of its cell.
-    Cells with more queries than fit a task are searched as a grid of training blocks times query blocks, so a cell
-    that draws a third of all queries is spread evenly; no task forms more than block-sized data, and only the best
-    ``k`` per query leave it.
+    Cells with more queries than suit one task are searched as a grid of training blocks times query parts, so a cell
+    that draws a third of all queries is spread evenly; a task holds bounded data and compares a bounded number of
+    pairs, and only the best ``k`` per query leave it.
     """
     visits = {r["cell_id"]: r["count"] for r in routed.groupBy("cell_id").count().collect()}
     limit = block_rows(index.dimensions)
-    if len(index.sizes) == 1:
-        parallel = routed.sparkSession.sparkContext.defaultParallelism
-        limit = max(1, min(limit, -(-sum(visits.values()) // parallel)))
-    grid = {c: -(-n // limit) for c, n in visits.items() if n > limit}
+    grid = {}
+    for cell, asked in visits.items():
+        pairs = asked * min(index.sizes.get(cell, 0), limit)
+        parts = max(-(-asked // limit), -(-pairs // TASK_PAIRS))
+        if parts > 1:
+            grid[cell] = parts
     schema = T.StructType([
         T.StructField("qid", routed.schema["qid"].dataType),
         T.StructField("tid", index.rows.schema["tid"].dataType),

@@ -32,13 +32,13 @@ def _nearest_spacing(table: pa.Table) -> pa.Table:
 
 
 def sample_spacing(points: DataFrame, id_col: str = "tid", features_col: str = "features",
-                   sizes: Sequence[int] = SAMPLE_SIZES, seed: int = 0) -> DataFrame:
+                   sizes: Sequence[int] = SAMPLE_SIZES, seed: int = 0, total: int | None = None) -> DataFrame:
     """``sample, n, spacing``: mean distance to the nearest different point within samples of several sizes.
 
     The mean does not depend on the order of the rows, so equal samples have equal spacing. One sample is one group; its expected size is given by ``sizes`` and does not grow with the data.
     """
     vectors = points.select(F.col(id_col), as_doubles(points, features_col).alias("features")).where("features is not null")
-    samples = size_samples(vectors, id_col, sizes, seed)
+    samples = size_samples(vectors, id_col, sizes, seed, total)
     return (
         samples.select("sample", "features").groupBy("sample").applyInArrow(_nearest_spacing, "sample int, n long, spacing double")
     )
@@ -65,6 +65,7 @@ def tau_from_line(line: DataFrame, total: int) -> DataFrame:
 
 
 def estimate_tau(points: DataFrame, id_col: str = "tid", features_col: str = "features",
-                 sizes: Sequence[int] = SAMPLE_SIZES, seed: int = 0) -> float:
-    total = points.count()
-    return float(tau_from_line(spacing_line(sample_spacing(points, id_col, features_col, sizes, seed)), total).first()["tau"])
+                 sizes: Sequence[int] = SAMPLE_SIZES, seed: int = 0, total: int | None = None) -> float:
+    total = points.count() if total is None else total
+    line = spacing_line(sample_spacing(points, id_col, features_col, sizes, seed, total))
+    return float(tau_from_line(line, total).first()["tau"])

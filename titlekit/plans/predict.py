@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from titlekit.functions.lists import minimal_terms, priority_merge
 from titlekit.functions.text import PREDICT_MIN_LEN, title_tokens, with_ngrams
-from titlekit.operators.brands import title_brands
+from titlekit.operators.brands import brands_present, title_brands
 from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, title_words
 from titlekit.operators.vocabulary import index_to_term
-from titlekit.session import materialise
+from titlekit.session import partitioned
 from titlekit.sources.attributes import read_brands, read_model, read_terms
 from titlekit.sources.titles import read_unlabelled, write_results
 
@@ -31,41 +31,50 @@ def scored(titles: DataFrame, model: PipelineModel, id_col: str) -> DataFrame:
 
 def core_terms(titles: DataFrame, id_col: str, terms: DataFrame, lexicon: DataFrame | None,
                whole_words: bool = False) -> DataFrame:
-    """Add ``core_terms`` to rows ``id, product_name, tokens, predicted_term``.
+    """``id, product_name, core_terms`` from rows ``id, product_name, tokens, predicted_term``.
 
     The predicted term or, if the title does not have it, the known terms of the title come first; noun phrases that
     hold none of them follow; of nested terms the shortest remain.
     """
     found = known_terms(titles, id_col, "tokens", terms, out="_gazetteer")
     first = checked_prediction("predicted_term", F.col("tokens"), "_gazetteer")
-    found = found.withColumn("_first", F.coalesce(first, F.col("_gazetteer")))
+    found = found.select(id_col, "product_name", F.coalesce(first, F.col("_gazetteer")).alias("_first"))
+    none = F.array().cast("array<string>")
     if lexicon is None:
-        merged = found.withColumn("_second", F.array().cast("array<string>"))
-    else:
-        tagged = tag_words(title_words(titles, id_col, "product_name"), lexicon)
-        second = phrase_candidates(noun_phrases(tagged, id_col), id_col, "_second")
-        merged = found.join(second, id_col, "left").withColumn("_second", F.coalesce("_second", F.array().cast("array<string>")))
-    merged = merged.withColumn("_merged", priority_merge("_first", "_second", whole_words))
-    return merged.withColumn("core_terms", minimal_terms("_merged", whole_words)).drop("_gazetteer", "_first", "_second", "_merged")
+        return found.select(id_col, "product_name", minimal_terms("_first", whole_words).alias("core_terms"))
+    tagged = tag_words(title_words(titles, id_col, "product_name"), lexicon)
+    second = phrase_candidates(noun_phrases(tagged, id_col), id_col, "_second")
+    merged = found.join(second, id_col, "left").withColumn(
+        "_merged", priority_merge("_first", F.coalesce("_second", none), whole_words)
+    )
+    return merged.select(id_col, "product_name", minimal_terms("_merged", whole_words).alias("core_terms"))
 
 
-def predict(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
-            lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False) -> DataFrame:
-    """``id, product_name, core_terms, brands`` as lists, for rows with a unique ``id``.
+def named_titles(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame,
+                 min_len: int = PREDICT_MIN_LEN) -> DataFrame:
+    """``id, product_name, tokens, predicted_term``, cached and partitioned by ``id``.
 
-    Without a model the known terms of the title stand in for the prediction. Intermediate rows are written down twice,
-    after scoring and after the core terms, because several joins read each of them.
+    Without a model there is no predicted term, and the known terms of the title stand in for it.
     """
     featured = title_features(titles.select(id_col, "product_name"), min_len)
     if model is None:
         named = featured.withColumn("predicted_term", F.lit(None).cast("string"))
     else:
         named = index_to_term(scored(featured, model, id_col), terms, out="predicted_term").drop("prediction")
-    named = materialise(named)
-    with_terms = materialise(core_terms(named, id_col, terms, lexicon, whole_words))
-    return title_brands(with_terms, id_col, "core_terms", "tokens", brands).select(
-        id_col, "product_name", "core_terms", "brands"
-    )
+    return partitioned(named, id_col)
+
+
+def predict_named(named: DataFrame, id_col: str, terms: DataFrame, brands: DataFrame, lexicon: DataFrame | None = None,
+                  whole_words: bool = False) -> DataFrame:
+    """``id, product_name, core_terms, brands`` as lists. All steps by title stay in the partitions of ``named``."""
+    present = brands_present(named, id_col, "tokens", brands)
+    return title_brands(core_terms(named, id_col, terms, lexicon, whole_words), id_col, "core_terms", present, brands)
+
+
+def predict(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
+            lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False) -> DataFrame:
+    """``id, product_name, core_terms, brands`` as lists, for rows with a unique ``id``."""
+    return predict_named(named_titles(titles, id_col, model, terms, min_len), id_col, terms, brands, lexicon, whole_words)
 
 
 def predict_titles(titles: DataFrame, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,

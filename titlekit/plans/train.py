@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from titlekit.operators.brands import brand_pairs
+from titlekit.operators.lookup import lookup_join
 from titlekit.operators.training import training_features
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.plans.model import TermModel, train_term_model
@@ -23,11 +25,20 @@ class Trained:
 
 
 def train(labelled: DataFrame, folds: int = 10, metric: str = "f1", num_trees: int = 8, min_len: int = 2,
-          seed: int = 0, **stages) -> Trained:
-    """Learn the term classifier, the (term, brand) pairs and the term vocabulary."""
+          seed: int = 0, min_term_count: int = 1, **stages) -> Trained:
+    """Learn the term classifier, the (term, brand) pairs and the term vocabulary.
+
+    The cost of the classifier grows with the number of terms. With ``min_term_count`` it learns only terms with that
+    many titles; the tables keep all terms, and prediction still finds the rare ones by looking them up.
+    """
     features = materialise(training_features(labelled, min_len, keep=("title",)).where("target is not null"))
-    model = train_term_model(features, folds, metric, num_trees, "title", seed, **stages)
-    return Trained(model, brand_pairs(features), term_vocabulary(features))
+    terms = materialise(term_vocabulary(features))
+    learned = features
+    if min_term_count > 1:
+        frequent = terms.where(F.col("freq") >= min_term_count).select(F.col("term").alias("target"))
+        learned = materialise(lookup_join(features, frequent, ["target"], "left_semi"))
+    model = train_term_model(learned, folds, metric, num_trees, "title", seed, **stages)
+    return Trained(model, brand_pairs(features), terms)
 
 
 def train_job(spark: SparkSession, input_path, model_path: str, brands_path: str, terms_path: str, **options) -> Trained:

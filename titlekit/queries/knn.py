@@ -218,23 +218,6 @@ def vector_samples(spark, folder):
     return drawn.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("knn9_join6_neighbour_lists", f"""
-WITH {NEIGHBOURS_SQL}
-SELECT id AS qid, coalesce(n.neighbors, '') AS neighbors, coalesce(n.distances, '') AS distances
-FROM v LEFT JOIN (
-  SELECT qid, string_agg(tid::VARCHAR, '|' ORDER BY rank) AS neighbors,
-         string_agg(round(distance * 1000)::BIGINT::VARCHAR, '|' ORDER BY rank) AS distances
-  FROM neighbours WHERE distance <= 1.2 AND rank > 0 AND qid % 2 = 0 GROUP BY qid) n ON n.qid = v.id""")
-def neighbour_lists(spark, folder):
-    rows = asked(spark, folder)
-    found = knn_exact(vectors(spark, folder), rows.where("qid % 2 = 0"), K, max_distance=1.2)
-    out = with_neighbors(rows, found, distance_col="distances")
-    return out.select(
-        "qid", F.array_join(F.transform("neighbors", lambda n: n["tid"].cast("string")), "|").alias("neighbors"),
-        F.array_join(F.transform("distances", lambda d: F.round(d * 1000).cast("long").cast("string")), "|").alias("distances"),
-    )
-
-
 @query("knn9_estimator", f"""
 WITH {NEIGHBOURS_SQL}
 SELECT qid, string_agg(label::INT::VARCHAR, '|' ORDER BY rank) AS labels FROM neighbours GROUP BY qid""")
@@ -319,19 +302,19 @@ def nearest_suppliers(spark, folder):
     return long_form(knn_exact_pruned(index, customers(spark, folder), k=K))
 
 
-@query("knn11_agg12_regressed", SUPPLIER_SQL + " SELECT qid, round(sum(label * weight) / sum(weight), 4) AS prediction FROM neighbours GROUP BY qid")
+@query("knn11_agg12_regressed", SUPPLIER_SQL + " SELECT qid, round(sum(label * weight) / sum(weight), 6) AS prediction FROM neighbours GROUP BY qid")
 def means_of_suppliers(spark, folder):
     rows = customers(spark, folder)
     found = knn_exact(suppliers(spark, folder), rows, K, aux=("label", "weight"))
-    return regressed(rows.select("qid"), found, weight_col="weight").select("qid", F.round("prediction", 4).alias("prediction"))
+    return regressed(rows.select("qid"), found, weight_col="weight").select("qid", F.round("prediction", 6).alias("prediction"))
 
 
-@query("knn11_regression", SUPPLIER_SQL + " SELECT qid, round(sum(label) / count(*), 4) AS prediction FROM neighbours GROUP BY qid")
+@query("knn11_regression", SUPPLIER_SQL + " SELECT qid, round(sum(label) / count(*), 6) AS prediction FROM neighbours GROUP BY qid")
 def regression(spark, folder):
     model = KNNRegression(idCol="tid", k=K, exact=True, bufferSize=0.0).fit(suppliers(spark, folder))
     model.set("idCol", "qid")
     out = model.transform(customers(spark, folder))
-    return out.select("qid", F.round("prediction", 4).alias("prediction"))
+    return out.select("qid", F.round("prediction", 6).alias("prediction"))
 
 
 @query("agg6_top_orders", """
@@ -340,3 +323,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice
 def top_orders(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return top_k(orders, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 3).drop("o_totalprice")
+
+
+@query("knn9_join6_neighbour_lists", SUPPLIER_SQL + """
+SELECT c_custkey AS qid, coalesce(n.neighbors, '') AS neighbors, coalesce(n.distances, '') AS distances
+FROM customer LEFT JOIN (
+  SELECT qid, string_agg(tid::VARCHAR, '|' ORDER BY rank) AS neighbors,
+         string_agg(round(distance * 1000)::BIGINT::VARCHAR, '|' ORDER BY rank) AS distances
+  FROM neighbours WHERE distance <= 100.5 GROUP BY qid) n ON n.qid = c_custkey""")
+def neighbour_lists(spark, folder):
+    """Customers without a supplier within the greatest distance keep empty lists."""
+    rows = customers(spark, folder)
+    found = knn_exact(suppliers(spark, folder), rows, K, max_distance=100.5)
+    out = with_neighbors(rows, found, distance_col="distances")
+    return out.select(
+        "qid", F.array_join(F.transform("neighbors", lambda n: n["tid"].cast("string")), "|").alias("neighbors"),
+        F.array_join(F.transform("distances", lambda d: F.round(d * 1000).cast("long").cast("string")), "|").alias("distances"),
+    )

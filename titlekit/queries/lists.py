@@ -15,7 +15,7 @@ from titlekit.functions.lists import (
     without_words,
 )
 from titlekit.functions.text import title_tokens, with_ngrams
-from titlekit.operators.brands import brand_pairs, title_brands
+from titlekit.operators.brands import brand_pairs, brands_present, title_brands
 from titlekit.operators.training import corpus_stop_words, normalised_rows, training_features
 from titlekit.operators.vocabulary import index_to_term, term_vocabulary
 from titlekit.plans.predict import title_features
@@ -227,4 +227,5 @@ def brands_of_titles(spark, folder):
     pairs = materialise(brand_pairs(training_features(labelled)))
     rows = normalised_rows(labelled, keep=("id",))
     titles = rows.select("id", "targets", title_tokens("title", 3).alias("t")).select("id", "targets", with_ngrams("t").alias("tokens"))
-    return title_brands(titles, "id", "targets", "tokens", pairs).select("id", joined("brands"))
+    present = brands_present(titles, "id", "tokens", pairs)
+    return title_brands(titles.select("id", "targets"), "id", "targets", present, pairs).select("id", joined("brands"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +32,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later uses neither recompute nor reshuffle it."""
+    """Write ``df`` to the shared folder and go on from there, so later uses do not compute it again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def partitioned(df: DataFrame, key: str) -> DataFrame:
+    """Compute ``df`` and cache it partitioned by ``key``; groupings and joins by the key then need no shuffle.
+
+    Lost parts are computed again from the source. The caller drops the cache with ``unpersist``. It is filled here,
+    because Spark only relies on the partitioning of a cached table that it has already computed.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.repartition(parts, key).persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept

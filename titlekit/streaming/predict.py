@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from titlekit.plans.predict import predict
+from titlekit.functions.text import PREDICT_MIN_LEN
+from titlekit.plans.predict import named_titles, predict_named
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int | None = None,
@@ -23,7 +24,7 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
 
 def predict_stream(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
                    output_path: str, checkpoint_location: str, lexicon: DataFrame | None = None,
-                   available_now: bool = True, **options) -> StreamingQuery:
+                   available_now: bool = True, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False) -> StreamingQuery:
     """Start a query that predicts each micro-batch with the batch plan and writes it as Parquet (STR1, STR2).
 
     A batch has a folder of its own, which a repeated batch overwrites, so each title is written once even if a batch
@@ -31,8 +32,10 @@ def predict_stream(titles: DataFrame, id_col: str, model: PipelineModel | None,
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = predict(batch, id_col, model, terms, brands, lexicon, **options)
+        named = named_titles(batch, id_col, model, terms, min_len)
+        found = predict_named(named, id_col, terms, brands, lexicon, whole_words)
         found.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
+        named.unpersist()
 
     return run_batches(titles, write, checkpoint_location, available_now)
 
