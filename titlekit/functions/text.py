@@ -33,18 +33,23 @@ def title_tokens(text, min_len: int = TRAIN_MIN_LEN, unicode: bool = False) -> C
 
 def ngrams(tokens, n: int) -> Column:
     """Blank-joined runs of ``n`` neighbouring tokens, empty for fewer than ``n`` tokens (TXT3)."""
-    return bound(lambda t: _runs(t, n), tokens)
+    if n == 1:
+        return F.col(tokens) if isinstance(tokens, str) else tokens
+    return bound(lambda t, shorter: _longer(shorter, t, n), tokens, ngrams(tokens, n - 1))
 
 
-def _runs(tokens: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(_no_strings())
+def _longer(shorter: Column, tokens: Column, n: int) -> Column:
+    """n-grams from (n - 1)-grams, each joined with the token that follows it."""
+    count = F.size(tokens) - (n - 1)
+    pairs = F.zip_with(F.slice(shorter, 1, count), F.slice(tokens, n, count), lambda g, t: F.concat_ws(" ", g, t))
+    return F.when(count > 0, pairs).otherwise(_no_strings())
 
 
 def with_ngrams(tokens) -> Column:
     """Tokens, then 2-grams, then 3-grams (ARR6)."""
-    return bound(lambda t: F.concat(t, _runs(t, 2), _runs(t, 3)), tokens)
+    return bound(
+        lambda t: bound(lambda one, two: F.concat(one, two, _longer(two, one, 3)), t, _longer(t, t, 2)), tokens
+    )
 
 
 def clean_text(text) -> Column:

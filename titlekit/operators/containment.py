@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlekit.operators.lookup import lookup_join
+from titlekit.session import materialise
+
 
 def parts_of(term: Column, whole_words: bool = False) -> Column:
     """All distinct substrings of a term, or all its distinct runs of whole words."""
@@ -24,17 +27,29 @@ def parts_of(term: Column, whole_words: bool = False) -> Column:
     return F.array_distinct(F.flatten(spans))
 
 
+def nested_pairs(holders: DataFrame, parts: DataFrame, whole_words: bool = False) -> DataFrame:
+    """``term, parts``: the terms of ``holders`` that hold other terms of ``parts``, both ``(term)``.
+
+    Work grows with the number of different terms times the square of a term's length.
+    """
+    spans = holders.select("term", F.explode(parts_of(F.col("term"), whole_words)).alias("part")).where("part <> term")
+    inner = parts.select(F.col("term").alias("part"))
+    return spans.join(inner, "part", "left_semi").groupBy("term").agg(F.collect_list("part").alias("parts"))
+
+
 def without_holders(items: DataFrame, id_col: str, term_col: str, parts: DataFrame, part_col: str,
                     whole_words: bool = False) -> DataFrame:
     """Rows of ``items`` whose term holds no other term that ``parts`` has for the same id.
 
-    Work grows with the number of terms times the square of one term's length, not with the square of the list.
+    Nesting is settled once for the different terms. A row then asks only for the few parts its term can have, so work
+    does not grow with the square of an id's list.
     """
-    spans = items.select(
-        id_col, F.col(term_col).alias("_term"), F.explode(parts_of(F.col(term_col), whole_words)).alias("_part")
-    ).where(F.col("_part") != F.col("_term"))
+    vocabulary = items.select(F.col(term_col).alias("term")).distinct()
+    pairs = materialise(nested_pairs(vocabulary, parts.select(F.col(part_col).alias("term")).distinct(), whole_words))
+    asked = lookup_join(items.select(id_col, F.col(term_col).alias("term")), pairs, ["term"])
+    spans = asked.select(id_col, F.col("term").alias(term_col), F.explode("parts").alias("_part"))
     inner = parts.select(id_col, F.col(part_col).alias("_part")).distinct()
-    holders = spans.join(inner, [id_col, "_part"], "left_semi").select(id_col, F.col("_term").alias(term_col)).distinct()
+    holders = spans.join(inner, [id_col, "_part"], "left_semi").select(id_col, term_col).distinct()
     return items.join(holders, [id_col, term_col], "left_anti")
 
 

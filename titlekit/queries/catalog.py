@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titlekit.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' texts, on all cores."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def labelled_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as labelled titles: two nested core terms each, brands and stop words on some."""
     part = table(spark, folder, "part")

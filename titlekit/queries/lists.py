@@ -19,7 +19,7 @@ from titlekit.operators.brands import brand_pairs, brands_present, title_brands
 from titlekit.operators.training import corpus_stop_words, normalised_rows, training_features
 from titlekit.operators.vocabulary import index_to_term, term_vocabulary
 from titlekit.plans.predict import title_features
-from titlekit.queries.catalog import LABELLED_SQL, PLAIN_SQL, joined, labelled_titles, merged_sql, plain_titles, query, table, tokens_sql
+from titlekit.queries.catalog import LABELLED_SQL, PLAIN_SQL, documents, joined, labelled_titles, merged_sql, plain_titles, query, table, tokens_sql
 from titlekit.session import materialise
 
 
@@ -83,7 +83,7 @@ SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','
          lambda x: lower(trim(x, E' \\n\\t\\r'))), lambda x: x <> ''), '|') AS items
 FROM documents""")
 def parsed_lists(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.array_join(parse_list("text"), "|").alias("items"))
+    return documents(spark, folder).select("doc_id", F.array_join(parse_list("text"), "|").alias("items"))
 
 
 @query("arr2_parsed_with_empty", """
@@ -92,7 +92,7 @@ SELECT doc_id, len(string_split(text, ','))::BIGINT AS n, array_to_string(list_t
 FROM documents""")
 def parsed_with_empty(spark, folder):
     items = parse_list("text", keep_empty=True)
-    return table(spark, folder, "documents").select("doc_id", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
+    return documents(spark, folder).select("doc_id", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
 
 
 @query("nul1_explode_keeping_null", """

@@ -9,13 +9,13 @@ from titlekit.knn.predict import class_histogram
 from titlekit.operators.evaluation import class_metrics, weighted_metrics
 from titlekit.operators.sampling import sample_rows, size_samples
 from titlekit.operators.vocabulary import numbered, token_counts
-from titlekit.queries.catalog import query, table, tokens_sql
+from titlekit.queries.catalog import documents, query, table, tokens_sql
 
 
 @query("agg5_token_counts", f"""
 SELECT token, count(*) AS freq FROM (SELECT unnest({tokens_sql('text', 2)}) AS token FROM documents) GROUP BY token""")
 def counted_tokens(spark, folder):
-    return token_counts(table(spark, folder, "documents").select(title_tokens("text").alias("tokens")))
+    return token_counts(documents(spark, folder).select(title_tokens("text").alias("tokens")))
 
 
 @query("agg7_row_count", "SELECT count(*) AS n, least(1.0, 1000.0 / count(*))::DOUBLE AS fraction FROM embeddings")

@@ -10,7 +10,7 @@ from titlekit.operators.containment import minimal_terms_of
 from titlekit.operators.gazetteer import in_order, known_terms, term_hits
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, text_words
 from titlekit.operators.training import corpus_stop_words, training_features, without_corpus_words
-from titlekit.queries.catalog import LABELLED_SQL, joined, labelled_titles, merged_sql, query, table, tokens_sql
+from titlekit.queries.catalog import LABELLED_SQL, documents, joined, labelled_titles, merged_sql, query, table, tokens_sql
 from titlekit.queries.english import ENGLISH_STOP_WORDS
 from titlekit.session import materialise
 
@@ -19,7 +19,7 @@ from titlekit.session import materialise
 SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {tokens_sql('text', 2)} AS t FROM documents)""")
 def train_tokens(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", title_tokens("text", 2).alias("tokens"))
+    tokens = documents(spark, folder).select("doc_id", title_tokens("text", 2).alias("tokens"))
     return tokens.select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -27,7 +27,7 @@ def train_tokens(spark, folder):
 SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {tokens_sql('text', 3)} AS t FROM documents)""")
 def predict_tokens(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", title_tokens("text", 3).alias("tokens"))
+    tokens = documents(spark, folder).select("doc_id", title_tokens("text", 3).alias("tokens"))
     return tokens.select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -38,7 +38,7 @@ SELECT doc_id,
                        lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]), '|') AS ngrams_3
 FROM (SELECT doc_id, {tokens_sql('text', 2)} AS t FROM documents)""")
 def document_ngrams(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", title_tokens("text", 2).alias("t"))
+    tokens = documents(spark, folder).select("doc_id", title_tokens("text", 2).alias("t"))
     return tokens.select("doc_id", F.array_join(ngrams("t", 2), "|").alias("ngrams_2"), F.array_join(ngrams("t", 3), "|").alias("ngrams_3"))
 
 
@@ -47,7 +47,7 @@ SELECT doc_id, array_to_string(list_filter(t, lambda w: NOT list_contains(
          [{', '.join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)}], w)), ' ') AS tokens
 FROM (SELECT doc_id, {tokens_sql('text', 2)} AS t FROM documents)""")
 def default_stop_words(spark, folder):
-    tokens = table(spark, folder, "documents").select("doc_id", title_tokens("text", 2).alias("t"))
+    tokens = documents(spark, folder).select("doc_id", title_tokens("text", 2).alias("t"))
     remover = StopWordsRemover(inputCol="t", outputCol="kept", stopWords=StopWordsRemover.loadDefaultStopWords("english"))
     return remover.transform(tokens).select("doc_id", F.array_join("kept", " ").alias("tokens"))
 
@@ -72,7 +72,7 @@ PUNCTUATION_SQL = r"""[`~!@#$%^&*()\-+={}\[\];:''"<>,./?]"""
 SELECT doc_id, regexp_replace(regexp_replace(text, '{PUNCTUATION_SQL}', ' ', 'g'), '\w*\d\w* *', ' ', 'g') AS cleaned
 FROM documents""")
 def cleaned(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+    return documents(spark, folder).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("txt7_short_phrases", """
@@ -81,7 +81,7 @@ SELECT doc_id, array_to_string(list_transform(
          lambda p: lower(p)), '|') AS phrases
 FROM documents""")
 def short_document_phrases(spark, folder):
-    phrases = table(spark, folder, "documents").select("doc_id", F.split("text", ",").alias("p"))
+    phrases = documents(spark, folder).select("doc_id", F.split("text", ",").alias("p"))
     return phrases.select("doc_id", F.array_join(short_phrases("p"), "|").alias("phrases"))
 
 
@@ -135,7 +135,7 @@ phrases AS (
 WITH {PHRASE_SQL}
 SELECT doc_id, sentence::BIGINT AS sentence, pos::BIGINT AS pos, phrase FROM phrases""")
 def document_noun_phrases(spark, folder):
-    words = text_words(table(spark, folder, "documents"), "doc_id", "text")
+    words = text_words(documents(spark, folder), "doc_id", "text")
     phrases = noun_phrases(tag_words(words, benchmark_lexicon(spark, folder)), "doc_id")
     return phrases.select("doc_id", F.col("sentence").cast("long").alias("sentence"), F.col("pos").cast("long").alias("pos"), "phrase")
 
@@ -147,7 +147,7 @@ short AS (
   FROM phrases WHERE len(regexp_split_to_array(phrase, ' +')) < 4 GROUP BY doc_id, lower(phrase))
 SELECT doc_id, string_agg(phrase, '|' ORDER BY place) AS phrases FROM short GROUP BY doc_id""")
 def document_phrase_candidates(spark, folder):
-    words = text_words(table(spark, folder, "documents"), "doc_id", "text")
+    words = text_words(documents(spark, folder), "doc_id", "text")
     phrases = noun_phrases(tag_words(words, benchmark_lexicon(spark, folder)), "doc_id")
     return phrase_candidates(phrases, "doc_id").where(F.size("phrases") > 0).select("doc_id", joined("phrases"))
 
@@ -156,7 +156,7 @@ def document_phrase_candidates(spark, folder):
 WITH {TAGGED_SQL}
 SELECT doc_id, tag, count(*) AS n, max(pos)::BIGINT AS last_pos FROM tagged GROUP BY doc_id, tag""")
 def tagged_words(spark, folder):
-    words = text_words(table(spark, folder, "documents"), "doc_id", "text")
+    words = text_words(documents(spark, folder), "doc_id", "text")
     tagged = tag_words(words, benchmark_lexicon(spark, folder))
     return tagged.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("long").alias("last_pos"))
 
@@ -180,7 +180,7 @@ hits AS (
 
 
 def document_grams(spark, folder):
-    texts = table(spark, folder, "documents")
+    texts = documents(spark, folder)
     return texts.select("doc_id", with_ngrams(title_tokens("text", 3)).alias("tokens"))
 
 

@@ -37,6 +37,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is read in fewer tasks than there are cores, dealt out to all of them.
+
+    For heavy work on a few small files; a large table has more read tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitioned(df: DataFrame, key: str) -> DataFrame:
     """Compute ``df`` and cache it partitioned by ``key``; groupings and joins by the key then need no shuffle.
 
