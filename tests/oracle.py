@@ -15,6 +15,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -44,6 +47,10 @@ def compare(spark, con, folder: str, function, sql: str | None) -> str:
     names = [d[0] for d in result.description]
     if sorted(names) != columns:
         return f"COLUMNS {columns} against {sorted(names)}"
+    kinds = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in result.description}
+    other = {n: (t, kinds[n]) for n, t in df.dtypes if t != kinds[n]}
+    if other:
+        return f"TYPES {other}"
     places = [names.index(c) for c in columns]
     want = sorted((tuple(plain(row[i]) for i in places) for row in result.fetchall()), key=repr)
     if got == want:

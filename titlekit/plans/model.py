@@ -17,7 +17,9 @@ from titlekit.operators.training import corpus_stop_words, without_corpus_words
 from titlekit.session import materialise
 
 HASHED_FEATURES = 1000
+# Words and classes that the driver may hold as a list.
 STOP_WORD_LIST = 100_000
+MAX_CLASSES = 100_000
 
 
 @dataclass
@@ -60,7 +62,14 @@ def term_stages(stop_words: list[str], num_trees: int = 8, vectors: str = "count
 
 
 def indexed(features: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Add ``label``, the place of the target by frequency, then by name (ML1)."""
+    """Add ``label``, the place of the target by frequency, then by name (ML1).
+
+    The classifier keeps its classes as a list on the driver, so too many are refused; ``train`` can leave rare terms to
+    the lookup.
+    """
+    classes = features.select("target").distinct().limit(MAX_CLASSES + 1).count()
+    if classes > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} terms for one classifier; raise min_term_count")
     indexer = StringIndexer(inputCol="target", outputCol="label", stringOrderType="frequencyDesc").fit(features)
     return indexer.transform(features), list(indexer.labels)
 

@@ -340,3 +340,16 @@ def neighbour_lists(spark, folder):
         "qid", F.array_join(F.transform("neighbors", lambda n: n["tid"].cast("string")), "|").alias("neighbors"),
         F.array_join(F.transform("distances", lambda d: F.round(d * 1000).cast("long").cast("string")), "|").alias("distances"),
     )
+
+
+@query("knn12_single_vector", f"""
+WITH one AS (SELECT [avg(c_acctbal), avg(c_nationkey * 100.0)] AS f FROM customer),
+pairs AS (
+  SELECT s_suppkey AS tid, s_acctbal AS label, list_distance(f::DOUBLE[], [s_acctbal, s_nationkey * 100.0]::DOUBLE[]) AS distance FROM supplier, one)
+SELECT round(avg(label), 4) AS prediction FROM (SELECT * FROM pairs ORDER BY distance, tid LIMIT {K})""")
+def single_vector(spark, folder):
+    """The prediction for the average customer, as a one-row search."""
+    one = table(spark, folder, "customer").agg(F.array(F.avg("c_acctbal"), F.avg(F.col("c_nationkey") * 100.0)).alias("features"))
+    asked = one.select(F.lit(0).cast("long").alias("qid"), "features")
+    found = knn_exact(suppliers(spark, folder), asked, K, aux=("label",))
+    return regressed(asked.select("qid"), found).select(F.round("prediction", 4).alias("prediction"))
