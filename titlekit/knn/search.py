@@ -18,6 +18,8 @@ from titlekit.session import materialise
 DEFAULT_K = 5
 # Vector pairs that one task compares.
 TASK_PAIRS = 1 << 28
+# Rows per wanted neighbour that the first step of the exact search looks at, where its cells are smaller.
+FIRST_ROWS = 8
 # Added to a bound so that rounding never rules out a cell; it only costs a visit.
 SLACK = 1e-6
 
@@ -124,41 +126,68 @@ def knn_exact(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, max_dist
     return _ranked(search_cells(index, routed, k, max_distance), k)
 
 
-def _reachable(index: CellIndex):
-    """Arrow function: vector and bound to the cells that may hold a closer point, the query's own cell left out."""
-    tree, cells = index.tree, np.array(sorted(index.sizes))
-    centres = np.array(tree.centres)[cells]
-    radius = np.array([index.radius[c] for c in cells])
-    lengths = np.sqrt((centres**2).sum(axis=1))
-    step = max(1, CHUNK_CELLS // len(cells))
+def _reachable(index: CellIndex, near: list[np.ndarray]):
+    """Arrow function: vector and bound to the cells that may hold a closer point, those searched first left out."""
+    tree = index.tree
+    centres = np.array(tree.centres)
+    radius = np.array([index.radius.get(c, -math.inf) for c in range(tree.cells)])
+    step = max(1, 4 * CHUNK_CELLS // tree.cells)
+    searched = np.unique(np.concatenate([c * tree.cells + cells for c, cells in enumerate(near)]))
 
     @F.arrow_udf("array<int>")
     def cells_within(features: pa.Array, bound: pa.Array) -> pa.Array:
         points = block(features)
         limit = bound.to_numpy(zero_copy_only=False)
-        own = np.empty(len(points), int)
         row, cell = tree.route(points)
+        own = np.empty(len(points), int)
         own[row] = cell
-        length = np.sqrt((points**2).sum(axis=1))
-        lists = []
+        counts, lists = [], []
         for lo in range(0, len(points), step):
-            part, hi = points[lo : lo + step], min(lo + step, len(points))
-            squared = (length[lo:hi] ** 2)[:, None] + (lengths**2)[None, :] - 2.0 * (part @ centres.T)
-            away = np.sqrt(np.maximum(squared, 0.0))
-            reach = (limit[lo:hi] + SLACK * (1.0 + length[lo:hi]))[:, None] + (radius + SLACK * lengths)[None, :]
-            near = (away <= reach) & (cells[None, :] != own[lo:hi, None])
-            lists.extend(cells[hit] for hit in near)
-        ends = np.cumsum([0, *[len(c) for c in lists]])
+            part, reach = points[lo : lo + step], limit[lo : lo + step]
+            row, cell = tree.route_within(part, reach)
+            away = np.sqrt(((part[row] - centres[cell]) ** 2).sum(axis=1))
+            kept = away - radius[cell] <= reach[row] + SLACK * (1.0 + away)
+            kept &= ~np.isin(own[lo + row] * tree.cells + cell, searched)
+            row, cell = row[kept], cell[kept]
+            counts.append(np.bincount(row, minlength=len(part)))
+            lists.append(cell[np.argsort(row, kind="stable")].astype(np.int32))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else [0]
         items = np.concatenate(lists) if lists else np.empty(0, int)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items, pa.int32()))
 
     return cells_within
 
 
-def other_cells(index: CellIndex, queries: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``qid, features, cell_id``: cells beyond the query's own that its bound does not rule out."""
-    bounded = queries.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
-    return bounded.select("qid", "features", F.explode(_reachable(index)("features", "bound")).alias("cell_id"))
+def _nearby(near: list[np.ndarray], tree):
+    """Arrow function: vector to the cells that are searched first."""
+
+    @F.arrow_udf("array<int>")
+    def cells_near(features: pa.Array) -> pa.Array:
+        row, cell = tree.route(block(features))
+        own = np.empty(len(row), int)
+        own[row] = cell
+        ends = np.cumsum([0, *[len(near[c]) for c in own]])
+        items = np.concatenate([near[c] for c in own]) if len(own) else np.empty(0, int)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items, pa.int32()))
+
+    return cells_near
+
+
+def near_cells(index: CellIndex, k: int) -> list[np.ndarray]:
+    """For each cell the cells to search first: itself, or more where it has too few rows for a useful bound."""
+    return index.tree.neighbourhoods(index.sizes, FIRST_ROWS * k)
+
+
+def route_near(index: CellIndex, queries: DataFrame, near: list[np.ndarray]) -> DataFrame:
+    """``qid, features, cell_id``: the cells around each query."""
+    return queries.select("qid", "features", F.explode(_nearby(near, index.tree)("features")).alias("cell_id"))
+
+
+def other_cells(index: CellIndex, queries: DataFrame, bounds: DataFrame, near: list[np.ndarray],
+                max_distance: float = math.inf) -> DataFrame:
+    """``qid, features, cell_id``: cells beyond those searched first that a query's bound does not rule out."""
+    bounded = queries.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(max_distance)))
+    return bounded.select("qid", "features", F.explode(_reachable(index, near)("features", "bound")).alias("cell_id"))
 
 
 def knn_exact_pruned(index: CellIndex, queries: DataFrame, id_col: str = "qid", features_col: str = "features",
@@ -166,32 +195,20 @@ def knn_exact_pruned(index: CellIndex, queries: DataFrame, id_col: str = "qid",
     """Exact neighbours that skip the cells which cannot hold one (KNN7).
 
     First each query searches its own cell, which bounds the distance of its k-th neighbour; then it visits only cells
-    whose ball comes within that bound.
+    that neither a splitting plane nor the ball around the cell puts beyond that bound.
     """
     if index.spill == "train":
         raise ValueError("exact search needs cells without overlap")
     _check_copies(index, k)
     asked = vector_rows(queries, id_col, features_col, (), "qid")
-    near = materialise(search_cells(index, route_queries_nearest(index, asked), k, max_distance))
-    near = _ranked(near, k)
-    bounds = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
-    bounds = bounds.select("qid", F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(max_distance)).alias("bound"))
-    if math.isfinite(max_distance):
-        asked_bounds = asked.select("qid").join(bounds, "qid", "left")
-        bounds = asked_bounds.withColumn("bound", F.coalesce("bound", F.lit(max_distance)))
-    routed = other_cells(index, asked, bounds)
-    far = search_cells(index, routed, k, max_distance)
+    around = near_cells(index, k)
+    near = _ranked(materialise(search_cells(index, route_near(index, asked, around), k, max_distance)), k)
+    bounds = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+    bounds = bounds.select("qid", F.when(F.col("n") >= k, F.col("far")).alias("bound"))
+    far = search_cells(index, other_cells(index, asked, bounds, around, max_distance), k, max_distance)
     return _ranked(near.drop("rank").unionByName(far), k)
 
 
-def route_queries_nearest(index: CellIndex, queries: DataFrame) -> DataFrame:
-    """``qid, features, cell_id``: each query's own cell."""
-    cells = router(index.tree, 0.0, "nearest")("features")
-    return queries.select("qid", "features", F.explode(cells).alias("_cell")).select(
-        "qid", "features", F.col("_cell.cell_id").alias("cell_id")
-    )
-
-
 def with_neighbors(queries: DataFrame, neighbours: DataFrame, id_col: str = "qid", aux: tuple[str, ...] = ("tid",),
                    neighbors_col: str = "neighbors", distance_col: str | None = None) -> DataFrame:
     """Add each query's neighbours as a list of structs, nearest first; no query is lost (KNN9, JOIN6)."""

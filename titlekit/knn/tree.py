@@ -109,3 +109,41 @@ class PivotTree:
         if not rows:
             return np.empty(0, int), np.empty(0, int)
         return np.concatenate(rows), np.concatenate(cells)
+
+    def route_within(self, points: np.ndarray, bound: np.ndarray):
+        """(row, cell) pairs of all cells that the splitting planes leave within each row's ``bound``.
+
+        Training rows lie on the side of their nearer pivot, so a row on the other side of the plane half-way between
+        the pivots is at least as far as the plane.
+        """
+        rows, cells = [], []
+        stack = [(0 if self.children else -1, np.arange(len(points)))]
+        while stack:
+            node, members = stack.pop()
+            if not len(members):
+                continue
+            if node < 0:
+                rows.append(members)
+                cells.append(np.full(len(members), -node - 1))
+                continue
+            gap = np.sqrt(((self.left_pivot[node] - self.right_pivot[node]) ** 2).sum())
+            to_left = squared_to(points[members], self.left_pivot[node])
+            to_right = squared_to(points[members], self.right_pivot[node])
+            beyond = (to_left - to_right) / (2.0 * gap)
+            slack = bound[members] + 1e-9 * (to_left + to_right) / gap
+            left, right = self.children[node]
+            stack.append((left, members[beyond <= slack]))
+            stack.append((right, members[-beyond <= slack]))
+        if not rows:
+            return np.empty(0, int), np.empty(0, int)
+        return np.concatenate(rows), np.concatenate(cells)
+
+    def neighbourhoods(self, sizes: dict[int, int], enough: int) -> list[np.ndarray]:
+        """For each cell itself or, where it has fewer than ``enough`` rows, the cells of nearest centre that have them."""
+        centres, rows = np.array(self.centres), np.array([sizes.get(c, 0) for c in range(self.cells)])
+        found = [np.array([c]) for c in range(self.cells)]
+        for cell in np.flatnonzero(rows < enough):
+            nearest = np.argsort(squared_to(centres, centres[cell]), kind="stable")
+            count = np.searchsorted(np.cumsum(rows[nearest]), enough) + 1
+            found[cell] = np.sort(nearest[:count])
+        return found
