@@ -20,13 +20,18 @@ BLOCK_BYTES = 64 * 1024 * 1024
 SAMPLE_BYTES = 256 * 1024 * 1024
 REFINE_ROUNDS = 8
 SPLIT_POINTS = 100_000
+BUNDLES_PER_CORE = 16
 
 CELL_TYPE = pa.list_(pa.struct([("cell_id", pa.int32()), ("centre_distance", pa.float64())]))
 
 
 @dataclass
 class CellIndex:
-    """A fitted index: the routing tree, and the training rows with ``cell_id`` and ``block``."""
+    """A fitted index: the routing tree, and the training rows with ``cell_id``, ``bundle`` and ``block``.
+
+    A bundle is a run of neighbouring cells that one task searches; a cell too large for a task is a bundle of several
+    blocks.
+    """
 
     tree: PivotTree
     tau: float
@@ -34,16 +39,38 @@ class CellIndex:
     rows: DataFrame
     sizes: dict[int, int]
     radius: dict[int, float]
+    bundle_of: np.ndarray
     blocks: dict[int, int]
     aux: tuple[str, ...]
     dimensions: int
     copies: int | None
 
+    def bundle_rows(self) -> dict[int, int]:
+        """Training rows of each bundle."""
+        total: dict[int, int] = {}
+        for cell, size in self.sizes.items():
+            bundle = int(self.bundle_of[cell])
+            total[bundle] = total.get(bundle, 0) + size
+        return total
+
     def release(self) -> None:
         """Drop the cached training rows."""
         self.rows.unpersist()
 
 
+def bundled(sizes: dict[int, int], cells: int, rows: int) -> np.ndarray:
+    """The bundle of each cell: runs of cells with at most ``rows`` training rows, larger cells alone."""
+    bundle_of = np.zeros(cells, int)
+    bundle = filled = 0
+    for cell in range(cells):
+        size = sizes.get(cell, 0)
+        if filled and filled + size > rows:
+            bundle, filled = bundle + 1, 0
+        bundle_of[cell] = bundle
+        filled += size
+    return bundle_of
+
+
 def router(tree: PivotTree, tau: float, side: str):
     """Arrow function: vectors to a list of (cell, distance to its centre)."""
     centres = np.array(tree.centres)
@@ -181,11 +208,15 @@ def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "featur
         assigned = _assigned(rows, tree, tau, spill)
         stats = _cell_stats(assigned)
     sizes = {r["cell_id"]: r["size"] for r in stats}
-    blocks = {c: -(-n // block_rows(dimensions)) for c, n in sizes.items()}
-    return CellIndex(
-        tree, tau, spill, _stored(spark, assigned, blocks, rows, store), sizes,
-        {r["cell_id"]: r["radius"] for r in stats}, blocks, tuple(aux), dimensions, copies,
+    share = -(-total // (BUNDLES_PER_CORE * spark.sparkContext.defaultParallelism))
+    index = CellIndex(
+        tree, tau, spill, assigned, sizes, {r["cell_id"]: r["radius"] for r in stats},
+        bundled(sizes, tree.cells, min(share, block_rows(dimensions))), {}, tuple(aux), dimensions, copies,
     )
+    index.blocks = {b: -(-n // block_rows(dimensions)) for b, n in index.bundle_rows().items()}
+    index.rows = _stored(spark, index, store)
+    rows.unpersist()
+    return index
 
 
 def single_cell(train: DataFrame, id_col: str = "tid", features_col: str = "features",
@@ -195,33 +226,36 @@ def single_cell(train: DataFrame, id_col: str = "tid", features_col: str = "feat
     measured = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
     dimensions = measured["d"] or 1
     tree = PivotTree(centres=[np.zeros(dimensions)])
-    assigned = rows.withColumn("cell_id", F.lit(0))
+    assigned = rows.withColumn("cell_id", F.lit(0)).withColumn("bundle", F.lit(0))
     blocks = {0: max(1, -(-measured["n"] // block_rows(dimensions)))}
     placed = assigned.withColumn("block", F.pmod(F.xxhash64("tid"), F.lit(blocks[0])).cast("int"))
-    return CellIndex(tree, 0.0, "query", placed, {0: measured["n"]}, {0: float("inf")}, blocks, tuple(aux), dimensions, None)
+    return CellIndex(
+        tree, 0.0, "query", placed, {0: measured["n"]}, {0: float("inf")}, np.zeros(1, int), blocks, tuple(aux), dimensions, None
+    )
 
 
-def per_cell(df: DataFrame, values: dict[int, int], out: str, default: int = 1) -> DataFrame:
-    """Add a number known for each cell; only cells with another number than ``default`` are spelled out."""
-    special = {c: v for c, v in values.items() if v != default}
+def numbers_by(df: DataFrame, key: str, values: dict[int, int], out: str, default: int) -> DataFrame:
+    """Add a number known for each cell or bundle; only those with another number than ``default`` are spelled out."""
+    special = {int(k): int(v) for k, v in values.items() if v != default}
     if not special:
         return df.withColumn(out, F.lit(default))
-    table = df.sparkSession.createDataFrame(list(special.items()), f"cell_id int, {out} int")
+    table = df.sparkSession.createDataFrame(list(special.items()), f"{key} int, {out} int")
     # at most one row per leaf of the driver's tree
-    return df.join(F.broadcast(table), "cell_id", "left").withColumn(out, F.coalesce(out, F.lit(default)))
+    return df.join(F.broadcast(table), key, "left").withColumn(out, F.coalesce(out, F.lit(default)))
 
 
-def _stored(spark, assigned: DataFrame, blocks: dict[int, int], rows: DataFrame, store: str | None) -> DataFrame:
-    placed = per_cell(assigned.drop("centre_distance"), blocks, "_blocks")
+def _stored(spark, index: CellIndex, store: str | None) -> DataFrame:
+    bundles = dict(enumerate(index.bundle_of))
+    placed = numbers_by(index.rows.drop("centre_distance"), "cell_id", bundles, "bundle", 0)
+    placed = numbers_by(placed, "bundle", index.blocks, "_blocks", 1)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")).drop("_blocks")
     if store is None:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        kept = placed.repartition(parts, "cell_id", "block").persist(StorageLevel.MEMORY_AND_DISK)
+        kept = placed.repartition(parts, "bundle", "block").persist(StorageLevel.MEMORY_AND_DISK)
         kept.count()
     else:
-        placed.repartition("cell_id", "block").sortWithinPartitions("cell_id", "block").write.mode("overwrite").parquet(store)
+        placed.repartition("bundle", "block").sortWithinPartitions("bundle", "block").write.mode("overwrite").parquet(store)
         kept = spark.read.parquet(store)
-    rows.unpersist()
     return kept
 
 

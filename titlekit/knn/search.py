@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlekit.knn.cells import CellIndex, block_rows, per_cell, router, single_cell, vector_rows
+from titlekit.knn.cells import CellIndex, block_rows, numbers_by, single_cell, vector_rows
 from titlekit.knn.vectors import CHUNK_CELLS, block, nearest_in_block
 from titlekit.operators.ranking import top_k
 from titlekit.session import materialise
@@ -24,35 +24,83 @@ FIRST_ROWS = 8
 SLACK = 1e-6
 
 
+def _best(q: np.ndarray, p: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int):
+    """The ``k`` nearest of each query by (distance, id), each point once."""
+    order = np.lexsort((ids[p], distance, q))
+    q, p, distance = q[order], p[order], distance[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (ids[p[1:]] != ids[p[:-1]])
+    q, p, distance = q[fresh], p[fresh], distance[fresh]
+    kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[kept], p[kept], distance[kept]
+
+
 def _searcher(k: int, max_distance: float, aux: tuple[str, ...], schema: pa.Schema):
     def search(train: pa.Table, queries: pa.Table) -> pa.Table:
         if train.num_rows == 0 or queries.num_rows == 0:
             return schema.empty_table()
         ids = train["tid"].combine_chunks().to_numpy(zero_copy_only=False)
-        q, p, distance = nearest_in_block(block(queries["features"]), block(train["features"]), ids, k, max_distance)
-        points = train.take(pa.array(p))
-        columns = [queries["qid"].take(pa.array(q)), points["tid"], pa.array(distance, pa.float64())]
-        return pa.table([*columns, *[points[c] for c in aux]], schema=schema)
+        points, asked = block(train["features"]), block(queries["features"])
+        cell = train["cell_id"].to_numpy()
+        visits = queries["cells"].combine_chunks()
+        visitor = np.repeat(np.arange(len(asked)), np.diff(visits.offsets.to_numpy()))
+        visited = visits.flatten().to_numpy()
+        by_cell, by_visit = np.argsort(cell, kind="stable"), np.argsort(visited, kind="stable")
+        found = []
+        for c in np.unique(cell):
+            members = by_cell[slice(*np.searchsorted(cell, [c, c + 1], sorter=by_cell))]
+            callers = visitor[by_visit[slice(*np.searchsorted(visited, [c, c + 1], sorter=by_visit))]]
+            if len(callers):
+                q, p, distance = nearest_in_block(asked[callers], points[members], ids[members], k, max_distance)
+                found.append((callers[q], members[p], distance))
+        if not found:
+            return schema.empty_table()
+        q, p, distance = _best(*[np.concatenate(part) for part in zip(*found)], ids, k)
+        near = train.take(pa.array(p))
+        columns = [queries["qid"].take(pa.array(q)), near["tid"], pa.array(distance, pa.float64())]
+        return pa.table([*columns, *[near[c] for c in aux]], schema=schema)
 
     return search
 
 
+def bundle_visits(rows: np.ndarray, cells: np.ndarray, count: int, bundle_of: np.ndarray) -> pa.Array:
+    """(row, cell) pairs as one list per row of the bundles it visits, with its cells in each."""
+    order = np.lexsort((cells, bundle_of[cells], rows))
+    rows, cells = rows[order], cells[order]
+    bundles = bundle_of[cells]
+    starts = np.ones(len(rows), bool)
+    starts[1:] = (rows[1:] != rows[:-1]) | (bundles[1:] != bundles[:-1])
+    first = np.flatnonzero(starts)
+    inner = pa.ListArray.from_arrays(pa.array([*first, len(rows)], pa.int32()), pa.array(cells, pa.int32()))
+    items = pa.StructArray.from_arrays([pa.array(bundles[first], pa.int32()), inner], names=["bundle", "cells"])
+    ends = np.searchsorted(rows[first], np.arange(count + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
+VISITS = "array<struct<bundle:int,cells:array<int>>>"
+
+
+def _routed(queries: DataFrame, visits) -> DataFrame:
+    """``qid, features, bundle, cells`` from a column of visits."""
+    return queries.select("qid", "features", F.inline(visits))
+
+
 def search_cells(index: CellIndex, routed: DataFrame, k: int, max_distance: float = math.inf) -> DataFrame:
     """``qid, tid, distance, aux...``: the best ``k`` of each block that a query visits.
 
-    ``routed`` is ``(qid, features, cell_id)``. A task gets one block of training rows and the queries of its cell.
-    Cells with more queries than suit one task are searched as a grid of training blocks times query parts, so a cell
-    that draws a third of all queries is spread evenly; a task holds bounded data and compares a bounded number of
-    pairs, and only the best ``k`` per query leave it.
+    ``routed`` is ``(qid, features, bundle, cells)``: a query is sent once to each bundle, with the cells it visits there.
+    A task gets one block of training rows and the queries of its bundle. Bundles with more queries than suit one task
+    are searched as a grid of training blocks times query parts, so a cell that draws a third of all queries is spread
+    evenly; a task holds bounded data and compares a bounded number of pairs, and only the best ``k`` per query leave it.
     """
-    visits = {r["cell_id"]: r["count"] for r in routed.groupBy("cell_id").count().collect()}
-    limit = block_rows(index.dimensions)
+    visits = {r["bundle"]: r["count"] for r in routed.groupBy("bundle").count().collect()}
+    limit, held = block_rows(index.dimensions), index.bundle_rows()
     grid = {}
-    for cell, asked in visits.items():
-        pairs = asked * min(index.sizes.get(cell, 0), limit)
+    for bundle, asked in visits.items():
+        pairs = asked * min(held.get(bundle, 0), limit)
         parts = max(-(-asked // limit), -(-pairs // TASK_PAIRS))
         if parts > 1:
-            grid[cell] = parts
+            grid[bundle] = parts
     schema = T.StructType([
         T.StructField("qid", routed.schema["qid"].dataType),
         T.StructField("tid", index.rows.schema["tid"].dataType),
@@ -60,23 +108,23 @@ def search_cells(index: CellIndex, routed: DataFrame, k: int, max_distance: floa
         *[index.rows.schema[c] for c in index.aux],
     ])
     function = _searcher(k, max_distance, index.aux, _arrow_schema(schema))
-    to_blocks = per_cell(routed, index.blocks, "_blocks").withColumn(
+    to_blocks = numbers_by(routed, "bundle", index.blocks, "_blocks", 1).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     ).drop("_blocks")
-    quiet = [c for c in visits if c not in grid]
+    quiet = [b for b in visits if b not in grid]
     found = None
     if quiet or not grid:
-        rows = index.rows if len(quiet) == len(index.sizes) else index.rows.where(F.col("cell_id").isin(quiet))
-        asked = to_blocks if not grid else to_blocks.where(F.col("cell_id").isin(quiet))
-        keys = ["cell_id", "block"]
+        rows = index.rows if len(quiet) == len(held) else index.rows.where(F.col("bundle").isin(quiet))
+        asked = to_blocks if not grid else to_blocks.where(F.col("bundle").isin(quiet))
+        keys = ["bundle", "block"]
         found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(function, schema)
     if grid:
-        keys = ["cell_id", "block", "part"]
-        hot = F.col("cell_id").isin(list(grid))
-        rows = per_cell(index.rows.where(hot), grid, "_parts").withColumn(
+        keys = ["bundle", "block", "part"]
+        hot = F.col("bundle").isin(list(grid))
+        rows = numbers_by(index.rows.where(hot), "bundle", grid, "_parts", 1).withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
         ).drop("_parts")
-        asked = per_cell(to_blocks.where(hot), grid, "_parts").withColumn(
+        asked = numbers_by(to_blocks.where(hot), "bundle", grid, "_parts", 1).withColumn(
             "part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")
         ).drop("_parts")
         spread = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(function, schema)
@@ -99,18 +147,28 @@ def _check_copies(index: CellIndex, k: int) -> None:
         raise ValueError(f"the index keeps {index.copies} copies of equal vectors; fit it with copies >= {k}")
 
 
-def route_queries(index: CellIndex, queries: DataFrame, tau: float | None = None) -> DataFrame:
-    """``qid, features, cell_id``: the cells each query visits, more than one near a boundary (KNN4)."""
-    cells = router(index.tree, index.tau if tau is None else tau, "query")("features")
-    placed = queries.withColumn("_cell", F.explode(cells))
-    return placed.select("qid", "features", F.col("_cell.cell_id").alias("cell_id"))
+def _visited(index: CellIndex, tau: float):
+    """Arrow function: vector to the cells on its side of the tree, and across boundaries within ``tau``."""
+    tree, bundle_of = index.tree, index.bundle_of
+
+    @F.arrow_udf(VISITS)
+    def visits(features: pa.Array) -> pa.Array:
+        points = block(features)
+        return bundle_visits(*tree.route(points, tau, "query"), len(points), bundle_of)
+
+    return visits
+
+
+def routed_queries(index: CellIndex, queries: DataFrame, tau: float | None = None) -> DataFrame:
+    """``qid, features, bundle, cells``: the cells each query visits, more than one near a boundary (KNN4)."""
+    return _routed(queries, _visited(index, index.tau if tau is None else tau)("features"))
 
 
 def knn_cells(index: CellIndex, queries: DataFrame, id_col: str = "qid", features_col: str = "features",
               k: int = DEFAULT_K, max_distance: float = math.inf, tau: float | None = None) -> DataFrame:
     """Neighbours ``qid, tid, distance, rank, aux...`` among the visited cells; approximate unless tau is infinite."""
     _check_copies(index, k)
-    routed = route_queries(index, vector_rows(queries, id_col, features_col, (), "qid"), tau)
+    routed = routed_queries(index, vector_rows(queries, id_col, features_col, (), "qid"), tau)
     found = search_cells(index, routed, k, max_distance)
     if index.spill == "train":
         found = found.dropDuplicates(["qid", "tid"])
@@ -122,53 +180,51 @@ def knn_exact(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, max_dist
               features_col: str = "features") -> DataFrame:
     """Exact neighbours by comparing every query with every training vector, block by block (KNN2)."""
     index = single_cell(train, train_id, features_col, aux)
-    routed = vector_rows(queries, query_id, features_col, (), "qid").withColumn("cell_id", F.lit(0))
+    routed = vector_rows(queries, query_id, features_col, (), "qid").select(
+        "*", F.lit(0).alias("bundle"), F.array(F.lit(0)).alias("cells")
+    )
     return _ranked(search_cells(index, routed, k, max_distance), k)
 
 
 def _reachable(index: CellIndex, near: list[np.ndarray]):
     """Arrow function: vector and bound to the cells that may hold a closer point, those searched first left out."""
-    tree = index.tree
+    tree, bundle_of = index.tree, index.bundle_of
     centres = np.array(tree.centres)
     radius = np.array([index.radius.get(c, -math.inf) for c in range(tree.cells)])
     step = max(1, 4 * CHUNK_CELLS // tree.cells)
     searched = np.unique(np.concatenate([c * tree.cells + cells for c, cells in enumerate(near)]))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(VISITS)
     def cells_within(features: pa.Array, bound: pa.Array) -> pa.Array:
         points = block(features)
         limit = bound.to_numpy(zero_copy_only=False)
         row, cell = tree.route(points)
         own = np.empty(len(points), int)
         own[row] = cell
-        counts, lists = [], []
+        rows, cells = [np.empty(0, int)], [np.empty(0, int)]
         for lo in range(0, len(points), step):
             part, reach = points[lo : lo + step], limit[lo : lo + step]
             row, cell = tree.route_within(part, reach)
             away = np.sqrt(((part[row] - centres[cell]) ** 2).sum(axis=1))
             kept = away - radius[cell] <= reach[row] + SLACK * (1.0 + away)
             kept &= ~np.isin(own[lo + row] * tree.cells + cell, searched)
-            row, cell = row[kept], cell[kept]
-            counts.append(np.bincount(row, minlength=len(part)))
-            lists.append(cell[np.argsort(row, kind="stable")].astype(np.int32))
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else [0]
-        items = np.concatenate(lists) if lists else np.empty(0, int)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items, pa.int32()))
+            rows.append(row[kept] + lo)
+            cells.append(cell[kept])
+        return bundle_visits(np.concatenate(rows), np.concatenate(cells), len(points), bundle_of)
 
     return cells_within
 
 
-def _nearby(near: list[np.ndarray], tree):
+def _nearby(index: CellIndex, near: list[np.ndarray]):
     """Arrow function: vector to the cells that are searched first."""
+    tree, bundle_of = index.tree, index.bundle_of
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(VISITS)
     def cells_near(features: pa.Array) -> pa.Array:
         row, cell = tree.route(block(features))
-        own = np.empty(len(row), int)
-        own[row] = cell
-        ends = np.cumsum([0, *[len(near[c]) for c in own]])
-        items = np.concatenate([near[c] for c in own]) if len(own) else np.empty(0, int)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items, pa.int32()))
+        lists = [near[c] for c in cell]
+        cells = np.concatenate(lists) if lists else np.empty(0, int)
+        return bundle_visits(np.repeat(row, [len(c) for c in lists]), cells, len(features), bundle_of)
 
     return cells_near
 
@@ -179,15 +235,15 @@ def near_cells(index: CellIndex, k: int) -> list[np.ndarray]:
 
 
 def route_near(index: CellIndex, queries: DataFrame, near: list[np.ndarray]) -> DataFrame:
-    """``qid, features, cell_id``: the cells around each query."""
-    return queries.select("qid", "features", F.explode(_nearby(near, index.tree)("features")).alias("cell_id"))
+    """``qid, features, bundle, cells``: the cells around each query."""
+    return _routed(queries, _nearby(index, near)("features"))
 
 
 def other_cells(index: CellIndex, queries: DataFrame, bounds: DataFrame, near: list[np.ndarray],
                 max_distance: float = math.inf) -> DataFrame:
-    """``qid, features, cell_id``: cells beyond those searched first that a query's bound does not rule out."""
+    """``qid, features, bundle, cells``: cells beyond those searched first that a query's bound does not rule out."""
     bounded = queries.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(max_distance)))
-    return bounded.select("qid", "features", F.explode(_reachable(index, near)("features", "bound")).alias("cell_id"))
+    return _routed(bounded, _reachable(index, near)("features", "bound"))
 
 
 def knn_exact_pruned(index: CellIndex, queries: DataFrame, id_col: str = "qid", features_col: str = "features",

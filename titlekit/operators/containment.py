@@ -32,7 +32,8 @@ def nested_pairs(holders: DataFrame, parts: DataFrame, whole_words: bool = False
 
     Work grows with the number of different terms times the square of a term's length.
     """
-    spans = holders.select("term", F.explode(parts_of(F.col("term"), whole_words)).alias("part")).where("part <> term")
+    parts_count = int(holders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = holders.repartition(parts_count, "term").select("term", F.explode(parts_of(F.col("term"), whole_words)).alias("part")).where("part <> term")
     inner = parts.select(F.col("term").alias("part"))
     return spans.join(inner, "part", "left_semi").groupBy("term").agg(F.collect_list("part").alias("parts"))
 

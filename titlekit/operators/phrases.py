@@ -59,13 +59,14 @@ def is_joiner(tag, word) -> Column:
 def noun_phrases(tagged: DataFrame, id_col: str) -> DataFrame:
     """``(id, sentence, pos, phrase)``: runs of proper nouns with the joiners between them (TXT8).
 
-    A run ends at the first word that is neither; joiners at its ends are trimmed. One shuffle serves the window and
-    the grouping, because both are by text and sentence.
+    A run ends at the first word that is neither; joiners at its ends are trimmed. Only nouns and joiners are shuffled,
+    once for the window and the grouping, because both are by text and sentence: words of one run stand next to each
+    other, so place minus rank is the same for all of them.
     """
     noun = is_proper_noun(F.col("tag"), F.col("word"))
     marked = tagged.withColumn("_noun", noun).withColumn("_in", F.col("_noun") | is_joiner(F.col("tag"), F.col("word")))
-    by_sentence = Window.partitionBy(id_col, "sentence").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    runs = marked.withColumn("_run", F.sum(F.when(F.col("_in"), 0).otherwise(1)).over(by_sentence)).where("_in")
+    by_sentence = Window.partitionBy(id_col, "sentence").orderBy("pos")
+    runs = marked.where("_in").withColumn("_run", F.col("pos") - F.row_number().over(by_sentence))
     noun_pos = F.when(F.col("_noun"), F.col("pos"))
     grouped = runs.groupBy(id_col, "sentence", "_run").agg(
         F.min(noun_pos).alias("pos"),

@@ -12,7 +12,7 @@ from titlekit.operators.brands import brands_present, title_brands
 from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, title_words
 from titlekit.operators.vocabulary import index_to_term
-from titlekit.session import partitioned
+from titlekit.session import partitioned, spread
 from titlekit.sources.attributes import read_brands, read_model, read_terms
 from titlekit.sources.titles import read_unlabelled, write_results
 
@@ -102,7 +102,7 @@ def predict_job(spark: SparkSession, input_path, model_path: str, brands_path: s
                 lexicon: DataFrame | None = None, **options) -> None:
     """Predict from CSV files and write the results as CSV."""
     predicted = predict_titles(
-        read_unlabelled(spark, input_path), read_model(model_path), read_terms(spark, terms_path),
+        spread(read_unlabelled(spark, input_path)), read_model(model_path), read_terms(spark, terms_path),
         read_brands(spark, brands_path), lexicon, **options,
     )
     write_results(predicted, output_path)

@@ -38,7 +38,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as labelled titles: two nested core terms each, brands and stop words on some."""
-    part = table(spark, folder, "part")
+    part = spread(table(spark, folder, "part"))
     noun = F.split("p_name", " ")[1]
     brand = F.regexp_replace("p_brand", "#", "")
     return part.select(
@@ -74,7 +74,7 @@ features AS (
 
 def plain_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as titles with one core term and one brand each."""
-    part = table(spark, folder, "part")
+    part = spread(table(spark, folder, "part"))
     brand = F.regexp_replace("p_brand", "#", "")
     return part.select(
         F.col("p_partkey").alias("id"),

@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 from titlekit.knn.cells import cell_boxes, farthest_point, fit_cells
 from titlekit.knn.estimators import KNN, KNNClassifier, KNNRegression
 from titlekit.knn.predict import class_count, classified, regressed, votes, winners
-from titlekit.knn.search import knn_cells, knn_exact, knn_exact_pruned, route_queries, with_neighbors
+from titlekit.knn.search import knn_cells, knn_exact, knn_exact_pruned, routed_queries, with_neighbors
 from titlekit.knn.tau import sample_spacing, spacing_line, tau_from_line
 from titlekit.knn.vectors import euclidean
 from titlekit.operators.ranking import top_k
 from titlekit.operators.sampling import size_samples
 from titlekit.queries.catalog import query, table
-from titlekit.session import new_folder
+from titlekit.session import new_folder, spread
 
 K = 5
 
 
 def vectors(spark, folder, key="tid"):
-    return table(spark, folder, "embeddings").select(
+    return spread(table(spark, folder, "embeddings")).select(
         F.col("vec_id").alias(key), F.col("embedding").cast("array<double>").alias("features"),
         F.col("label").cast("double").alias("label"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"),
     )
@@ -123,7 +123,7 @@ def stored_cells(spark, folder):
 WITH {SPLIT_SQL}
 SELECT id AS qid, 0 AS cell_id FROM sides WHERE dl - dr <= 0.1 UNION ALL SELECT id, 1 FROM sides WHERE dr - dl <= 0.1""")
 def routed(spark, folder):
-    return route_queries(one_split(spark, folder, buffer_size=0.1), asked(spark, folder)).select("qid", "cell_id")
+    return routed_queries(one_split(spark, folder, buffer_size=0.1), asked(spark, folder)).select("qid", F.explode("cells").alias("cell_id"))
 
 
 ROUTED_SQL = f"""
