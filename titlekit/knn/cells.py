@@ -20,7 +20,9 @@ BLOCK_BYTES = 64 * 1024 * 1024
 SAMPLE_BYTES = 256 * 1024 * 1024
 REFINE_ROUNDS = 8
 SPLIT_POINTS = 100_000
+# Bundles a core gets, unless they would have fewer rows than are worth a task's overhead.
 BUNDLES_PER_CORE = 16
+BUNDLE_ROWS = 128
 
 CELL_TYPE = pa.list_(pa.struct([("cell_id", pa.int32()), ("centre_distance", pa.float64())]))
 
@@ -208,7 +210,7 @@ def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "featur
         assigned = _assigned(rows, tree, tau, spill)
         stats = _cell_stats(assigned)
     sizes = {r["cell_id"]: r["size"] for r in stats}
-    share = -(-total // (BUNDLES_PER_CORE * spark.sparkContext.defaultParallelism))
+    share = max(BUNDLE_ROWS, -(-total // (BUNDLES_PER_CORE * spark.sparkContext.defaultParallelism)))
     index = CellIndex(
         tree, tau, spill, assigned, sizes, {r["cell_id"]: r["radius"] for r in stats},
         bundled(sizes, tree.cells, min(share, block_rows(dimensions))), {}, tuple(aux), dimensions, copies,
