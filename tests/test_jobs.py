@@ -111,6 +111,11 @@ def test_quotes_and_delimiters(spark, tmp_path):
     assert read_unlabelled(spark, str(tmp_path / "b.csv"), escape='"').first()[0] == 'a "b"'
 
 
+def test_paths_are_uris(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("product_name\nx\n")
+    assert read_unlabelled(spark, f"file://{tmp_path}/*.csv").first()[0] == "x"
+
+
 def test_terms_in_one_row(spark, tmp_path):
     spark.createDataFrame([("labels", ["b", "a"])], "attr_term string, value array<string>").write.parquet(str(tmp_path / "t"))
     assert [tuple(r) for r in read_terms(spark, str(tmp_path / "t")).orderBy("label_index").collect()] == [(0, "b"), (1, "a")]

@@ -252,3 +252,11 @@ def test_regression(spark, vector_rows):
     assert model.predict(spark, [6.0, 6.0]) == 1.0 and model.predict(spark, Vectors.dense([0.0, 0.0])) == 0.0
     model.set("maxDistance", 0.01)
     assert model.predict(spark, [100.0, 100.0]) is None
+
+
+def test_defaults():
+    knn = KNN()
+    values = {p.name: knn.getOrDefault(p) for p in knn.params if knn.hasDefault(p)}
+    wanted = {"k": 5, "topTreeSize": 1000, "topTreeLeafSize": 10, "subTreeLeafSize": 30, "bufferSize": -1.0, "balanceThreshold": 0.7}
+    assert wanted.items() <= values.items() and values["maxDistance"] == math.inf
+    assert values["bufferSizeSampleSizes"] == list(range(100, 1001, 100))
