@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import collections
+import functools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+MOST_CLASSES = 200
 MASK64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -82,8 +86,6 @@ def by_slice(df: DataFrame, function: Callable[[list[bytes]], list], schema: str
 
 def byte_set(pattern: str) -> np.ndarray:
     """The bytes of a regular expression's character class, as 256 booleans."""
-    import re
-
     found = re.compile(pattern.encode())
     return np.array([bool(found.fullmatch(bytes([i]))) for i in range(256)])
 
@@ -169,46 +171,38 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int,
-                    chars: int) -> list[tuple[bytes, int, int, float]]:
-    """A bounded sample of labelled texts that may be learned from: (text, label, sample label's rows, weight).
+                    chars: int) -> list[tuple[bytes, object, float]]:
+    """A bounded sample of labelled texts that may be learned from: (text, label, weight).
 
     From each class come at most ``rows`` ids, the lowest by a hash of the id, so that a rare class is not crowded out;
-    the weight gives a class its share among all labelled rows again. Texts are taken in hash order until their lengths
+    the weights give a class its share among all labelled rows again. Texts are taken in hash order until their bytes
     pass ``chars``. An id labelled twice counts with its larger label; an id that stands for several documents gives the
     longest text. Only these rows reach the driver.
     """
-    known = labels.select(col(id_col).alias("i"), col(label_col).cast("int").alias("y"))
+    known = labels.select(col(id_col).alias("i"), col(label_col).alias("y"))
     known = known.where("i IS NOT NULL AND y IS NOT NULL").where(learnable("i")).groupBy("i").agg(F.max("y").alias("y"))
-    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(shares) > 100:
-        raise ValueError(f"{label_col} has more than 100 classes")
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows) for y in sorted(shares)]
-    if not parts:
+    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().limit(MOST_CLASSES + 1).collect()}
+    if len(shares) > MOST_CLASSES:
+        raise ValueError(f"{label_col} has more than {MOST_CLASSES} classes")
+    if not shares:
         return []
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows) for y in sorted(shares)]
+    chosen = functools.reduce(DataFrame.unionByName, parts)
     own = docs.select(col(id_col).alias("i"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    found = own.join(F.broadcast(chosen), "i")  # at most ``rows`` ids for each class
-    sizes = found.groupBy("i", "y").agg(F.max(F.octet_length("t")).alias("n")).collect()
-    order = _by_hash([r["i"] for r in sizes])
-    taken, total, at = set(), 0, {r["i"]: r["n"] for r in sizes}
-    for i in order:
-        total += at[i]
+    # at most ``rows`` ids for each class are broadcast
+    found = own.join(F.broadcast(chosen), "i")
+    sizes = found.groupBy("i", "y").agg(F.max(F.octet_length("t")).alias("n")).orderBy(F.xxhash64("i"), "i").collect()
+    taken, total = [], 0
+    for r in sizes:
+        total += r["n"]
         if taken and total > chars:
             break
-        taken.add(i)
-    ids = docs.sparkSession.createDataFrame([(i,) for i in taken], f"i {dict(own.dtypes)['i']}")
-    texts = found.join(F.broadcast(ids), "i").groupBy("i", "y").agg(F.max_by("t", F.struct(F.octet_length("t"), "t")).alias("t")).collect()
-    have: dict[int, int] = {}
-    for r in texts:
-        have[r["y"]] = have.get(r["y"], 0) + 1
-    place = {i: k for k, i in enumerate(order)}
-    texts.sort(key=lambda r: place[r["i"]])
-    return [(r["t"].encode(), r["y"], have[r["y"]], shares[r["y"]] / have[r["y"]]) for r in texts]
-
-
-def _by_hash(ids: list) -> list:
-    import zlib
-
-    return sorted(ids, key=lambda i: (zlib.crc32(str(i).encode()) * 2654435761 % (1 << 32), str(i)))
+        taken.append((r["i"],))
+    if not taken:
+        return []
+    if len(taken) < len(sizes):
+        ids = docs.sparkSession.createDataFrame(taken, f"i {dict(own.dtypes)['i']}")
+        found = found.join(F.broadcast(ids), "i")
+    texts = found.groupBy("i", "y").agg(F.max_by("t", F.struct(F.octet_length("t"), "t")).alias("t")).orderBy(F.xxhash64("i"), "i").collect()
+    have = collections.Counter(r["y"] for r in texts)
+    return [(r["t"].encode(), r["y"], shares[r["y"]] / have[r["y"]]) for r in texts]
