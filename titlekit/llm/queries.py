@@ -6,19 +6,125 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlekit.llm import simhash
+from titlekit.llm import bpe, decontaminate, quality, rules, secrets, simhash, toxicity
 from titlekit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
 
+    return register
 
-@query
+
+def tokenizer_file() -> str:
+    """The vocabulary on this machine; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op1_quality_line_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by the field over its lines."""
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op2_toxicity_machine(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by the factorization machine."""
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
 def op4_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+OP6_SQL = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+starts AS (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[s:s + 9], ' ') AS win FROM starts),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM lowered, lengths WHERE len(ws) >= n),
+strings AS (SELECT rid, n, s, array_to_string(ws[s:s + n - 1], ' ') AS win FROM places),
+met AS (SELECT rid, s, n, item FROM strings JOIN windows USING (n, win)),
+covered AS (SELECT rid, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT rid, s, n FROM met)),
+hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM covered GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM met GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hits USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+@query(OP6_SQL)
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("items")
+
+
+def secrets_sql(kinds: tuple[secrets.Rule, ...]) -> str:
+    """Spans by splitting each text at the rules' matches."""
+    parts = []
+    for n, rule in enumerate(kinds):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+  SELECT rid, {n} AS rule, '{rule.kind}' AS kind, start, start + length(found[i]) AS "end" FROM (
+    SELECT rid, found, groups, i,
+           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+      SELECT rid, string_split_regex(body, {pattern}) AS gaps, regexp_extract_all(body, {pattern}) AS found,
+             regexp_extract_all(body, {pattern}, {rule.group}) AS groups FROM texts)))
+  WHERE length(groups[i]) >= {rule.least}""")
+    base = [n for n, r in enumerate(kinds) if r.base]
+    counts = ", ".join(f"count(*) FILTER (rule = {n}) AS n_{kinds[n].kind}" for n in base)
+    own = f"rule IN ({', '.join(map(str, base))})"
+    spelled = "kind || ':' || start::BIGINT || ':' || \"end\"::BIGINT"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+listed AS (
+  SELECT rid, {counts},
+         coalesce(string_agg({spelled}, ',' ORDER BY start, rule) FILTER ({own}), '') AS base,
+         string_agg({spelled}, ',' ORDER BY start, rule) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kinds[n].kind}, 0)::BIGINT AS n_{kinds[n].kind}" for n in base)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (rid)
+"""
+
+
+@query(secrets_sql(secrets.RULES))
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.report(table(spark, folder, "documents"))
+
+
+@query()
+def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and what decoding them gives back."""
+    return bpe.round_trip(table(spark, folder, "documents"), tokenizer_file())
+
+
+@query()
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document and the verdict on it."""
+    return rules.verdicts(table(spark, folder, "documents"))
