@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlekit.llm import bpe, decontaminate, quality, rules, secrets, simhash, toxicity
+from titlekit.llm import bpe, decontaminate, langid, quality, rules, secrets, simhash, toxicity
 from titlekit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and the verdict on it."""
     return rules.verdicts(table(spark, folder, "documents"))
+
+
+@query()
+def op5_language_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by its nearest centroid."""
+    return langid.predicted(table(spark, folder, "documents"))
