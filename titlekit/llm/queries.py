@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlekit.llm import bpe, decontaminate, langid, quality, rules, secrets, simhash, toxicity
+from titlekit.llm import bpe, decontaminate, extract, langid, quality, rules, secrets, simhash, toxicity
 from titlekit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_language_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document by its nearest centroid."""
     return langid.predicted(table(spark, folder, "documents"))
+
+
+@query()
+def op8_html_content_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extracted(table(spark, folder, "pages"))
