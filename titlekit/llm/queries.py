@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlekit.llm import bpe, decontaminate, extract, langid, quality, rules, secrets, simhash, toxicity
+from titlekit.llm import bpe, decontaminate, extract, langid, pii, quality, rules, secrets, simhash, toxicity
 from titlekit.llm.common import table
 
+#: The key of this query's surrogates; a user of the operator gives a secret one.
+PII_KEY = b"surrogates of the query"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -140,3 +143,9 @@ def op5_language_centroids(spark: SparkSession, folder: str) -> DataFrame:
 def op8_html_content_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return extract.extracted(table(spark, folder, "pages"))
+
+
+@query()
+def op3_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with personal data replaced by surrogates."""
+    return pii.surrogated(table(spark, folder, "documents"), PII_KEY)
