@@ -82,7 +82,7 @@ def test_odd_rows_pass_with_their_columns(spark, odd, nothing):
 
 def test_shift_table_skips(monkeypatch):
     """A text that shares no block with the windows is looked at once in nine words."""
-    names, tables = decontaminate.tables_of([("1", " ".join(f"w{i}" for i in range(30)))], 10)
+    names, tables = decontaminate.tables_of([("1", b" ".join(b"w%d" % i for i in range(30)))], 10)
     words = decontaminate.Words([b" ".join(b"z%d" % i for i in range(9000))], decontaminate.ALNUM)
     codes = words.codes()
     looked = []

@@ -7,7 +7,7 @@ is, if no merge across their border ever comes before the merges that use up its
 from the end gives the ids. The work is linear in a piece's bytes, whatever it holds.
 
 A text is first cut at the special tokens' strings, then into pieces by the vocabulary's pattern, as the file says. Pieces
-recur, so each task keeps the ids of up to ``CACHE`` of them. Long texts are cut into pieces in stretches. The vocabulary
+recur, so each worker keeps the ids of recent ones. Long texts are cut into pieces in stretches. The vocabulary
 file is read on the driver, measured, and broadcast.
 
 Null and empty texts have no tokens. Repeated rows are encoded each; an empty table gives an empty result; extra columns
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import ahocorasick
@@ -32,8 +32,9 @@ from titlekit.llm.common import by_slice, col
 from titlekit.session import spread
 
 VOCABULARY_BYTES = 64 << 20
-CACHE = 200_000
-CACHE_BYTES = 32 << 20
+CACHE = 300_000
+PAIRS = 1_000_000
+LONG_PIECE = 100
 STRETCH = 1 << 20
 #: Fixed value: the pattern of this kind of vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +47,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids of recent pieces: at most ``CACHE`` here and as many in the generation before."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece) or self.make(piece)
+        if len(piece) < LONG_PIECE:
+            if len(self) >= CACHE:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Tokens:
     """A vocabulary and its merges."""
 
@@ -77,9 +95,8 @@ class Tokens:
         never = len(pairs)
         self.right = {i: self._edge(i, 1, never) for i in own}
         self.left = {i: self._edge(i, 0, never) for i in own}
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0
+        self.compatible: dict[int, bool] = {}
+        self.known = Known(self.piece)
 
     def _edge(self, token: int, side: int, used: int) -> list[tuple[int, int]]:
         """The tokens that stand at one edge of a token as it grows, and the rank of the merge that uses each up."""
@@ -92,30 +109,36 @@ class Tokens:
 
     def fits(self, a: int, b: int) -> bool:
         """The bytes of a and b together are encoded as a, b."""
-        known = self.compatible.get((a, b))
-        if known is None:
-            rank = self.rank
-            known = True
-            for x, x_used in self.right[a]:
-                for y, y_used in self.left[b]:
-                    r = rank.get((x, y))
-                    # of equal merges that overlap, the left one comes first
-                    if r is not None and r < x_used and r <= y_used:
-                        known = False
-            if len(self.compatible) > 4 * CACHE:
-                self.compatible.clear()
-            self.compatible[a, b] = known
-        return known
+        rank = self.rank
+        for x, x_used in self.right[a]:
+            for y, y_used in self.left[b]:
+                r = rank.get((x, y))
+                # of equal merges that overlap, the left one comes first
+                if r is not None and r < x_used and r <= y_used:
+                    return False
+        return True
 
     def encode_piece(self, raw: bytes) -> list[int]:
         last = [-1] * (len(raw) + 1)
         sizes = [0] * (len(raw) + 1)
+        known = self.compatible
+        if len(known) > PAIRS:
+            known.clear()
         for end, (token, size) in self.automaton.iter(raw.decode("latin-1")):
             end += 1
             if last[end] < 0:
                 start = end - size
-                if not start or last[start] >= 0 and self.fits(last[start], token):
-                    last[end], sizes[end] = token, size
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    pair = before << 24 | token
+                    fit = known.get(pair)
+                    if fit is None:
+                        fit = known[pair] = self.fits(before, token)
+                    if not fit:
+                        continue
+                last[end], sizes[end] = token, size
         out = []
         at = len(raw)
         while at:
@@ -125,16 +148,7 @@ class Tokens:
 
     def piece(self, piece: str) -> bytes:
         """The ids of a piece as little-endian 32-bit numbers."""
-        found = self.cache.get(piece)
-        if found is None:
-            found = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
-            if len(self.cache) >= CACHE or self.cached > CACHE_BYTES:
-                self.cache.clear()
-                self.cached = 0
-            if len(piece) < 1000:
-                self.cache[piece] = found
-                self.cached += len(piece) + len(found)
-        return found
+        return np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
 
     def stretches(self, text: str) -> Iterator[str]:
         """Parts of a text whose pieces are the pieces of the text: cut before a blank between two letters."""
@@ -153,11 +167,7 @@ class Tokens:
                 yield self.special[part].to_bytes(4, "little")
             elif part:
                 for some in self.stretches(part):
-                    pieces = self.pieces.findall(some)
-                    try:
-                        yield b"".join(map(self.cache.__getitem__, pieces))
-                    except KeyError:
-                        yield b"".join([self.piece(p) for p in pieces])
+                    yield b"".join(map(self.known.__getitem__, self.pieces.findall(some)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens; ids outside the vocabulary have none."""

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlekit.session import materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (columns a, b): root is the same for all nodes of a component.
+    """(node, root) for every node of ``links`` (columns a, b): root is the lowest node of a component.
 
-    In each round the nodes get a random order (a hash of node and round) and every node hooks onto the first of itself
-    and its neighbours. These pointers form trees; they are doubled until all point to a root, and the links are drawn
-    anew between roots; loops and repeats go. A root has no neighbour that is a root, so at least half of the nodes that
-    still have links vanish in a round; the random order keeps the trees low, even along a chain. Tables are written to
-    the shared folder after each step, and both sides of each join come from there, so that a hub's rows can be split.
+    In each round every node hooks onto the lowest of itself and its neighbours. These pointers form trees; they are
+    doubled until all point to a root, which takes the logarithm of the trees' height, and the links are drawn anew
+    between roots; loops and repeats go. No two roots are linked before that, so at least half of the nodes that still
+    have links vanish in a round. Tables are written to the shared folder after each step, and both sides of each join
+    come from there, so that a hub's rows can be split; nothing is broadcast.
     """
     links = materialise(links.where("a <> b").select("a", "b").distinct())
-    roots, number = None, 0
+    roots = None
     while not links.isEmpty():
-        number += 1
-
-        def rank(node: str, number: int = number) -> Column:
-            return F.struct(F.xxhash64(node, F.lit(number)).alias("h"), F.col(node).alias("node"))
-
         both = links.union(links.select("b", "a"))
-        first = both.groupBy("a").agg(F.min(rank("b")).alias("first"))
-        hooks = materialise(first.select("a", F.least(F.col("first"), rank("a"))["node"].alias("p")))
+        hooks = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")))
         while True:
             further = hooks.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            doubled = materialise(hooks.join(further, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            doubled = materialise(hooks.join(further.hint("merge"), "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
             hooks = doubled.select("a", "p")
             if doubled.where("moved").isEmpty():
                 break
@@ -38,9 +32,9 @@ def components(links: DataFrame) -> DataFrame:
             roots = hooks.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
             onward = hooks.withColumnRenamed("a", "root")
-            roots = materialise(roots.join(onward, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        ends = links.join(hooks, "a").select(F.col("p").alias("c"), "b")
-        ends = ends.join(hooks.withColumnRenamed("a", "b"), "b").select("c", F.col("p").alias("d"))
+            roots = materialise(roots.join(onward.hint("merge"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        ends = links.join(hooks.hint("merge"), "a").select(F.col("p").alias("c"), "b")
+        ends = ends.join(hooks.withColumnRenamed("a", "b").hint("merge"), "b").select("c", F.col("p").alias("d"))
         links = materialise(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -170,7 +170,7 @@ class Page:
     def measures(self) -> np.ndarray:
         """One row of features for each block."""
         n = len(self.parent)
-        rows = np.zeros((n, len(TAGS) + len(HINTS) + 10))
+        rows = np.zeros((n, len(TAGS) + 2 * len(HINTS) + 10))
         length = np.array([sum(len(t.strip()) for t in own) for own in self.own], dtype=np.float64)
         stops = np.array([sum(len(STOPS.findall(t)) for t in own) for own in self.own], dtype=np.float64)
         linked = np.array(self.linked, dtype=np.float64)
@@ -186,10 +186,12 @@ class Page:
         places = np.array([TAG_PLACE.get(t, -1) for t in self.tags])
         known = np.flatnonzero(places >= 0)
         rows[known, places[known]] = 1
-        hints = np.array(self.hints)
+        hints, up = np.array(self.hints), np.maximum(np.array(self.parent), 0)
+        above = hints[up] | hints[up[up]]  # of the block around and the one around that
         for k in range(len(HINTS)):
             rows[:, len(TAGS) + k] = (hints >> k) & 1
-        at = len(TAGS) + len(HINTS)
+            rows[:, len(TAGS) + len(HINTS) + k] = (above >> k) & 1
+        at = len(TAGS) + 2 * len(HINTS)
         for k, values in enumerate((np.log1p(length), np.log1p(below), linked / (length + 1), linked_below / (below + 1), np.minimum(stops / (length + 1) * 10, 1), np.minimum(stops_below / (below + 1) * 10, 1), np.log1p(paragraphs), before, np.minimum(np.array(self.depth), 12) / 4, below / total)):
             rows[:, at + k] = values
         return rows

@@ -44,6 +44,9 @@ BODIES = (
     "<div data-label='content'><h1>{s}</h1>{p}{p}</div>",
     "<table class='layout'><tr><td class='side'><ul>{l}</ul></td><td data-label='content'><h1>{s}</h1>{p}{p}</td></tr></table>",
     "<div class='wrap'><div class='entry-content' data-label='content'><h2>{s}</h2><p>{s}</p><pre>{s}</pre><h3>{w} {w}</h3>{p}<ol><li>{s}</li><li><p>{s}</p></li></ol></div></div>",
+    "<article data-label='content'><h1>{s}</h1>{p}<section class='comments' data-label='other'><h3>{w}</h3><div class='comment'><p>{s} {s}</p></div></section></article>",
+    "<main><article data-label='content'><h1>{s}</h1>{p}<div id='comments' data-label='other'><h2>{w} {w}</h2><ol><li><p>{s}</p><p>{s}</p></li></ol></div></article></main>",
+    "<article data-label='content'><h1>{s}</h1>{p}<div class='social' data-label='other'><span>{w}</span> <a href='/s'>{w}</a></div><div class='promo' data-label='other'><h3>{s}</h3><p>{s}</p></div>{p}</article>",
     "<article data-label='content'><p>{s}</p></article>",
     "<article data-label='content'><h1>{w}</h1><p>{w}.</p></article>",
     "<article data-label='content'><h1>{s}</h1>{p}<form data-label='other'><label>{w}</label><input><button>{w}</button></form><div class='related' data-label='other'><h3>{w}</h3><ul>{l}</ul><p>{s}</p></div></article>",
