@@ -58,6 +58,6 @@ def clean_text(text) -> Column:
 
 
 def short_phrases(phrases, max_words: int = MAX_PHRASE_WORDS) -> Column:
-    """Lower-cased phrases of at most ``max_words`` words (TXT7)."""
-    kept = F.filter(phrases, lambda p: F.size(F.split(p, " +")) <= max_words)
+    """Lower-cased phrases of at most ``max_words`` words; blanks at the end make no word (TXT7)."""
+    kept = F.filter(phrases, lambda p: F.size(F.split(F.rtrim(p), " +")) <= max_words)
     return F.transform(kept, lambda p: F.lower(p))

@@ -18,7 +18,6 @@ from titlekit.operators.sampling import sample_rows, unit_hash
 # Bytes of vectors that one task holds at a time, and that the driver's sample may take.
 BLOCK_BYTES = 64 * 1024 * 1024
 SAMPLE_BYTES = 256 * 1024 * 1024
-REFINE_ROUNDS = 8
 SPLIT_POINTS = 100_000
 # Bundles a core gets, unless they would have fewer rows than are worth a task's overhead.
 BUNDLES_PER_CORE = 16
@@ -97,13 +96,8 @@ def router(tree: PivotTree, tau: float, side: str):
 
 
 def drawn_points(sample: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and vectors of a bounded sample ``(tid, cell_id, features)`` in an order drawn by ``seed``.
-
-    Refused if the sample would not fit the driver comfortably.
-    """
+    """Cells and vectors of a bounded sample ``(tid, cell_id, features)`` in an order drawn by ``seed``."""
     table = sample.select(unit_hash(seed, "tid").alias("drawn"), "tid", "cell_id", "features").toArrow()
-    if table.nbytes > SAMPLE_BYTES:
-        raise ValueError("the sample for the pivot tree is too large; lower top_tree_size")
     table = table.sort_by([("drawn", "ascending"), ("tid", "ascending")])
     return table["cell_id"].to_numpy(), block(table["features"])
 
@@ -126,6 +120,11 @@ def without_surplus_copies(rows: DataFrame, copies: int) -> DataFrame:
     return rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= copies).drop("_copy")
 
 
+def sample_points(dimensions: int) -> int:
+    """Vectors that the driver's sample may hold, from their width."""
+    return max(2, SAMPLE_BYTES // (8 * max(1, dimensions)))
+
+
 def block_rows(dimensions: int) -> int:
     return max(1, BLOCK_BYTES // (8 * max(1, dimensions)))
 
@@ -153,20 +152,28 @@ def _cell_stats(assigned: DataFrame) -> list:
 
 
 def _split_crowded(tree: PivotTree, assigned: DataFrame, stats: list, max_cell_rows: int, leaf_size: int,
-                   seed: int) -> bool:
-    """Split cells above ``max_cell_rows`` again, the largest first, each from a bounded sample of its own rows."""
-    large = sorted(((r["size"], r["cell_id"]) for r in stats if r["size"] > max_cell_rows), reverse=True)
-    crowded = {c: n for n, c in large[: max(1, SPLIT_POINTS // (4 * leaf_size))]}
+                   seed: int, points_at_once: int, whole: set[int]) -> bool:
+    """Split cells above ``max_cell_rows`` again, the largest first, each from a bounded sample of its own rows.
+
+    Cells whose sample cannot be told apart are entered in ``whole`` and not tried again. False if none is left to try.
+    """
+    large = sorted(((r["size"], r["cell_id"]) for r in stats if r["size"] > max_cell_rows and r["cell_id"] not in whole), reverse=True)
+    crowded = {c: n for n, c in large[: max(1, points_at_once // (4 * leaf_size))]}
     if not crowded:
         return False
-    share = SPLIT_POINTS // len(crowded)
+    share = max(leaf_size + 1, points_at_once // len(crowded))
     wanted = {c: min(n, share, leaf_size * (2 + 2 * n // max_cell_rows)) for c, n in crowded.items()}
     fraction = F.create_map(*[F.lit(x) for c, n in crowded.items() for x in (c, wanted[c] / n)])
     drawn = assigned.where(F.col("cell_id").isin(list(crowded))).where(
         unit_hash(seed, F.lit("cell"), "tid") < fraction[F.col("cell_id")]
     )
     owner, points = drawn_points(drawn, seed)
-    return any([tree.split_cell(c, points[owner == c], leaf_size) for c in sorted(crowded) if (owner == c).sum() > leaf_size])
+    for c in sorted(crowded):
+        own = points[owner == c]
+        # a sample of less than two points is drawn anew in the next round
+        if len(own) > 1 and not tree.split_cell(c, own, min(leaf_size, len(own) - 1)):
+            whole.add(c)
+    return True
 
 
 def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "features", aux: tuple[str, ...] = (), *,
@@ -184,6 +191,14 @@ def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "featur
     """
     if spill not in ("query", "train"):
         raise ValueError("spill is 'query' or 'train'")
+    if min(top_tree_size, top_tree_leaf_size, sub_tree_leaf_size) < 1:
+        raise ValueError("sizes of trees and leaves are at least 1")
+    if buffer_size < 0 and buffer_size != -1:
+        raise ValueError("buffer_size is -1 (estimated) or at least 0")
+    if len(buffer_size_sample_sizes) < 2 or min(buffer_size_sample_sizes) < 1:
+        raise ValueError("at least two positive sample sizes")
+    if not 0 <= balance_threshold <= 1:
+        raise ValueError("balance_threshold is from 0 to 1")
     spark = train.sparkSession
     rows = vector_rows(train, id_col, features_col, aux, "tid")
     if copies is not None:
@@ -198,17 +213,17 @@ def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "featur
         tau = estimate_tau(rows, "tid", "features", buffer_size_sample_sizes, seed, total)
     else:
         tau = 0.0
-    tree = _grown_tree(rows, total, top_tree_size, top_tree_leaf_size, seed, tau,
+    tree = _grown_tree(rows, total, min(top_tree_size, sample_points(dimensions)), top_tree_leaf_size, seed, tau,
                        balance_threshold if spill == "train" else 0.0)
     max_cell_rows = max_cell_rows or block_rows(dimensions)
-    for attempt in range(REFINE_ROUNDS):
+    whole: set[int] = set()
+    attempt = 0
+    while True:
         assigned = _assigned(rows, tree, tau, spill)
         stats = _cell_stats(assigned)
-        if not _split_crowded(tree, assigned, stats, max_cell_rows, sub_tree_leaf_size, seed + attempt + 1):
+        attempt += 1
+        if not _split_crowded(tree, assigned, stats, max_cell_rows, sub_tree_leaf_size, seed + attempt, min(SPLIT_POINTS, sample_points(dimensions)), whole):
             break
-    else:
-        assigned = _assigned(rows, tree, tau, spill)
-        stats = _cell_stats(assigned)
     sizes = {r["cell_id"]: r["size"] for r in stats}
     share = max(BUNDLE_ROWS, -(-total // (BUNDLES_PER_CORE * spark.sparkContext.defaultParallelism)))
     index = CellIndex(

@@ -19,6 +19,7 @@ from titlekit.knn.tau import SAMPLE_SIZES
 from titlekit.session import materialise
 
 ROW_KEY = "_row_key"
+AUX = "_aux_{}"
 
 
 class KNNParams(HasFeaturesCol, HasSeed):
@@ -37,13 +38,14 @@ class KNNParams(HasFeaturesCol, HasSeed):
     bufferSizeSampleSizes = Param(Params._dummy(), "bufferSizeSampleSizes", "sample sizes of the estimate", TypeConverters.toListInt)
     balanceThreshold = Param(Params._dummy(), "balanceThreshold", "greatest share of a child of an overlapping node", TypeConverters.toFloat)
     spill = Param(Params._dummy(), "spill", "'query' or 'train': which side is copied near a boundary", TypeConverters.toString)
+    copies = Param(Params._dummy(), "copies", "rows of equal vectors that the index keeps; 0: all. A fitted model then takes any k up to it", TypeConverters.toInt)
     exact = Param(Params._dummy(), "exact", "visit every cell that may hold a neighbour", TypeConverters.toBoolean)
 
     def _defaults(self) -> None:
         self._setDefault(
             idCol="", k=DEFAULT_K, inputCols=[], neighborsCol="neighbors", distanceCol="", maxDistance=math.inf,
             topTreeSize=1000, topTreeLeafSize=10, subTreeLeafSize=30, bufferSize=-1.0,
-            bufferSizeSampleSizes=list(SAMPLE_SIZES), balanceThreshold=0.7, spill="query", exact=False, seed=0,
+            bufferSizeSampleSizes=list(SAMPLE_SIZES), balanceThreshold=0.7, spill="query", copies=0, exact=False, seed=0,
         )
 
     def set(self, param, value):
@@ -51,6 +53,22 @@ class KNNParams(HasFeaturesCol, HasSeed):
         self._set(**{param if isinstance(param, str) else param.name: value})
         return self
 
+    def _check(self) -> None:
+        """Refuse values that make no sense, at fitting and at every use."""
+        get = self.getOrDefault
+        for bad, said in (
+            (get("k") < 1, "k is at least 1"),
+            (not get("maxDistance") > 0, "maxDistance is above 0"),
+            (get("bufferSize") < 0 and get("bufferSize") != -1, "bufferSize is -1 (estimated) or at least 0"),
+            (min(get("topTreeSize"), get("topTreeLeafSize"), get("subTreeLeafSize")) < 1, "sizes of trees and leaves are at least 1"),
+            (len(get("bufferSizeSampleSizes")) < 2 or min(get("bufferSizeSampleSizes"), default=0) < 1, "at least two positive sample sizes"),
+            (not 0 <= get("balanceThreshold") <= 1, "balanceThreshold is from 0 to 1"),
+            (get("spill") not in ("query", "train"), "spill is 'query' or 'train'"),
+            (get("copies") < 0, "copies is at least 0"),
+        ):
+            if bad:
+                raise ValueError(said)
+
     def _keyed(self, df: DataFrame) -> tuple[DataFrame, str]:
         key = self.getOrDefault("idCol")
         if key:
@@ -58,13 +76,17 @@ class KNNParams(HasFeaturesCol, HasSeed):
         return materialise(df.withColumn(ROW_KEY, F.monotonically_increasing_id())), ROW_KEY
 
     def _index(self, df: DataFrame, aux: tuple[str, ...]) -> CellIndex:
+        """The index of the training rows; the columns ``aux`` travel under names of their own, so any may be asked for."""
+        self._check()
         rows, key = self._keyed(df)
         get = self.getOrDefault
+        own = [F.col(c).alias(AUX.format(i)) for i, c in enumerate(aux)]
+        rows = rows.select(F.col(key).alias(ROW_KEY), F.col(get("featuresCol")).alias("_features"), *own)
         return fit_cells(
-            rows, key, get("featuresCol"), aux, top_tree_size=get("topTreeSize"),
+            rows, ROW_KEY, "_features", tuple(AUX.format(i) for i in range(len(aux))), top_tree_size=get("topTreeSize"),
             top_tree_leaf_size=get("topTreeLeafSize"), sub_tree_leaf_size=get("subTreeLeafSize"),
             buffer_size=get("bufferSize"), buffer_size_sample_sizes=get("bufferSizeSampleSizes"),
-            balance_threshold=get("balanceThreshold"), spill=get("spill"), seed=get("seed"), copies=get("k"),
+            balance_threshold=get("balanceThreshold"), spill=get("spill"), seed=get("seed"), copies=get("copies") or None,
         )
 
 
@@ -80,6 +102,7 @@ class _KNNModelBase(Model, KNNParams):
         return copied
 
     def _found(self, rows: DataFrame, key: str) -> DataFrame:
+        self._check()
         get = self.getOrDefault
         if get("exact"):
             return knn_exact_pruned(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"))
@@ -97,8 +120,9 @@ class KNNModel(_KNNModelBase):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows, key = self._keyed(dataset)
         get = self.getOrDefault
-        out = with_neighbors(rows, self._found(rows, key), key, tuple(self.index.aux) or ("tid",), get("neighborsCol"),
-                             get("distanceCol") or None)
+        found = self._found(rows, key)
+        named = tuple(F.col(a).alias(c) for a, c in zip(self.index.aux, get("inputCols"))) or (F.col("tid"),)
+        out = with_neighbors(rows, found, key, named, get("neighborsCol"), get("distanceCol") or None)
         return out.drop(ROW_KEY)
 
 
@@ -143,13 +167,13 @@ class KNNClassificationModel(_KNNModelBase, _Supervised):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows, key = self._keyed(dataset)
         get = self.getOrDefault
-        scored = classified(rows.select(key), self._found(rows, key), self.numClasses, key, get("labelCol"), get("weightCol") or None)
-        out = scored.select(
-            key,
-            array_to_vector(scored["raw"]).alias(get("rawPredictionCol")),
-            array_to_vector(scored["probability"]).alias(get("probabilityCol")),
-            scored["prediction"].alias(get("predictionCol")),
-        ) if get("rawPredictionCol") else scored
+        scored = classified(rows.select(key), self._found(rows, key), self.numClasses, key, AUX.format(0), AUX.format(1) if get("weightCol") else None)
+        made = (
+            ("rawPredictionCol", array_to_vector(scored["raw"])),
+            ("probabilityCol", array_to_vector(scored["probability"])),
+            ("predictionCol", scored["prediction"]),
+        )
+        out = scored.select(key, *[c.alias(get(name)) for name, c in made if get(name)])
         return rows.join(out, key, "left").drop(ROW_KEY)
 
 
@@ -181,7 +205,9 @@ class KNNRegressionModel(_KNNModelBase, _Supervised):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows, key = self._keyed(dataset)
         get = self.getOrDefault
-        means = regressed(rows.select(key), self._found(rows, key), key, get("labelCol"), get("weightCol") or None)
+        if not get("predictionCol"):
+            return rows.drop(ROW_KEY)
+        means = regressed(rows.select(key), self._found(rows, key), key, AUX.format(0), AUX.format(1) if get("weightCol") else None)
         return rows.join(means.withColumnRenamed("prediction", get("predictionCol")), key, "left").drop(ROW_KEY)
 
     def predict(self, spark, vector) -> float | None:
@@ -191,8 +217,8 @@ class KNNRegressionModel(_KNNModelBase, _Supervised):
         values = [float(x) for x in (vector.toArray() if isinstance(vector, Vector) else vector)]
         one = spark.createDataFrame([(0, values)], f"qid long, `{self.getOrDefault('featuresCol')}` array<double>")
         found = self._found(one, "qid")
-        weight = self.getOrDefault("weightCol") or None
-        return regressed(one.select("qid"), found, "qid", self.getOrDefault("labelCol"), weight).first()["prediction"]
+        weight = AUX.format(1) if self.getOrDefault("weightCol") else None
+        return regressed(one.select("qid"), found, "qid", AUX.format(0), weight).first()["prediction"]
 
 
 class KNNRegression(Estimator, _Supervised):

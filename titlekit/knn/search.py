@@ -142,7 +142,11 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return top_k(found, ["qid"], [F.col("distance").asc(), F.col("tid").asc()], k)
 
 
-def _check_copies(index: CellIndex, k: int) -> None:
+def _check_search(index: CellIndex, k: int, max_distance: float) -> None:
+    if k < 1:
+        raise ValueError("k is at least 1")
+    if not max_distance > 0:
+        raise ValueError("the greatest distance is above 0")
     if index.copies is not None and k > index.copies:
         raise ValueError(f"the index keeps {index.copies} copies of equal vectors; fit it with copies >= {k}")
 
@@ -167,18 +171,48 @@ def routed_queries(index: CellIndex, queries: DataFrame, tau: float | None = Non
 def knn_cells(index: CellIndex, queries: DataFrame, id_col: str = "qid", features_col: str = "features",
               k: int = DEFAULT_K, max_distance: float = math.inf, tau: float | None = None) -> DataFrame:
     """Neighbours ``qid, tid, distance, rank, aux...`` among the visited cells; approximate unless tau is infinite."""
-    _check_copies(index, k)
-    routed = routed_queries(index, vector_rows(queries, id_col, features_col, (), "qid"), tau)
-    found = search_cells(index, routed, k, max_distance)
-    if index.spill == "train":
-        found = found.dropDuplicates(["qid", "tid"])
-    return _ranked(found, k)
+    _check_search(index, k, max_distance)
+    asked = vector_rows(queries, id_col, features_col, (), "qid")
+    found = search_cells(index, routed_queries(index, asked, tau), k, max_distance)
+    if index.spill != "train":
+        return _ranked(found, k)
+    return _filled(index, asked, _once(found, k), k, max_distance)
+
+
+def _once(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query, where a training row may have been met in several cells; one shuffle, by query."""
+    return _ranked(found.repartition("qid").dropDuplicates(["qid", "tid"]), k)
+
+
+def _filled(index: CellIndex, asked: DataFrame, found: DataFrame, k: int, max_distance: float) -> DataFrame:
+    """Neighbours in cells with overlap, where queries that got fewer than ``k`` take the rest from cells further off.
+
+    The cells of nearest centre that hold enough rows are searched; copies of rows in several cells may leave a query
+    short again, so the number of rows is doubled until all queries are served or have seen every cell.
+    """
+    enough, total, done = 2 * k, sum(index.sizes.values()), None
+    open_ones = asked
+    while True:
+        found = materialise(found)
+        counts = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        short = materialise(open_ones.join(counts, "qid", "left").where(F.coalesce("n", F.lit(0)) < k).drop("n"))
+        served = found if done is None else done.unionByName(found)
+        if short.isEmpty():
+            return served
+        done = materialise(served.join(short.select("qid"), "qid", "left_anti"))
+        near = index.tree.neighbourhoods(index.sizes, min(enough, total))
+        found = _once(search_cells(index, route_near(index, short, near), k, max_distance), k)
+        if enough >= total:
+            return done.unionByName(found)
+        open_ones, enough = short, 2 * enough
 
 
 def knn_exact(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, max_distance: float = math.inf,
               aux: tuple[str, ...] = (), train_id: str = "tid", query_id: str = "qid",
               features_col: str = "features") -> DataFrame:
     """Exact neighbours by comparing every query with every training vector, block by block (KNN2)."""
+    if k < 1 or not max_distance > 0:
+        raise ValueError("k is at least 1 and the greatest distance above 0")
     index = single_cell(train, train_id, features_col, aux)
     routed = vector_rows(queries, query_id, features_col, (), "qid").select(
         "*", F.lit(0).alias("bundle"), F.array(F.lit(0)).alias("cells")
@@ -191,7 +225,8 @@ def _reachable(index: CellIndex, near: list[np.ndarray]):
     tree, bundle_of = index.tree, index.bundle_of
     centres = np.array(tree.centres)
     radius = np.array([index.radius.get(c, -math.inf) for c in range(tree.cells)])
-    step = max(1, 4 * CHUNK_CELLS // tree.cells)
+    # pairs of a query and a cell at a time, each with a difference of vectors
+    step = max(1, 4 * CHUNK_CELLS // (tree.cells * max(1, index.dimensions)))
     searched = np.unique(np.concatenate([c * tree.cells + cells for c, cells in enumerate(near)]))
 
     @F.arrow_udf(VISITS)
@@ -255,13 +290,14 @@ def knn_exact_pruned(index: CellIndex, queries: DataFrame, id_col: str = "qid",
     """
     if index.spill == "train":
         raise ValueError("exact search needs cells without overlap")
-    _check_copies(index, k)
+    _check_search(index, k, max_distance)
     asked = vector_rows(queries, id_col, features_col, (), "qid")
     around = near_cells(index, k)
-    near = _ranked(materialise(search_cells(index, route_near(index, asked, around), k, max_distance)), k)
+    # the routed queries are counted and then searched: they are written down between the two
+    near = _ranked(materialise(search_cells(index, materialise(route_near(index, asked, around)), k, max_distance)), k)
     bounds = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
     bounds = bounds.select("qid", F.when(F.col("n") >= k, F.col("far")).alias("bound"))
-    far = search_cells(index, other_cells(index, asked, bounds, around, max_distance), k, max_distance)
+    far = search_cells(index, materialise(other_cells(index, asked, bounds, around, max_distance)), k, max_distance)
     return _ranked(near.drop("rank").unionByName(far), k)
 
 

@@ -77,12 +77,17 @@ class PivotTree:
                 self.children[node] = (subtree if left == leaf else left, subtree if right == leaf else right)
         return True
 
+    def _check(self, points: np.ndarray) -> None:
+        if len(points) and self.centres and points.shape[1] != len(self.centres[0]):
+            raise ValueError("queries and training vectors differ in length")
+
     def route(self, points: np.ndarray, tau: float = 0.0, side: str = "nearest"):
         """(row, cell) pairs for a batch.
 
         ``nearest``: the one cell on the side of the nearer pivot. ``query``: also the other side where the two pivots
         are within ``tau``, except at overlapping nodes. ``train``: the reverse, two sides at overlapping nodes only.
         """
+        self._check(points)
         rows, cells = [], []
         everyone = np.arange(len(points))
         stack = [(0 if self.children else -1, everyone)]
@@ -116,6 +121,7 @@ class PivotTree:
         Training rows lie on the side of their nearer pivot, so a row on the other side of the plane half-way between
         the pivots is at least as far as the plane.
         """
+        self._check(points)
         rows, cells = [], []
         stack = [(0 if self.children else -1, np.arange(len(points)))]
         while stack:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,14 @@ def block(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    if rows and values.size % rows:
-        raise ValueError("vectors differ in length")
+    numbers = column.flatten()
+    if numbers.null_count:
+        raise ValueError("a vector holds a null")
+    if rows:
+        lengths = pc.min_max(pc.list_value_length(column))
+        if lengths["min"] != lengths["max"]:
+            raise ValueError("vectors differ in length")
+    values = numbers.to_numpy(zero_copy_only=False)
     return values.reshape(rows, -1) if rows else values.reshape(0, 0)
 
 
@@ -51,6 +57,9 @@ def nearest_in_block(queries: np.ndarray, points: np.ndarray, point_ids: np.ndar
     exactly and the ids decide.
     """
     found = ([], [], [])
+    if len(queries) and len(points) and queries.shape[1] != points.shape[1]:
+        raise ValueError("queries and training vectors differ in length")
+    pairs_at_once = max(1, CHUNK_CELLS // max(1, queries.shape[1]))
     norms = (points**2).sum(axis=1)
     step = max(1, CHUNK_CELLS // max(1, len(points)))
     for start in range(0, len(queries), step):
@@ -63,8 +72,8 @@ def nearest_in_block(queries: np.ndarray, points: np.ndarray, point_ids: np.ndar
         else:
             q, p = np.divmod(np.arange(len(part) * len(points)), max(1, len(points)))
         distance = np.empty(len(q))
-        for lo in range(0, len(q), CHUNK_CELLS // 16):
-            hi = lo + CHUNK_CELLS // 16
+        for lo in range(0, len(q), pairs_at_once):
+            hi = lo + pairs_at_once
             distance[lo:hi] = np.sqrt(((part[q[lo:hi]] - points[p[lo:hi]]) ** 2).sum(axis=1))
         near = distance <= max_distance
         q, p, distance = q[near], p[near], distance[near]

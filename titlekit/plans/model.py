@@ -13,39 +13,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import with_ngrams
+from titlekit.operators.lookup import lookup_join
 from titlekit.operators.training import corpus_stop_words, without_corpus_words
+from titlekit.operators.vocabulary import numbered
 from titlekit.session import materialise
 
 HASHED_FEATURES = 1000
-# Words and classes that the driver may hold as a list.
-STOP_WORD_LIST = 100_000
-MAX_CLASSES = 100_000
+WHOLE_VOCABULARY = 2**31 - 1
 
 
 @dataclass
 class TermModel:
+    """The fitted stages, and the corpus stop words that are taken from tokens before them, as a table ``(word)``."""
+
     model: PipelineModel
     metric: float
     labels: list[str]
+    stop_words: DataFrame
 
 
-def stop_word_list(features: DataFrame) -> list[str] | None:
-    """The corpus stop words as a list, or None if there are too many for one (AGG2)."""
-    words = corpus_stop_words(features).limit(STOP_WORD_LIST + 1).toArrow()["word"].to_pylist()
-    return sorted(words) if len(words) <= STOP_WORD_LIST else None
-
+def term_stages(num_trees: int = 8, vectors: str = "counts", classifier: str = "forest", pca_k: int | None = None,
+                default_stop_words: bool = False, vocab_size: int | None = None, hashed_features: int = HASHED_FEATURES,
+                seed: int = 0) -> Pipeline:
+    """Vector and classifier over the column ``tokens`` (ML2-ML4; ML6-ML8 and TXT4 as options).
 
-def term_stages(stop_words: list[str], num_trees: int = 8, vectors: str = "counts", classifier: str = "forest",
-                pca_k: int | None = None, default_stop_words: bool = False, seed: int = 0) -> Pipeline:
-    """Stop words, vector and classifier over the column ``tokens`` (ML2-ML4; ML6-ML8 and TXT4 as options)."""
-    words = list(stop_words)
-    if default_stop_words:
-        words += StopWordsRemover.loadDefaultStopWords("english")
-    remover = StopWordsRemover(inputCol="tokens", outputCol="clean_tokens", stopWords=words or [""])
+    All tokens are counted unless ``vocab_size`` keeps only the most frequent ones; the vocabulary is part of the saved
+    model, so for very many tokens either give ``vocab_size`` or take ``vectors="hashed"``.
+    """
+    words = StopWordsRemover.loadDefaultStopWords("english") if default_stop_words else [""]
+    remover = StopWordsRemover(inputCol="tokens", outputCol="clean_tokens", stopWords=words)
     if vectors == "counts":
-        vector = CountVectorizer(inputCol="clean_tokens", outputCol="features")
+        vector = CountVectorizer(inputCol="clean_tokens", outputCol="features", vocabSize=vocab_size or WHOLE_VOCABULARY)
     elif vectors == "hashed":
-        vector = HashingTF(inputCol="clean_tokens", outputCol="features", numFeatures=HASHED_FEATURES)
+        vector = HashingTF(inputCol="clean_tokens", outputCol="features", numFeatures=hashed_features)
     else:
         raise ValueError("vectors is 'counts' or 'hashed'")
     stages, column = [remover, vector], "features"
@@ -64,12 +64,8 @@ def term_stages(stop_words: list[str], num_trees: int = 8, vectors: str = "count
 def indexed(features: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add ``label``, the place of the target by frequency, then by name (ML1).
 
-    The classifier keeps its classes as a list on the driver, so too many are refused; ``train`` can leave rare terms to
-    the lookup.
+    The classifier keeps its classes as a list on the driver; ``train`` can leave rare terms to the lookup.
     """
-    classes = features.select("target").distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} terms for one classifier; raise min_term_count")
     indexer = StringIndexer(inputCol="target", outputCol="label", stringOrderType="frequencyDesc").fit(features)
     return indexer.transform(features), list(indexer.labels)
 
@@ -80,6 +76,27 @@ def halves(features: DataFrame, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     return train, test
 
 
+def without_stop_words(titles: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """``titles`` with the stop words taken out of ``tokens``; the same step in training and in prediction."""
+    if stop_words.isEmpty():
+        return titles
+    keyed = materialise(titles.withColumn("_row", F.monotonically_increasing_id()))
+    kept = without_corpus_words(keyed, "_row", "tokens", stop_words, "_kept")
+    return kept.withColumn("tokens", F.col("_kept")).drop("_row", "_kept")
+
+
+def dealt(rows: DataFrame, fold_key: str, folds: int) -> tuple[DataFrame, int]:
+    """Add ``fold``: the different keys are numbered in hash order and dealt out in turn, so no fold is empty.
+
+    With fewer keys than folds there are as many folds as keys.
+    """
+    keys = materialise(rows.select(fold_key).distinct())
+    folds = max(2, min(folds, keys.count()))
+    placed = numbered(keys, [F.xxhash64(fold_key), F.col(fold_key)], "_place")
+    places = materialise(placed.select(fold_key, F.pmod("_place", F.lit(folds)).cast("int").alias("fold")))
+    return lookup_join(rows, places, [fold_key]), folds
+
+
 def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", num_trees: int = 8,
                      fold_key: str = "title", seed: int = 0, **stages) -> TermModel:
     """Cross-validate and fit the classifier on rows ``tokens, target, stop_words`` (ML1-ML5).
@@ -87,20 +104,15 @@ def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", n
     All rows of one ``fold_key`` go to one fold, so the score is not helped by copies of a title. The rows are written
     down once, because every fold reads them.
     """
-    words = stop_word_list(features)
+    words = materialise(corpus_stop_words(features))
     labelled, labels = indexed(features)
-    fold = F.pmod(F.xxhash64(F.col(fold_key)), F.lit(folds)).cast("int")
-    rows = labelled.select(fold_key, "label", with_ngrams("tokens").alias("tokens"), fold.alias("fold"))
-    if words is None:
-        keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
-        rows = without_corpus_words(keyed, "_row", "tokens", corpus_stop_words(features), "kept").drop("tokens", "_row")
-        rows, words = rows.withColumnRenamed("kept", "tokens"), []
-    rows = materialise(rows.select("label", "tokens", "fold"))
+    rows, folds = dealt(labelled.select(fold_key, "label", with_ngrams("tokens").alias("tokens")), fold_key, folds)
+    rows = materialise(without_stop_words(rows, words).select("label", "tokens", "fold"))
     validator = CrossValidator(
-        estimator=term_stages(words, num_trees, seed=seed, **stages),
+        estimator=term_stages(num_trees, seed=seed, **stages),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=metric),
         numFolds=folds, foldCol="fold", seed=seed,
     )
     fitted = validator.fit(rows)
-    return TermModel(fitted.bestModel, fitted.avgMetrics[0], labels)
+    return TermModel(fitted.bestModel, fitted.avgMetrics[0], labels, words)

@@ -12,8 +12,9 @@ from titlekit.operators.brands import brands_present, title_brands
 from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, title_words
 from titlekit.operators.vocabulary import index_to_term
-from titlekit.session import partitioned, spread
-from titlekit.sources.attributes import read_brands, read_model, read_terms
+from titlekit.plans.model import without_stop_words
+from titlekit.session import materialise, partitioned, spread
+from titlekit.sources.attributes import read_brands, read_model, read_stop_words, read_terms
 from titlekit.sources.titles import read_unlabelled, write_results
 
 REPEAT_ROWS = 100_000
@@ -51,17 +52,20 @@ def core_terms(titles: DataFrame, id_col: str, terms: DataFrame, lexicon: DataFr
 
 
 def named_titles(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame,
-                 min_len: int = PREDICT_MIN_LEN) -> DataFrame:
-    """``id, product_name, tokens, predicted_term``, cached and partitioned by ``id``.
+                 min_len: int = PREDICT_MIN_LEN, stop_words: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, product_name, tokens, predicted_term`` and the columns ``keep``, cached and partitioned by ``id``.
 
-    Without a model there is no predicted term, and the known terms of the title stand in for it.
+    Without a model there is no predicted term, and the known terms of the title stand in for it. ``stop_words`` are
+    taken from what the model sees, as in training. The caller drops the cache with ``unpersist``.
     """
-    featured = title_features(titles.select(id_col, "product_name"), min_len)
+    featured = title_features(titles.select(id_col, "product_name", *keep), min_len)
     if model is None:
-        named = featured.withColumn("predicted_term", F.lit(None).cast("string"))
-    else:
-        named = index_to_term(scored(featured, model, id_col), terms, out="predicted_term").drop("prediction")
-    return partitioned(named, id_col)
+        return partitioned(featured.withColumn("predicted_term", F.lit(None).cast("string")), id_col)
+    seen = featured.withColumn("_tokens", F.col("tokens"))
+    if stop_words is not None:
+        seen = without_stop_words(seen, stop_words)
+    predicted = model.transform(seen).select(id_col, "product_name", F.col("_tokens").alias("tokens"), "prediction", *keep)
+    return partitioned(index_to_term(predicted, terms, out="predicted_term").drop("prediction"), id_col)
 
 
 def predict_named(named: DataFrame, id_col: str, terms: DataFrame, brands: DataFrame, lexicon: DataFrame | None = None,
@@ -71,31 +75,58 @@ def predict_named(named: DataFrame, id_col: str, terms: DataFrame, brands: DataF
     return title_brands(core_terms(named, id_col, terms, lexicon, whole_words), id_col, "core_terms", present, brands)
 
 
+def written_once(found: DataFrame, named: DataFrame) -> DataFrame:
+    """``found`` written to the shared folder; the cache it was computed from is dropped."""
+    try:
+        return materialise(found)
+    finally:
+        named.unpersist()
+
+
 def predict(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
-            lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False) -> DataFrame:
-    """``id, product_name, core_terms, brands`` as lists, for rows with a unique ``id``."""
-    return predict_named(named_titles(titles, id_col, model, terms, min_len), id_col, terms, brands, lexicon, whole_words)
+            lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False,
+            stop_words: DataFrame | None = None) -> DataFrame:
+    """``id, product_name, core_terms, brands`` as lists, one row for each row of ``titles``.
+
+    Rows are numbered inside, so repeated and null ids are kept apart. The result is written down, and no cache stays.
+    """
+    rows = materialise(titles.select(F.col(id_col).alias("_id"), "product_name").withColumn("_title", F.monotonically_increasing_id()))
+    named = named_titles(rows, "_title", model, terms, min_len, stop_words, keep=("_id",))
+    found = predict_named(named, "_title", terms, brands, lexicon, whole_words)
+    ids = named.select("_title", "_id")
+    joined = found.join(ids, "_title").select(F.col("_id").alias(id_col), "product_name", "core_terms", "brands")
+    return written_once(joined, named)
 
 
 def predict_titles(titles: DataFrame, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
                    lexicon: DataFrame | None = None, **options) -> DataFrame:
     """``product_name, core_terms, brands`` for rows without a key.
 
-    Equal titles have equal results, so each different title is predicted once and its result repeated as often as the
-    title occurs. Repeats are made in pieces of bounded size that are spread over the tasks, so a title that fills a
-    third of the table does not fall to one of them.
+    Equal titles have equal results, so titles are counted and each different one is predicted once; the count travels
+    with it, and the result is repeated as often. Only titles above ``REPEAT_ROWS`` are cut into pieces that are spread
+    over the tasks, so a title that fills a third of the table does not fall to one of them. Null titles have empty lists.
     """
-    counts = titles.groupBy("product_name").agg(F.count(F.lit(1)).alias("_times"))
-    keyed = counts.where("product_name is not null").select("product_name", F.col("product_name").alias("title_key"))
-    results = predict(keyed, "title_key", model, terms, brands, lexicon, **options).drop("title_key")
-    joined = counts.join(results, "product_name", "left")
-    pieces = joined.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / REPEAT_ROWS).cast("int"))))
-    spread = pieces.repartition("product_name", "_piece")
-    rows = F.least(F.lit(REPEAT_ROWS), F.col("_times") - F.col("_piece") * F.lit(REPEAT_ROWS)).cast("int")
+    found = predicted_once(titles, model, terms, brands, lexicon, **options)
+    often = found.where(F.col("_times") > REPEAT_ROWS)
+    pieces = often.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / REPEAT_ROWS).cast("int"))))
+    rest = F.least(F.lit(REPEAT_ROWS), F.col("_times") - F.col("_piece") * F.lit(REPEAT_ROWS))
+    spread_out = pieces.repartition("product_name", "_piece").withColumn("_times", rest).drop("_piece")
+    every = found.where(F.col("_times") <= REPEAT_ROWS).unionByName(spread_out)
+    repeated = every.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("product_name", "core_terms", "brands")
     none = F.array().cast("array<string>")
-    return spread.withColumn("_row", F.explode(F.sequence(F.lit(1), rows))).select(
-        "product_name", F.coalesce("core_terms", none).alias("core_terms"), F.coalesce("brands", none).alias("brands")
-    )
+    nameless = titles.where("product_name is null").select("product_name", none.alias("core_terms"), none.alias("brands"))
+    return repeated.unionByName(nameless)
+
+
+def predicted_once(titles: DataFrame, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
+                   lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False,
+                   stop_words: DataFrame | None = None) -> DataFrame:
+    """``product_name, core_terms, brands, _times`` of each different title that is not null, written down."""
+    counts = titles.where("product_name is not null").groupBy("product_name").agg(F.count(F.lit(1)).alias("_times"))
+    keyed = counts.withColumn("_title", F.col("product_name"))
+    named = named_titles(keyed, "_title", model, terms, min_len, stop_words, keep=("_times",))
+    found = predict_named(named, "_title", terms, brands, lexicon, whole_words)
+    return written_once(found.join(named.select("_title", "_times"), "_title").drop("_title"), named)
 
 
 def predict_job(spark: SparkSession, input_path, model_path: str, brands_path: str, terms_path: str, output_path: str,
@@ -103,6 +134,6 @@ def predict_job(spark: SparkSession, input_path, model_path: str, brands_path: s
     """Predict from CSV files and write the results as CSV."""
     predicted = predict_titles(
         spread(read_unlabelled(spark, input_path)), read_model(model_path), read_terms(spark, terms_path),
-        read_brands(spark, brands_path), lexicon, **options,
+        read_brands(spark, brands_path), lexicon, stop_words=read_stop_words(spark, model_path), **options,
     )
     write_results(predicted, output_path)

@@ -13,7 +13,7 @@ from titlekit.operators.training import training_features
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.plans.model import TermModel, train_term_model
 from titlekit.session import materialise, spread
-from titlekit.sources.attributes import write_model, write_table
+from titlekit.sources.attributes import stop_words_path, write_model, write_table
 from titlekit.sources.titles import read_labelled
 
 
@@ -42,9 +42,10 @@ def train(labelled: DataFrame, folds: int = 10, metric: str = "f1", num_trees: i
 
 
 def train_job(spark: SparkSession, input_path, model_path: str, brands_path: str, terms_path: str, **options) -> Trained:
-    """Train from CSV files and write the model and both tables."""
+    """Train from CSV files and write the model and the tables; stop words go beside the model."""
     trained = train(spread(read_labelled(spark, input_path)), **options)
     write_model(trained.term_model.model, model_path)
+    write_table(trained.term_model.stop_words, stop_words_path(model_path))
     write_table(trained.brands, brands_path)
     write_table(trained.terms, terms_path)
     return trained

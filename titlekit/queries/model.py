@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, CountVectorizer, HashingTF
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import title_tokens, with_ngrams
 from titlekit.operators.evaluation import weighted_metrics
+from titlekit.operators.lookup import lookup_join
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.operators.training import training_features
-from titlekit.plans.model import halves, indexed, term_stages, train_term_model
+from titlekit.plans.model import dealt, halves, indexed, term_stages, train_term_model
 from titlekit.plans.predict import predict, predict_titles
 from titlekit.plans.train import train
 from titlekit.queries.catalog import LABELLED_SQL, PLAIN_SQL, joined, labelled_titles, merged_sql, plain_titles, query, table, tokens_sql
@@ -38,19 +41,19 @@ grams AS (SELECT unnest({merged_sql('tokens')}) AS token FROM features)
 SELECT token, count(*)::DOUBLE AS total FROM grams GROUP BY token""")
 def count_vectors(spark, folder):
     rows = training_features(labelled_titles(spark, folder)).select(with_ngrams("tokens").alias("tokens"))
-    model = CountVectorizer(inputCol="tokens", outputCol="features").fit(rows)
-    total = model.transform(rows).agg(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
+    # the engine's stages up to the vectors; no token is left out of the vocabulary
+    fitted = Pipeline(stages=term_stages(TREES).getStages()[:2]).fit(rows)
+    total = fitted.transform(rows).agg(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
     named = total.select(F.posexplode("s").alias("i", "total"))
-    # the vocabulary is bounded by CountVectorizer's vocabSize
-    words = spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, token string")
-    return named.join(words, "i").select("token", "total")
+    words = spark.createDataFrame(list(enumerate(fitted.stages[1].vocabulary)), "i int, token string")
+    return lookup_join(named, words, ["i"]).select("token", "total")
 
 
 @query("ml3_ml4_ml10_forest")
 def forest(spark, folder):
     rows, _ = indexed(plain_features(spark, folder))
     rows = materialise(rows.select("id", "label", with_ngrams("tokens").alias("tokens")))
-    model = term_stages([], TREES).fit(rows)
+    model = term_stages(TREES).fit(rows)
     return model.transform(rows).select("id", "label", "prediction")
 
 
@@ -62,6 +65,63 @@ def cross_validation(spark, folder):
     return weighted_metrics(scored).withColumn("cross_validated_f1", F.lit(fitted.metric))
 
 
+MARKED_SQL = """
+marked AS (
+  SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS target
+  FROM part)"""
+
+
+def marked_rows(spark, folder):
+    """Titles with one more token that alone decides the target."""
+    colour = F.element_at(F.array(F.lit("red"), F.lit("green"), F.lit("blue")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), colour.alias("target"))
+    tokens = F.concat(title_tokens("title"), F.array(F.concat(F.lit("mark"), "target")))
+    return materialise(rows.select("id", "title", "target", tokens.alias("tokens"), F.array().cast("array<string>").alias("stop_words")))
+
+
+def named_predictions(model, rows, labels):
+    names = rows.sparkSession.createDataFrame([(float(i), t) for i, t in enumerate(labels)], "prediction double, predicted string")
+    return lookup_join(model.transform(rows), names, ["prediction"], "left").select("id", "target", "predicted")
+
+
+@query("ml3_ml4_ml10_separable_forest", f"WITH {MARKED_SQL} SELECT id, target, target AS predicted FROM marked")
+def separable_forest(spark, folder):
+    rows, labels = indexed(marked_rows(spark, folder))
+    return named_predictions(term_stages(40, seed=3).fit(rows), rows, labels)
+
+
+@query("ml8_separable_one_vs_rest", f"WITH {MARKED_SQL} SELECT id, target, target AS predicted FROM marked")
+def separable_one_vs_rest(spark, folder):
+    rows, labels = indexed(marked_rows(spark, folder))
+    return named_predictions(term_stages(vectors="hashed", classifier="one_vs_rest").fit(rows), rows, labels)
+
+
+@query("ml5_folds", f"""
+WITH keys AS (SELECT DISTINCT p_name AS title FROM part)
+SELECT title, true AS one_fold, true AS even, {FOLDS + 1} AS folds FROM keys""")
+def even_folds(spark, folder):
+    """Every title is in one fold, and the folds differ by at most one title."""
+    rows, folds = dealt(marked_rows(spark, folder), "title", FOLDS + 1)
+    sizes = [r["n"] for r in rows.groupBy("fold").agg(F.count_distinct("title").alias("n")).collect()]
+    even = len(sizes) == folds and max(sizes) - min(sizes) <= 1
+    return rows.groupBy("title").agg((F.count_distinct("fold") == 1).alias("one_fold"), F.lit(even).alias("even"), F.lit(folds).alias("folds"))
+
+
+@query("ml6_total_variance", """
+WITH numbers AS (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS value FROM embeddings),
+spreads AS (SELECT i, var_samp(value) AS v FROM numbers GROUP BY i)
+SELECT round(sum(v), 6) AS variance, true AS descending FROM spreads""")
+def total_variance(spark, folder):
+    """All components together carry the variance of the vectors, the first one most."""
+    rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    reduced = PCA(k=64, inputCol="features", outputCol="components").fit(rows).transform(rows)
+    values = reduced.select(F.posexplode(vector_to_array("components")).alias("i", "value"))
+    spreads = materialise(values.groupBy("i").agg(F.var_samp("value").alias("v")))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "v")))
+    falling = F.forall(F.sequence(F.lit(1), F.size(ordered) - 1), lambda i: F.get(ordered, i)["v"] <= F.get(ordered, i - 1)["v"] + 1e-9)
+    return spreads.agg(F.round(F.sum("v"), 6).alias("variance"), falling.alias("descending"))
+
+
 @query("ml6_components")
 def components(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
@@ -72,29 +132,49 @@ def components(spark, folder):
 
 
 @query("ml7_hashed_counts", f"""
-WITH {PLAIN_SQL}
-SELECT id, len({merged_sql('t')})::DOUBLE AS total FROM (SELECT id, {tokens_sql('product_name', 2)} AS t FROM titles)""")
+WITH {PLAIN_SQL},
+grams AS (SELECT id, unnest({merged_sql('t')}) AS token FROM (SELECT id, {tokens_sql('product_name', 2)} AS t FROM titles))
+SELECT token, count(*)::DOUBLE AS total, count(DISTINCT id) AS titles, true AS one_bucket, true AS spread_out
+FROM grams GROUP BY token""")
 def hashed_counts(spark, folder):
+    """Every title's bucket counts, led back to its tokens: a token's bucket is the same in all titles, its count there
+    is the token's count whenever no other token of the title shares the bucket, and few tokens share one."""
     rows = plain_titles(spark, folder).select("id", title_tokens("product_name").alias("t")).select("id", with_ngrams("t").alias("tokens"))
-    hashed = HashingTF(numFeatures=1000, inputCol="tokens", outputCol="features").transform(rows)
-    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
-    return hashed.select("id", total.alias("total"))
+    stages = term_stages(vectors="hashed", hashed_features=1 << 18).getStages()[:2]
+    hashed = Pipeline(stages=stages).fit(rows).transform(rows).select("id", "features")
+    grams = rows.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = materialise(grams.select("token").distinct())
+    alone = tokens.select("token", F.array("token").alias("tokens"))
+    buckets = Pipeline(stages=stages).fit(alone).transform(alone).select("token", F.posexplode(vector_to_array("features")).alias("bucket", "one")).where("one > 0")
+    buckets = materialise(buckets.select("token", "bucket"))
+    spread_out = buckets.select("bucket").distinct().count() > 0.9 * buckets.count()
+    held = hashed.select("id", F.posexplode(vector_to_array("features")).alias("bucket", "held")).where("held > 0")
+    expected = grams.join(buckets, "token").withColumn("all", F.sum("n").over(Window.partitionBy("id", "bucket")))
+    met = expected.join(held, ["id", "bucket"], "left")
+    return met.groupBy("token").agg(
+        F.sum(F.when(F.col("all") == F.col("held"), F.col("n"))).cast("double").alias("total"),
+        F.count(F.lit(1)).alias("titles"),
+        (F.count_distinct("bucket") == 1).alias("one_bucket"),
+        F.lit(spread_out).alias("spread_out"),
+    )
 
 
 @query("ml8_one_vs_rest")
 def one_vs_rest(spark, folder):
     rows, _ = indexed(plain_features(spark, folder))
     rows = materialise(rows.select("id", "label", F.col("tokens")))
-    model = term_stages([], vectors="hashed", classifier="one_vs_rest").fit(rows)
+    model = term_stages(vectors="hashed", classifier="one_vs_rest").fit(rows)
     return model.transform(rows).select("id", "label", "prediction")
 
 
-@query("ml9_random_halves", f"WITH {LABELLED_SQL} SELECT count(*) AS n, true AS more_training FROM features")
+@query("ml9_random_halves", f"WITH {LABELLED_SQL} SELECT id, target, count(*) AS n, true AS share_of_training FROM features GROUP BY id, target")
 def random_halves(spark, folder):
+    """Both parts together are the rows, each once, and about seven tenths are in the first."""
     rows = materialise(training_features(labelled_titles(spark, folder), keep=("id",)))
     first, second = halves(rows)
-    counted = first.select(F.lit(1).alias("one"), F.lit(0).alias("two")).unionByName(second.select(F.lit(0).alias("one"), F.lit(1).alias("two")))
-    return counted.agg(F.count(F.lit(1)).alias("n"), (F.sum("one") > F.sum("two")).alias("more_training"))
+    both = materialise(first.withColumn("part", F.lit(1)).unionByName(second.withColumn("part", F.lit(0))))
+    share = both.agg(F.avg("part")).first()[0]
+    return both.groupBy("id", "target").agg(F.count(F.lit(1)).alias("n")).withColumn("share_of_training", F.lit(bool(0.6 < share < 0.8)))
 
 
 TERMS_SQL = f"""
@@ -113,7 +193,7 @@ def checked_predictions(spark, folder):
     rows = plain_features(spark, folder)
     fitted = train_term_model(rows, FOLDS, "f1", TREES)
     found = predict(plain_titles(spark, folder), "id", fitted.model, materialise(term_vocabulary(rows)),
-                    spark.createDataFrame([], "term string, brand string"))
+                    spark.createDataFrame([], "term string, brand string"), stop_words=fitted.stop_words)
     return found.select("id", F.array_join(F.array_sort("core_terms"), "|").alias("terms"))
 
 
@@ -131,7 +211,7 @@ def train_and_predict(spark, folder):
     """The whole path: train on the titles, then predict the same titles without their labels."""
     titles = plain_titles(spark, folder)
     trained = train(titles, folds=FOLDS, num_trees=TREES)
-    found = predict_titles(titles, trained.term_model.model, trained.terms, materialise(trained.brands))
+    found = predict_titles(titles, trained.term_model.model, trained.terms, materialise(trained.brands), stop_words=trained.term_model.stop_words)
     return found.select("product_name", joined("core_terms"), joined("brands"))
 
 

@@ -64,7 +64,7 @@ def saved_model(spark, folder):
     """A model read back scores every title as the one that was written."""
     rows, _ = indexed(plain_features(spark, folder))
     rows = materialise(rows.select("id", "label", "tokens"))
-    model = term_stages([], 2).fit(rows)
+    model = term_stages(2).fit(rows)
     path = new_folder(spark, "model")
     write_model(model, path)
     before = model.transform(rows).select("id", F.col("prediction").alias("before"))

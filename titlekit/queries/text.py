@@ -77,7 +77,7 @@ def cleaned(spark, folder):
 
 @query("txt7_short_phrases", """
 SELECT doc_id, array_to_string(list_transform(
-         list_filter(string_split(text, ','), lambda p: len(regexp_split_to_array(p, ' +')) < 4),
+         list_filter(string_split(text, ','), lambda p: len(regexp_split_to_array(rtrim(p, ' '), ' +')) < 4),
          lambda p: lower(p)), '|') AS phrases
 FROM documents""")
 def short_document_phrases(spark, folder):

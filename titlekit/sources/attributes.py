@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,5 +28,18 @@ def write_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def stop_words_path(model_path: str) -> str:
+    """Where the corpus stop words of a saved model are: beside it."""
+    return f"{str(model_path).rstrip('/')}-stop-words"
+
+
+def read_stop_words(spark: SparkSession, model_path: str) -> DataFrame | None:
+    """``word``: the stop words of a saved model; None if it was saved without."""
+    try:
+        return spark.read.parquet(stop_words_path(model_path)).select("word")
+    except AnalysisException:
+        return None
+
+
 def read_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

@@ -26,7 +26,8 @@ def read_columns(spark: SparkSession, path, columns: tuple[str, ...], delimiter:
     if missing:
         raise ValueError(f"no column {sorted(missing)} in {path}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.options(**options).schema(schema).csv(path).select(*columns)
+    # the names are compared in every file, so one with another order of columns fails instead of being misread
+    return spark.read.options(**options, enforceSchema=False).schema(schema).csv(path).select(*columns)
 
 
 def read_labelled(spark: SparkSession, path, **options) -> DataFrame:

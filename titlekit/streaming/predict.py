@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from titlekit.functions.text import PREDICT_MIN_LEN
-from titlekit.plans.predict import named_titles, predict_named
+from titlekit.plans.predict import predict, predict_titles
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int | None = None,
@@ -22,20 +22,22 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return reader.load(path)
 
 
-def predict_stream(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
+def predict_stream(titles: DataFrame, id_col: str | None, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
                    output_path: str, checkpoint_location: str, lexicon: DataFrame | None = None,
-                   available_now: bool = True, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False) -> StreamingQuery:
+                   available_now: bool = True, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False,
+                   stop_words: DataFrame | None = None) -> StreamingQuery:
     """Start a query that predicts each micro-batch with the batch plan and writes it as Parquet (STR1, STR2).
 
-    A batch has a folder of its own, which a repeated batch overwrites, so each title is written once even if a batch
-    is run again after a failure. ``id_col`` must be unique within a batch.
+    A batch has a folder of its own under that of the query, whose id lives in the checkpoint: a batch that is run again
+    after a failure overwrites itself, and a query with a new checkpoint never touches what another has written. Rows
+    keep ``id_col``, which may repeat; without it they are ``product_name, core_terms, brands``.
     """
+    options = {"lexicon": lexicon, "min_len": min_len, "whole_words": whole_words, "stop_words": stop_words}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        named = named_titles(batch, id_col, model, terms, min_len)
-        found = predict_named(named, id_col, terms, brands, lexicon, whole_words)
-        found.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
-        named.unpersist()
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        found = predict(batch, id_col, model, terms, brands, **options) if id_col else predict_titles(batch, model, terms, brands, **options)
+        found.write.mode("overwrite").parquet(f"{output_path}/run={run}/batch={batch_id}")
 
     return run_batches(titles, write, checkpoint_location, available_now)
 
