@@ -9,33 +9,37 @@ from titlekit.session import materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (columns a, b): root is the lowest node of a component.
+    """(node, root) for every node of ``links`` (columns a, b): root is the same for all nodes of a component.
 
-    In each round every node hooks onto the lowest of itself and its neighbours. These pointers form trees; they are
-    doubled until all point to a root, which takes the logarithm of the trees' height, and the links are drawn anew
-    between roots; loops and repeats go. No two roots are linked before that, so at least half of the nodes that still
-    have links vanish in a round. Tables are written to the shared folder after each step, and both sides of each join
-    come from there, so that a hub's rows can be split; nothing is broadcast.
+    In each round the nodes get a random order (a hash of node and round), and every node hooks onto the first of its
+    neighbours if that comes before itself. These pointers form trees, which the random order keeps low, even along a
+    chain; each pointer is followed for four steps, and the links are drawn anew between the nodes they reach. Loops and
+    repeats go, and with them most of the nodes, so the rounds are logarithmic. Hooks and links are written to the shared
+    folder, and both sides of each join come from there, so that a hub's rows can be split; nothing is broadcast.
     """
     links = materialise(links.where("a <> b").select("a", "b").distinct())
-    roots = None
+    rounds: list[DataFrame] = []
     while not links.isEmpty():
+        order = F.lit(len(rounds))
         both = links.union(links.select("b", "a"))
-        hooks = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")))
-        while True:
-            further = hooks.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            doubled = materialise(hooks.join(further.hint("merge"), "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-            hooks = doubled.select("a", "p")
-            if doubled.where("moved").isEmpty():
-                break
-        if roots is None:
-            roots = hooks.select(F.col("a").alias("node"), F.col("p").alias("root"))
-        else:
-            onward = hooks.withColumnRenamed("a", "root")
-            roots = materialise(roots.join(onward.hint("merge"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        first = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", order)).alias("b"))
+        hooks = materialise(first.select("a", F.when(F.xxhash64("b", order) < F.xxhash64("a", order), F.col("b")).otherwise(F.col("a")).alias("p")))
+        twice = _followed(hooks, hooks)
+        hooks = materialise(_followed(twice, twice))
         ends = links.join(hooks.hint("merge"), "a").select(F.col("p").alias("c"), "b")
         ends = ends.join(hooks.withColumnRenamed("a", "b").hint("merge"), "b").select("c", F.col("p").alias("d"))
         links = materialise(ends.where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
-    if roots is None:
+        rounds.append(hooks)
+    if not rounds:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = rounds[0].select(F.col("a").alias("node"), F.col("p").alias("root"))
+    for hooks in rounds[1:]:
+        onward = hooks.withColumnRenamed("a", "root")
+        roots = materialise(roots.join(onward.hint("merge"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
     return roots
+
+
+def _followed(hooks: DataFrame, onward: DataFrame) -> DataFrame:
+    """(a, p): where the pointer of ``onward`` leads from where that of ``hooks`` leads."""
+    further = onward.select(F.col("a").alias("p"), F.col("p").alias("q"))
+    return hooks.join(further.hint("merge"), "p").select("a", F.col("q").alias("p"))
