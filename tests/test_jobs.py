@@ -129,7 +129,7 @@ def test_stream_gives_the_batch_result(spark, trained, tmp_path):
     for _ in range(2):
         query = predict_stream(stream, "id", model, trained.terms, trained.brands, str(tmp_path / "out"), str(tmp_path / "progress"))
         query.awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    found = spark.read.parquet(str(tmp_path / "out")).drop("batch", "run")
     batch = predict(titles, "id", model, trained.terms, trained.brands)
     assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect())) and found.count() == 15
 

@@ -186,7 +186,7 @@ def test_stages(spark):
     rows = spark.createDataFrame([(["a", "the", "b"], 0.0), (["c", "stop"], 1.0), (["c"], 1.0)], "tokens array<string>, label double")
     model = term_stages(2, pca_k=2, default_stop_words=True).fit(rows)
     out = model.transform(rows).collect()
-    assert out[0]["clean_tokens"] == ["b"] and out[1]["clean_tokens"] == ["c"] and len(out[0]["components"]) == 2
+    assert out[0]["clean_tokens"] == ["b"] and out[1]["clean_tokens"] == ["c", "stop"] and len(out[0]["components"]) == 2
     assert term_stages(vectors="hashed", classifier="one_vs_rest").fit(rows).transform(rows).count() == 3
     with pytest.raises(ValueError):
         term_stages(vectors="other")

@@ -9,8 +9,19 @@ from titlekit.operators.lookup import lookup_join
 from titlekit.session import materialise
 
 
-def parts_of(term: Column, whole_words: bool = False) -> Column:
-    """All distinct substrings of a term, or all its distinct runs of whole words."""
+def parts_of(term: Column, whole_words: bool = False, lengths: list[int] | None = None) -> Column:
+    """All distinct substrings of a term, or all its distinct runs of whole words; with ``lengths`` only of those many
+    characters or words."""
+    if lengths is not None:
+        sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+        words = F.split(term, " ")
+
+        def of_length(n: Column, count: Column, cut) -> Column:
+            return F.when(n <= count, F.transform(F.sequence(F.lit(1), count - n + 1), lambda i: cut(i, n))).otherwise(F.array().cast("array<string>"))
+
+        count = F.size(words) if whole_words else F.length(term)
+        cut = (lambda i, n: F.array_join(F.slice(words, i, n), " ")) if whole_words else (lambda i, n: F.substring(term, i, n))
+        return F.array_distinct(F.flatten(F.transform(sizes, lambda n: of_length(n, count, cut))))
     if whole_words:
         words = F.split(term, " ")
         spans = F.transform(
@@ -30,12 +41,16 @@ def parts_of(term: Column, whole_words: bool = False) -> Column:
 def nested_pairs(holders: DataFrame, parts: DataFrame, whole_words: bool = False) -> DataFrame:
     """``term, parts``: the terms of ``holders`` that hold other terms of ``parts``, both ``(term)``.
 
-    Work grows with the number of different terms times the square of a term's length.
+    Only substrings of lengths that occur among the parts are formed. They meet the parts by a measured broadcast, or by
+    a salted join that spreads a substring found in very many terms.
     """
     parts_count = int(holders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = holders.repartition(parts_count, "term").select("term", F.explode(parts_of(F.col("term"), whole_words)).alias("part")).where("part <> term")
-    inner = parts.select(F.col("term").alias("part"))
-    return spans.join(inner, "part", "left_semi").groupBy("term").agg(F.collect_list("part").alias("parts"))
+    size = F.size(F.split("term", " ")) if whole_words else F.length("term")
+    # one number for each different length
+    lengths = sorted(r[0] for r in parts.select(size.alias("n")).where("n > 0").distinct().collect())
+    spans = holders.repartition(parts_count, "term").select("term", F.explode(parts_of(F.col("term"), whole_words, lengths)).alias("part")).where("part <> term")
+    inner = parts.select(F.col("term").alias("part")).distinct()
+    return lookup_join(spans, inner, ["part"], "left_semi").groupBy("term").agg(F.collect_list("part").alias("parts"))
 
 
 def without_holders(items: DataFrame, id_col: str, term_col: str, parts: DataFrame, part_col: str,

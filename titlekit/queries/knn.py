@@ -108,6 +108,29 @@ def one_split(spark, folder, **options):
     return fit_cells(train, top_tree_size=total, top_tree_leaf_size=total - 1, max_cell_rows=total, **options)
 
 
+@query("knn5_filled_cells", f"""
+WITH {VECTORS_SQL}
+SELECT q.id AS qid, t.id AS tid, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.f, t.f), t.id)::INT AS rank
+FROM v q, v t WHERE q.id % 50 = 0""")
+def filled_cells(spark, folder):
+    """Leaves are far smaller than k, so every query has to be filled until it has seen all rows."""
+    rows = vectors(spark, folder)
+    index = fit_cells(rows, spill="train", top_tree_size=500, top_tree_leaf_size=10, buffer_size=0.05, balance_threshold=0.9)
+    queries = asked(spark, folder).where("qid % 50 = 0")
+    return knn_cells(index, queries, k=sum(index.sizes.values())).select("qid", "tid", "rank")
+
+
+@query("knn13_parameters", f"WITH {NEIGHBOURS_SQL} {LONG_SQL}")
+def parameters(spark, folder):
+    """A model fitted with other values: k is raised and the columns are named after fitting; the key is returned."""
+    train = vectors(spark, folder)
+    model = KNN(idCol="tid", k=1, inputCols=["tid"], exact=True, bufferSize=0.0, maxDistance=0.001).fit(train)
+    model.set("k", K).set("maxDistance", math.inf).set("neighborsCol", "near").set("distanceCol", "far")
+    out = model.transform(train.select("tid", "features")).withColumnRenamed("tid", "qid")
+    rows = out.select("qid", F.posexplode(F.arrays_zip("near", "far")).alias("place", "n"))
+    return rows.select("qid", F.col("n.near.tid").alias("tid"), F.round("n.far", 6).alias("distance"), (F.col("place") + 1).cast("int").alias("rank"))
+
+
 @query("knn3_prt1_cell_of_point", f"WITH {SPLIT_SQL} SELECT id AS tid, cell::INT AS cell_id FROM cells")
 def cell_of_point(spark, folder):
     return one_split(spark, folder, buffer_size=0.0).rows.select("tid", "cell_id")
@@ -234,8 +257,13 @@ votes AS (SELECT qid, label, sum(weight) AS votes FROM neighbours GROUP BY qid,
 shares AS (SELECT *, votes / sum(votes) OVER (PARTITION BY qid) AS probability FROM votes)"""
 
 
+def pruned(train, rows, **options):
+    """Exact neighbours of ``rows`` among ``train`` with label and weight, by the pruned search."""
+    return knn_exact_pruned(fit_cells(train, buffer_size=0.0, aux=("label", "weight")), rows, k=K, **options)
+
+
 def weighted_votes(spark, folder):
-    return votes(knn_exact(vectors(spark, folder), asked(spark, folder), K, aux=("label", "weight")), "label", "weight")
+    return votes(pruned(vectors(spark, folder), asked(spark, folder)), "label", "weight")
 
 
 @query("agg9_agg10_votes", VOTES_SQL + " SELECT qid, label, votes, round(probability, 6) AS probability FROM shares")
@@ -263,7 +291,7 @@ lists AS (SELECT qid, string_agg(votes::BIGINT::VARCHAR, '|' ORDER BY label) AS
 SELECT qid, raw, prediction FROM lists JOIN winners USING (qid)""")
 def classes_of_vectors(spark, folder):
     train, rows = vectors(spark, folder), asked(spark, folder)
-    found = knn_exact(train, rows, K, aux=("label", "weight"))
+    found = pruned(train, rows)
     out = classified(rows.select("qid"), found, class_count(train), weight_col="weight")
     return out.select("qid", F.array_join(F.transform("raw", lambda x: x.cast("long").cast("string")), "|").alias("raw"), "prediction")
 
@@ -305,7 +333,7 @@ def nearest_suppliers(spark, folder):
 @query("knn11_agg12_regressed", SUPPLIER_SQL + " SELECT qid, round(sum(label * weight) / sum(weight), 6) AS prediction FROM neighbours GROUP BY qid")
 def means_of_suppliers(spark, folder):
     rows = customers(spark, folder)
-    found = knn_exact(suppliers(spark, folder), rows, K, aux=("label", "weight"))
+    found = pruned(suppliers(spark, folder), rows)
     return regressed(rows.select("qid"), found, weight_col="weight").select("qid", F.round("prediction", 6).alias("prediction"))
 
 
@@ -334,7 +362,7 @@ FROM customer LEFT JOIN (
 def neighbour_lists(spark, folder):
     """Customers without a supplier within the greatest distance keep empty lists."""
     rows = customers(spark, folder)
-    found = knn_exact(suppliers(spark, folder), rows, K, max_distance=100.5)
+    found = pruned(suppliers(spark, folder), rows, max_distance=100.5)
     out = with_neighbors(rows, found, distance_col="distances")
     return out.select(
         "qid", F.array_join(F.transform("neighbors", lambda n: n["tid"].cast("string")), "|").alias("neighbors"),
@@ -349,7 +377,6 @@ pairs AS (
 SELECT round(avg(label), 4) AS prediction FROM (SELECT * FROM pairs ORDER BY distance, tid LIMIT {K})""")
 def single_vector(spark, folder):
     """The prediction for the average customer, as a one-row search."""
-    one = table(spark, folder, "customer").agg(F.array(F.avg("c_acctbal"), F.avg(F.col("c_nationkey") * 100.0)).alias("features"))
-    asked = one.select(F.lit(0).cast("long").alias("qid"), "features")
-    found = knn_exact(suppliers(spark, folder), asked, K, aux=("label",))
-    return regressed(asked.select("qid"), found).select(F.round("prediction", 4).alias("prediction"))
+    one = table(spark, folder, "customer").agg(F.array(F.avg("c_acctbal"), F.avg(F.col("c_nationkey") * 100.0)).alias("features")).first()
+    model = KNNRegression(idCol="tid", k=K, exact=True, bufferSize=0.0).fit(suppliers(spark, folder))
+    return spark.createDataFrame([(round(model.predict(spark, one["features"]), 4),)], "prediction double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from titlekit.knn.cells import vector_rows
 from titlekit.functions.lists import (
     explode_keeping_null,
     list_text,
@@ -64,10 +65,10 @@ def prediction_features(spark, folder):
 SELECT vec_id AS tid, len(embedding)::BIGINT AS dimensions, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS squared, label::DOUBLE AS aux_label
 FROM embeddings""")
 def aux_struct(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"),
-                                                     F.struct(F.col("label").cast("double").alias("label")).alias("aux"))
+    source = table(spark, folder, "embeddings").withColumn("aux", F.struct(F.col("label").cast("double").alias("label")))
+    rows = vector_rows(source, "vec_id", "embedding", ("aux",), "tid")
     squared = F.aggregate(F.transform("features", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    return rows.select(F.col("vec_id").alias("tid"), F.size("features").cast("long").alias("dimensions"),
+    return rows.select("tid", F.size("features").cast("long").alias("dimensions"),
                        F.round(squared, 6).alias("squared"), F.col("aux.label").alias("aux_label"))
 
 
