@@ -299,5 +299,6 @@ def farthest_point(points: DataFrame, pivot_id, id_col: str = "tid") -> DataFram
         return pa.array(np.sqrt(squared_to(block(features), pivot)), pa.float64())
 
     measured = points.select(F.col(id_col).alias("tid"), away("features").alias("distance"))
-    far = measured.agg(F.max(F.struct("distance", (-F.col("tid")).alias("order"))).alias("far"))
-    return far.select((-F.col("far.order")).alias("tid"), F.col("far.distance").alias("distance"))
+    first = F.struct((-F.col("distance")).alias("order"), "tid")
+    far = measured.agg(F.min_by(F.struct("tid", "distance"), first).alias("far"))
+    return far.select("far.tid", "far.distance")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder; a cluster session without it is refused, because a
-    machine-local folder would be lost with its machine.
+    A local session without that setting gets a temporary folder, which goes when the process ends; a cluster session
+    without it is refused, because a machine-local folder would be lost with its machine.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="titlekit-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
