@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from titlekit.llm.common import ALNUM, Words, by_slice, col, held_out, labelled_sample, mixed, prefix_codes, slices, span_codes
 from titlekit.session import spread
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 32 << 20
 BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
