@@ -127,7 +127,45 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_file())
 
 
-@query()
+OP10_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS body FROM documents),
+worded AS (SELECT rid, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+starts AS (SELECT rid, ws, unnest(range(1, len(ws) - {rules.WINDOW} + 2)) AS s FROM worded WHERE len(ws) >= {rules.WINDOW}),
+windows AS (SELECT rid, s, count(*) OVER (PARTITION BY rid, array_to_string(ws[s:s + {rules.WINDOW - 1}], ' ')) AS n FROM starts),
+repeats AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(s, s + {rules.WINDOW})) AS p FROM windows WHERE n > 1) GROUP BY rid),
+pieces AS (SELECT rid, host, unnest(string_split(body, chr(10))) AS line FROM docs),
+lines AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+copies AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY rid),
+plain AS (SELECT rid, host, n, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare,
+                 regexp_replace(trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), '[0-9]', '0', 'g') AS norm FROM lines),
+own AS (SELECT rid, host, CASE WHEN norm = '' THEN bare ELSE norm END AS norm, sum(n) AS n FROM plain GROUP BY ALL),
+hosts AS (SELECT host, greatest({rules.MIN_DOCS}, {rules.SHARE} * count(*)) AS most FROM docs GROUP BY host),
+often AS (
+  SELECT o.host, norm, count(*) AS held, any_value(most) AS most FROM own o JOIN hosts h ON o.host IS NOT DISTINCT FROM h.host
+  GROUP BY o.host, norm HAVING count(*) > any_value(most)),
+met AS (SELECT o.rid, o.host, o.norm, o.n, f.held, f.most FROM own o JOIN often f ON o.host IS NOT DISTINCT FROM f.host AND o.norm = f.norm),
+totals AS (SELECT rid, sum(n) AS total FROM own GROUP BY rid),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY rid ORDER BY held DESC, n DESC, norm DESC ROWS UNBOUNDED PRECEDING) AS upto FROM met JOIN totals USING (rid)),
+middles AS (SELECT rid, coalesce(max(held) FILTER (2 * (upto - n) < total AND 2 * upto >= total), 1) AS middle FROM ranked GROUP BY rid),
+common AS (
+  SELECT host, norm FROM met JOIN middles USING (rid) GROUP BY host, norm HAVING sum(1.0 / middle) > any_value(most)),
+gone AS (
+  SELECT rid, sum(n) AS gone FROM met m JOIN common c ON m.host IS NOT DISTINCT FROM c.host AND m.norm = c.norm GROUP BY rid),
+measured AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(gone, 0)::BIGINT AS n_common_words
+  FROM docs JOIN worded USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN copies USING (rid) LEFT JOIN gone USING (rid)),
+failed AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.REPEATED_PERCENT} * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND NOT (n_common_words > 0 AND (n_words - n_common_words < {rules.LEFT_WORDS}
+       OR n_words - n_common_words < {rules.LEFT_SHARE} * n_words)) AS kept
+FROM failed
+"""
+
+
+@query(OP10_SQL)
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and the verdict on it."""
     return rules.verdicts(table(spark, folder, "documents"))
