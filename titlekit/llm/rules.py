@@ -39,8 +39,8 @@ WINDOW = 8
 #: Limits of a line in a host, and what must be left of a document.
 MIN_DOCS = 20
 SHARE = 0.02
-LEFT_WORDS = 10
-LEFT_SHARE = 0.3
+LEFT_WORDS = 5
+LEFT_SHARE = 0.2
 
 MARKS = re.compile(r"[\W_]+")
 DIGITS = re.compile(r"[0-9]")
