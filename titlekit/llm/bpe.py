@@ -32,8 +32,8 @@ from titlekit.llm.common import by_slice, col
 from titlekit.session import spread
 
 VOCABULARY_BYTES = 64 << 20
-CACHE = 300_000
-PAIRS = 1_000_000
+CACHE = 150_000
+PAIRS = 400_000
 LONG_PIECE = 100
 STRETCH = 1 << 20
 #: Fixed value: the pattern of this kind of vocabulary.
@@ -92,26 +92,29 @@ class Tokens:
             if len(raw) == 1 or i in self.made:
                 self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
         self.automaton.make_automaton()
-        never = len(pairs)
-        self.right = {i: self._edge(i, 1, never) for i in own}
-        self.left = {i: self._edge(i, 0, never) for i in own}
+        self.never = len(pairs)
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.compatible: dict[int, bool] = {}
         self.known = Known(self.piece)
 
-    def _edge(self, token: int, side: int, used: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one edge of a token as it grows, and the rank of the merge that uses each up."""
-        edge = [(token, used)]
-        while token in self.made:
-            used = self.made[token][2]
-            token = self.made[token][side]
-            edge.append((token, used))
+        edge = self.edges[side].get(token)
+        if edge is None:
+            part = token
+            edge = self.edges[side][token] = [(token, self.never)]
+            while part in self.made:
+                used = self.made[part][2]
+                part = self.made[part][side]
+                edge.append((part, used))
         return edge
 
     def fits(self, a: int, b: int) -> bool:
         """The bytes of a and b together are encoded as a, b."""
         rank = self.rank
-        for x, x_used in self.right[a]:
-            for y, y_used in self.left[b]:
+        left = self._edge(b, 0)
+        for x, x_used in self._edge(a, 1):
+            for y, y_used in left:
                 r = rank.get((x, y))
                 # of equal merges that overlap, the left one comes first
                 if r is not None and r < x_used and r <= y_used:
