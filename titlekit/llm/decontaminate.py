@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import ALNUM, Words, by_slice, col, mixed, span_codes, prefix_codes, sums
+from titlekit.llm.common import ALNUM, Words, by_slice, col, mixed, prefix_codes, slices, span_codes, sums, texts_of
 from titlekit.session import spread
 
 WIDTH = 10
@@ -156,50 +156,60 @@ def blocks(items: DataFrame, id_col: str, text_col: str, width: int, most: int)
         yield tables_of(some, width)
 
 
+def tables_sent(items: DataFrame, item_col: str, item_text_col: str, width: int, table_windows: int) -> list:
+    """The items' tables as broadcasts, each of a bounded number of windows."""
+    context = items.sparkSession.sparkContext
+    return [context.broadcast(b) for b in blocks(items, item_col, item_text_col, width, table_windows)]
+
+
+def search(texts: list[bytes], sent: list) -> tuple[Words, np.ndarray, list[set[str | None]]]:
+    """The texts' words, which of them are hit, and the items found in each text."""
+    words = Words([t.lower() for t in texts], ALNUM)
+    codes = words.codes()
+    covered = np.zeros(len(codes) + 1, dtype=np.int64)
+    found: list[set[str | None]] = [set() for _ in texts]
+    for each in sent:
+        names, tables = each.value
+        for t in tables:
+            for begin, window in t.matches(words, codes):
+                np.add.at(covered, begin, 1)
+                np.add.at(covered, begin + t.m, -1)
+                text = np.searchsorted(words.first, begin, "right") - 1
+                for i, w in set(zip(text.tolist(), window.tolist())):
+                    found[i].update(names[o] for o in t.owners[t.owner_first[w] : t.owner_first[w + 1]].tolist())
+        if len(sent) > 1:
+            each.__dict__.pop("_value", None)  # one table at a time in memory; it is read again from the local copy
+    return words, np.cumsum(covered[:-1]) > 0, found
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", width: int = WIDTH, table_windows: int = TABLE_WINDOWS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every document, and the list of items found."""
-    rows = spread(docs.select(col(id_col).alias("id"), col(text_col).alias("text")))
-    out = scan(rows, items, item_col, item_text_col, width, table_windows)
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items")
-
-
-def scan(rows: DataFrame, items: DataFrame, item_col: str, item_text_col: str, width: int, table_windows: int) -> DataFrame:
-    """The columns of ``rows`` before its last, the text, with the findings."""
-    context = rows.sparkSession.sparkContext
-    sent = [context.broadcast(b) for b in blocks(items, item_col, item_text_col, width, table_windows)]
+    sent = tables_sent(items, item_col, item_text_col, width, table_windows)
 
     def find(texts: list[bytes]) -> list:
-        words = Words([t.lower() for t in texts], ALNUM)
-        codes = words.codes()
-        covered = np.zeros(len(codes) + 1, dtype=np.int64)
-        found: list[set[str | None]] = [set() for _ in texts]
-        for each in sent:
-            names, tables = each.value
-            for t in tables:
-                for begin, window in t.matches(words, codes):
-                    np.add.at(covered, begin, 1)
-                    np.add.at(covered, begin + t.m, -1)
-                    text = np.searchsorted(words.first, begin, "right") - 1
-                    for i, w in set(zip(text.tolist(), window.tolist())):
-                        found[i].update(names[o] for o in t.owners[t.owner_first[w] : t.owner_first[w + 1]].tolist())
-            if len(sent) > 1:
-                each.__dict__.pop("_value", None)  # one table at a time in memory; it is read again from the local copy
-        hit = np.cumsum(covered[:-1]) > 0
+        words, hit, found = search(texts, sent)
         lists = [sorted(x for x in f if x is not None) for f in found]
         digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
         sizes = np.array([len(x) for x in lists], dtype=np.int64)
         return [words.counts.astype(np.int64), sums(hit, words.first), sizes, digests, pa.array(lists, pa.list_(pa.string()))]
 
-    return by_slice(rows, find, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>")
+    rows = spread(docs.select(col(id_col).alias("id"), col(text_col).alias("text")))
+    out = by_slice(rows, find, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                   item_text_col: str = "text", width: int = WIDTH, table_windows: int = TABLE_WINDOWS) -> DataFrame:
     """The documents without any hit word, with all their columns. Nothing is shuffled."""
-    rest = [c for c in docs.columns if c != text_col]
-    names = [f"c{i}" for i in range(len(rest))]
-    # the text passes through as a column of its own and is also the one that is searched
-    rows = spread(docs.select(*[col(c).alias(n) for c, n in zip(rest, names)], col(text_col).alias("kept_text"), col(text_col).alias("text")))
-    found = scan(rows, items, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("width", WIDTH), options.get("table_windows", TABLE_WINDOWS))
-    named = dict(zip(rest, names)) | {text_col: "kept_text"}
-    return found.where("n_hit = 0").select(*[F.col(named[c]).alias(c) for c in docs.columns])
+    sent = tables_sent(items, item_col, item_text_col, width, table_windows)
+    place = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(place))
+            for a, b in slices(texts):
+                words, hit, _ = search(texts[a:b], sent)
+                yield batch.slice(a, b - a).filter(pa.array(sums(hit, words.first) == 0))
+
+    return spread(docs).mapInArrow(clean, docs.schema)

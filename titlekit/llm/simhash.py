@@ -107,6 +107,8 @@ def links(fps: DataFrame) -> DataFrame:
     Every pair that differs in at most two bits is connected through the lowest fingerprint at their common word, to
     which both are at most two bits.
     """
+    # every fingerprint makes some 49 rows, so few bytes of them are much work: as many tasks as the session has partitions
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     entered = fps.select("fp", F.explode(places(F.col("fp"))).alias("at")).select("at.cell", "at.step", "fp")
     shared = entered.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
     met = entered.join(shared.hint("merge"), "cell")
