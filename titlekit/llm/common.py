@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MOST_CLASSES = 200
 MASK64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
