@@ -63,6 +63,34 @@ def test_interactions_are_learned():
     assert both > 0.5 > max(one, other)
 
 
+def test_words_alike_in_both_classes_are_learned_as_a_pair():
+    """Each word is as frequent in toxic rows as in clean ones; toxic rows have both or none."""
+    filler = [f"word{i}" for i in range(30)]
+    random = np.random.default_rng(3)
+    sample = []
+    for k in range(800):
+        toxic, insult = k % 2, k % 4 < 2
+        group = insult if toxic else not insult
+        words = list(random.choice(filler, 10)) + ["zorgish"] * insult + ["martians"] * group
+        sample.append((" ".join(words).encode(), toxic, 1.0))
+    model = toxicity.fit(sample)
+    both, none, one, other = model.scores([b"word1 zorgish word2 martians", b"word1 word2 word3", b"word1 zorgish word2", b"word1 martians"])
+    assert min(both, none) > 0.5 > max(one, other)
+
+
+def test_rare_insults_have_a_weight():
+    """A word of 10 in 1,500 toxic rows, and more words than 4,096."""
+    random = np.random.default_rng(4)
+    sample = []
+    for k in range(3000):
+        words = [f"q{x}" for x in random.integers(0, 9000, 20)] + ["common"] * (k % 2)
+        sample.append((" ".join(words + ["zorgish"] * (k % 2 and k < 20)).encode(), k % 2, 1.0))
+    model = toxicity.fit(sample)
+    assert len(model.weights) > 4096
+    _, insult = toxicity.distinct_terms([b"zorgish"], model.place)
+    assert (model.weights[insult] > 0).all()
+
+
 def test_neighbouring_lines_count():
     lines = quality.Lines([b"a b c\nX Y Z!!\n\nd e", b"", b"solo"])
     assert lines.count == 4 and lines.first.tolist() == [0, 3, 3, 4]

@@ -6,9 +6,11 @@ insult beside the mention of a group can weigh more than the two apart. The sum
 terms.
 
 The model is fitted on the driver from a bounded sample (``SAMPLE_ROWS`` of each class, ``SAMPLE_BYTES`` of text) of
-labelled rows that are not held out. Terms enter it if their share differs between the classes by more than chance
-explains, so a long text of ordinary words does not gather weight by its length. Scoring reads every whole text once, by
-slices, and shuffles nothing.
+labelled rows that are not held out. Every bucket that occurs there has a weight and factors; none is left out. How fast
+they move is regularised: a weight by how far its term's share differs between the classes (in variances, so a word in
+few rows moves less, and a word alike in both least), factors by how often their term occurs, both by decay. A row's step
+is divided by the sum of its terms' rates, so a long text does not move more than a short one. Scoring reads every whole
+text once, by slices, and shuffles nothing.
 
 A null or empty text has no terms and gets the bias. Without labelled rows of both classes every score is the share of
 label 1 (0 if there are no labels). Repeated rows get equal scores; an empty table gives an empty result; extra columns
@@ -28,10 +30,16 @@ SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 32 << 20
 BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
-CHANCE = 4.0
-MOST_TERMS = 4096
 FACTORS = 8
-STEPS = 300
+EPOCHS = 12
+BATCH = 16
+#: Rates of weights and factors, decay; variances and rows at which a term has half its rate; least rate of a weight.
+WEIGHT_RATE = 2.0
+FACTOR_RATE = 0.2
+DECAY = 1e-4
+HALF_VARIANCES = 16.0
+HALF_ROWS = 200.0
+LEAST_RATE = 0.002
 THRESHOLD = 0.5
 
 
@@ -67,11 +75,10 @@ class Machine:
     def logits(self, n: int, owner: np.ndarray, term: np.ndarray) -> np.ndarray:
         """``owner`` is in order."""
         linear = np.bincount(owner, self.weights[term], minlength=n)
-        v = self.factors[term]
-        total = np.zeros((n, v.shape[1]))
-        for f in range(v.shape[1]):
-            total[:, f] = np.bincount(owner, v[:, f], minlength=n)
-        square = np.bincount(owner, (v * v).sum(axis=1), minlength=n)
+        total = np.zeros((n, self.factors.shape[1]))
+        for f in range(self.factors.shape[1]):
+            total[:, f] = np.bincount(owner, self.factors[term, f], minlength=n)
+        square = np.bincount(owner, (self.factors * self.factors).sum(axis=1)[term], minlength=n)
         return self.bias + linear + 0.5 * ((total * total).sum(axis=1) - square)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -80,56 +87,64 @@ class Machine:
 
 
 def fit(sample: list[tuple[bytes, int, float]]) -> Machine:
-    """Logistic loss with weights, full batches, Adam."""
+    """Logistic loss in small batches, both classes weighing the same; the bias then gets the classes' true shares."""
     texts = [t for t, _, _ in sample]
     y = np.array([float(label > 0) for _, label, _ in sample])
     weight = np.array([w for _, _, w in sample])
-    nothing = np.full(1 << BITS, -1, dtype=np.int64)
+    place = np.full(1 << BITS, -1, dtype=np.int64)
     prior = float((weight * y).sum() / weight.sum()) if len(sample) else 0.0
     if not 0 < prior < 1:
-        return Machine(40.0 if prior else -40.0, nothing, np.zeros(0), np.zeros((0, FACTORS)))
+        return Machine(40.0 if prior else -40.0, place, np.zeros(0), np.zeros((0, FACTORS)))
+    n = len(y)
     owners, buckets = [], []
     for a, b in slices(texts):
         owner, bucket = distinct_terms(texts[a:b])
-        owners.append(owner + a)
-        buckets.append(bucket)
+        owners.append((owner + a).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    own = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS))
+    place[own] = np.arange(len(own))
+    term = place[bucket].astype(np.int32)
 
-    # how far the shares of a term in the two classes are apart, in standard deviations
+    # how far the shares of a term in the two classes are apart, in variances of chance
     ones, zeros = y.sum(), (1 - y).sum()
-    with_one = np.bincount(bucket, y[owner], minlength=1 << BITS)
-    with_zero = np.bincount(bucket, 1 - y[owner], minlength=1 << BITS)
+    with_one = np.bincount(term, y[owner], minlength=len(own))
+    with_zero = np.bincount(term, 1 - y[owner], minlength=len(own))
     share = (with_one + with_zero + 1) / (ones + zeros + 2)
-    apart = (with_one / ones - with_zero / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-    own = np.flatnonzero((np.abs(apart) > CHANCE) & (with_one + with_zero >= 3))
-    own = own[np.argsort(-np.abs(apart[own]), kind="stable")][:MOST_TERMS]
-    place = nothing.copy()
-    place[own] = np.arange(len(own))
-    kept = place[bucket] >= 0
-    owner, term = owner[kept], place[bucket[kept]]
+    apart = (with_one / ones - with_zero / zeros) ** 2 / (share * (1 - share) * (1 / ones + 1 / zeros))
+    rate_of_weight = LEAST_RATE + apart**3 / (apart**3 + HALF_VARIANCES**3)
+    rate_of_factor = (with_one + with_zero) / (with_one + with_zero + HALF_ROWS)
+    all_weights = np.maximum(np.bincount(owner, rate_of_weight[term], minlength=n), 1)
+    all_factors = np.maximum(np.bincount(owner, rate_of_factor[term], minlength=n), 1)
 
     random = np.random.default_rng(7)
-    model = Machine(float(np.log(prior / (1 - prior))), place, np.zeros(len(own)), random.normal(0, 0.01, (len(own), FACTORS)))
-    weight = weight / weight.sum()
-    state = {}
-
-    def move(name: str, value, gradient, step: int, rate: float):
-        m, s = state.get(name, (0.0, 0.0))
-        m, s = 0.9 * m + 0.1 * gradient, 0.99 * s + 0.01 * gradient * gradient
-        state[name] = m, s
-        return value - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-
-    for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(model.logits(len(y), owner, term), -40, 40)))
-        error = weight * (p - y)
-        v = model.factors[term]
-        total = np.stack([np.bincount(owner, v[:, f], minlength=len(y)) for f in range(FACTORS)], axis=1)
-        inner = error[owner, None] * (total[owner] - v)
-        of_factors = np.stack([np.bincount(term, inner[:, f], minlength=len(own)) for f in range(FACTORS)], axis=1)
-        rate = 0.1 if step < STEPS // 2 else 0.03
-        model.bias = float(move("bias", model.bias, error.sum(), step, rate))
-        model.weights = move("weights", model.weights, np.bincount(term, error[owner], minlength=len(own)) + 1e-5 * model.weights, step, rate)
-        model.factors = move("factors", model.factors, of_factors + 1e-4 * model.factors, step, 0.1 * rate)
+    model = Machine(0.0, place, np.zeros(len(own)), random.normal(0, 0.02, (len(own), FACTORS)))
+    balance = 0.5 * np.where(y > 0, n / ones, n / zeros)
+    order = random.permutation(n)
+    first = np.searchsorted(owner, np.arange(n + 1))
+    batches = []
+    for a in range(0, n, BATCH):
+        rows = order[a : a + BATCH]
+        mine, local = np.unique(np.concatenate([term[first[r] : first[r + 1]] for r in rows]), return_inverse=True)
+        batches.append((rows, np.repeat(np.arange(len(rows)), np.diff(first)[rows]).astype(np.int32), mine, local.astype(np.int32)))
+    for epoch in range(EPOCHS):
+        pace = min(1.0, 2 * (1 - epoch / EPOCHS))
+        for k in random.permutation(len(batches)):
+            rows, row, mine, local = batches[k]
+            m = len(rows)
+            part = Machine(model.bias, place, model.weights[mine], model.factors[mine])
+            p = 1 / (1 + np.exp(-np.clip(part.logits(m, row, local), -40, 40)))
+            error = balance[rows] * (p - y[rows])
+            step = np.bincount(local, (error / all_weights[rows])[row], minlength=len(mine)) * rate_of_weight[mine]
+            model.weights[mine] -= pace * WEIGHT_RATE * (step + DECAY * part.weights)
+            v = part.factors[local]
+            total = np.stack([np.bincount(row, v[:, f], minlength=m) for f in range(FACTORS)], axis=1)
+            push = (error / (all_factors[rows] * (1 + (total * total).sum(axis=1))))[row]
+            for f in range(FACTORS):
+                step = np.bincount(local, push * (total[row, f] - v[:, f]), minlength=len(mine)) * rate_of_factor[mine]
+                model.factors[mine, f] -= pace * (FACTOR_RATE * step + WEIGHT_RATE * DECAY * part.factors[:, f])
+            model.bias -= float(0.05 * pace * WEIGHT_RATE * error.mean())
+    model.bias += float(np.log(prior / (1 - prior)))
     return model
 
 
@@ -138,7 +153,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """(id, held_out, score, predicted) of every document; learned from the labelled rows that are not held out."""
     labels = labels.select(col(id_col).alias(id_col), col(label_col).cast("int").alias(label_col))
     model = fit(labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows, sample_bytes))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** 18 places and at most 4,096 terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** 18 places, weights and factors at most
     rows = spread(docs.select(col(id_col).alias("id"), col(text_col).alias("text")))
     out = by_slice(rows, lambda texts: [sent.value.scores(texts)], "score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
