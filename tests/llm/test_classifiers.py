@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from titlekit.llm import langid, quality, toxicity
+from titlekit.llm.common import labelled_sample, within
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -91,6 +93,33 @@ def test_rare_insults_have_a_weight():
     assert (model.weights[insult] > 0).all()
 
 
+def test_a_huge_text_does_not_end_the_sample(spark):
+    """One text above the bound, first by hash, and a class whose texts all come after large ones of another."""
+    ids = [r["i"] for r in spark.range(1, 400).selectExpr("id AS i").where("crc32(CAST(CAST(i AS STRING) AS BINARY)) % 5 <> 0").orderBy(F.xxhash64("i")).collect()]
+    rows = [(k, ("x" * 5000 if n == 0 else "y" * 90 if n < 60 else "z" * 10), int(n >= 60)) for n, k in enumerate(ids)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    found = labelled_sample(table, table, "y", "doc_id", "text", 1500, 1000)
+    assert sum(len(t) for t, _, _ in found) <= 1000
+    texts = [y for _, y, _ in found]
+    assert texts.count(0) >= 5 and texts.count(1) >= 50
+    assert np.isclose(sum(w for *_, w in found), len(rows))
+
+
+def test_shares_of_classes():
+    assert within([], 10) == []
+    assert within([("a", 11)], 10) == []
+    assert within([("a", 11), ("a", 4), ("b", 3), ("a", 6)], 10) == [1, 2]
+    assert within([("a", 8), ("a", 1), ("b", 8), ("a", 1)], 10) == [1, 2, 3]  # b needs more than half
+    assert within([("a", 8), ("b", 0), ("b", 8)], 10) == [0, 1]  # the two do not fit together
+    assert within([("a", 2)] * 6 + [("b", 2)], 10) == [0, 1, 2, 3, 6]  # what b leaves over goes to a
+    random = np.random.default_rng(5)
+    for _ in range(300):
+        sizes = [(int(y), int(n)) for y, n in zip(random.integers(0, 6, 40), random.integers(1, 50, 40))]
+        taken = within(sizes, 300)
+        assert sum(sizes[k][1] for k in taken) <= 300
+        assert {sizes[k][0] for k in taken} == {y for y, _ in sizes} or sum(min(n for x, n in sizes if x == y) for y in {y for y, _ in sizes}) > 300
+
+
 def test_neighbouring_lines_count():
     lines = quality.Lines([b"a b c\nX Y Z!!\n\nd e", b"", b"solo"])
     assert lines.count == 4 and lines.first.tolist() == [0, 3, 3, 4]

@@ -170,14 +170,46 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def within(sizes: list[tuple[object, int]], limit: int) -> list[int]:
+    """Places of the (class, bytes) that are taken, in order, so that their bytes stay within ``limit``.
+
+    Every class has the same share, and a class whose smallest text (empty ones aside) is larger gets that from the
+    others. A text that does not fit is skipped and the next one tried; what the classes leave over goes to skipped texts
+    in order. If not even the smallest texts of all classes fit together, the classes with the largest of them have none.
+    """
+    least: dict[object, int] = {}
+    for y, n in sizes:
+        least[y] = min(least.get(y) or n, n or least.get(y, 0))
+    order = sorted(least, key=lambda y: least[y])
+    left = limit
+    while order and sum(least[y] for y in order) > limit:
+        order.pop()
+    share: dict[object, int] = {}
+    for i, y in reversed(list(enumerate(order))):
+        share[y] = max(least[y], left // (i + 1))
+        left -= share[y]
+    taken = set()
+    for i, (y, n) in enumerate(sizes):
+        if y in share and n <= share[y]:
+            share[y] -= n
+            taken.add(i)
+    left += sum(share.values())
+    for i, (_, n) in enumerate(sizes):
+        if i not in taken and n <= left:
+            left -= n
+            taken.add(i)
+    return sorted(taken)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int,
                     chars: int) -> list[tuple[bytes, object, float]]:
     """A bounded sample of labelled texts that may be learned from: (text, label, weight).
 
     From each class come at most ``rows`` ids, the lowest by a hash of the id, so that a rare class is not crowded out;
-    the weights give a class its share among all labelled rows again. Texts are taken in hash order until their bytes
-    pass ``chars``. An id labelled twice counts with its larger label; an id that stands for several documents gives the
-    longest text. Only these rows reach the driver.
+    the weights give a class its share among all labelled rows again. Texts are taken in hash order, within ``chars``
+    bytes together and a share of them for each class (``within``); a text that does not fit is skipped. An id labelled
+    twice counts with its larger label; an id that stands for several documents gives the longest text. Only these rows
+    reach the driver.
     """
     known = labels.select(col(id_col).alias("i"), col(label_col).alias("y"))
     known = known.where("i IS NOT NULL AND y IS NOT NULL").where(learnable("i")).groupBy("i").agg(F.max("y").alias("y"))
@@ -192,12 +224,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     # at most ``rows`` ids for each class are broadcast
     found = own.join(F.broadcast(chosen), "i")
     sizes = found.groupBy("i", "y").agg(F.max(F.octet_length("t")).alias("n")).orderBy(F.xxhash64("i"), "i").collect()
-    taken, total = [], 0
-    for r in sizes:
-        total += r["n"]
-        if taken and total > chars:
-            break
-        taken.append((r["i"],))
+    taken = [(sizes[k]["i"],) for k in within([(r["y"], r["n"]) for r in sizes], chars)]
     if not taken:
         return []
     if len(taken) < len(sizes):
