@@ -26,6 +26,21 @@ def test_mentions():
     ]
 
 
+RUNNING = "Smith was late. John Smith called. Smith said John's car and Smith’s dog were SMITH-owned; blacksmith, smith, Smithson and Mr O'Neill's Dog. O'Neill left, a_Smith too."
+
+
+def test_names_are_found_again(spark):
+    """Bare names before and after the full one, with an owner's s, in capitals, beside a hyphen."""
+    found = kinds(RUNNING)
+    assert [w for _, w in found] == ["Smith", "John", "Smith", "Smith", "John", "Smith", "SMITH", "O'Neill", "O'Neill"]
+    assert all(k == ("first" if w == "John" else "last") for k, w in found)
+    docs = spark.createDataFrame([(1, RUNNING), (2, "Smith alone is a trade")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.surrogated(docs, KEY).collect()}
+    last, first = got[1].split()[0], got[1].split()[3]
+    assert got[1].startswith(f"{last} was late. {first} {last} called. {last} said {first}'s car and {last}’s dog were {last.upper()}-owned; blacksmith, smith, Smithson and Mr ")
+    assert "John" not in got[1] and "Neill" not in got[1] and got[1].count("'s") == 2 and got[2] == "Smith alone is a trade"
+
+
 @pytest.mark.parametrize("text", ["", "no data", "1.2.3", "999.1.1.1", "version 1.2.3.4.5", "4929348385146307", "a@b", "2020-2021 2022", "Anna Anna Anna", "The Mr", "0123456789abcdef0123456789abcdef", "token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\""])
 def test_no_mentions(text):
     assert kinds(text) == []

@@ -47,6 +47,8 @@ SOCIAL = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 ADDRESS = re.compile(r"(?<![\w.-])(?:\d{1,3}\.){3}\d{1,3}(?![\w-]|\.\d)")
 DIGIT = re.compile(r"[0-9]")
 NAME_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+NAME_PART = re.compile(r"[^\W\d_]+")
+OWNED = re.compile(r"['’][sS]\Z")
 
 
 class Mention(NamedTuple):
@@ -85,8 +87,28 @@ def name_finder() -> ahocorasick.Automaton:
     return found
 
 
+def names_again(text: str, names: list[Mention]) -> list[Mention]:
+    """Where else the words of ``names`` stand: alone, with an owner's s, in capitals, or beside a hyphen."""
+    kinds: dict[str, str] = {}
+    for m in names:
+        kinds.setdefault(m.canonical, m.kind)
+    there = {m.start for m in names}
+    out = []
+    for whole in NAME_WORD.finditer(text) if kinds else ():
+        start, end = whole.span()
+        if not text[start].isupper() and not any(map(str.isupper, whole[0])) or start and (text[start - 1].isalnum() or text[start - 1] == "_") or end < len(text) and (text[end].isalnum() or text[end] == "_"):
+            continue
+        word = OWNED.sub("", whole[0])
+        found = [(start, word)] if word.casefold() in kinds else [(start + p.start(), p[0]) for p in NAME_PART.finditer(word)]
+        for at, w in found:
+            kind = kinds.get(w.casefold())
+            if kind and w[0].isupper() and at not in there:
+                out.append(Mention(at, at + len(w), kind, w.casefold()))
+    return out
+
+
 def names_in(text: str, finder: ahocorasick.Automaton) -> list[Mention]:
-    """Names after a title, or of a known first name and a capitalised word after it."""
+    """Names after a title, or of a known first name and a capitalised word after it; and their words elsewhere."""
     out, done = [], 0
     n = len(text)
     for last, (word, kind, gender) in finder.iter(text):
@@ -102,8 +124,11 @@ def names_in(text: str, finder: ahocorasick.Automaton) -> list[Mention]:
             m = NAME_WORD.match(text, at + 1)
             if not m or not m[0][0].isupper() or len(m[0]) < 2 or m[0].isupper() or script_of(m[0]) is None:
                 break
-            words.append((m.start(), m.end(), m[0]))
+            name = OWNED.sub("", m[0])
+            words.append((m.start(), m.start() + len(name), name))
             at = m.end()
+            if name != m[0]:
+                break
         # a first name needs another name after it; one that only repeats itself is no name
         if not words or kind == "first" and (len(words) < 2 or len({w for _, _, w in words}) < len(words)):
             continue
@@ -116,7 +141,7 @@ def names_in(text: str, finder: ahocorasick.Automaton) -> list[Mention]:
                 out.append(Mention(a, b, f"first:{sex}:{script}", w.casefold()))
             else:
                 out.append(Mention(a, b, f"last:{script}", w.casefold()))
-    return out
+    return out + names_again(text, out)
 
 
 def mentions(text: str, finder: ahocorasick.Automaton) -> list[Mention]:
