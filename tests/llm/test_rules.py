@@ -126,3 +126,13 @@ def test_odd_rows(spark, odd, nothing):
     kept = rules.accepted(odd)
     assert kept.columns == odd.columns
     assert rules.accepted(nothing).count() == 0 and rules.verdicts(nothing).count() == 0
+
+
+def test_one_limit_for_every_host(spark):
+    """A footer under 30 different documents goes in a host of 30 and in one of 3,000."""
+    r = random.Random(6)
+    footer = "all rights reserved by the owner of this page"
+    rows = [(k, "small" if k < 30 else "hot", sentence(r, 25) + ("\n" + footer if k < 60 else "")) for k in range(3030)]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    gone = {r["doc_id"]: r["n_common_words"] for r in rules.verdicts(table).collect()}
+    assert all(gone[k] == (9 if k < 60 else 0) for k in gone)

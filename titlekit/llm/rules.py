@@ -9,7 +9,7 @@ Copies of a document are not independent witnesses: all of their lines are frequ
 a document counts for the reciprocal of the number of documents that share at least half of its words line by line (the
 word-weighted median of its lines' counts). A thousand copies count as one document, near copies as little more, while a
 footer under a thousand different texts counts a thousand times. A line above the limits has more than ``min_docs`` such
-documents and more than ``share`` of the host's.
+documents, and more than ``share`` of the host's (0 unless it is given: one absolute limit for every host).
 
 The text is read once; from then on only hashes of lines move. Counts are summed before each shuffle, so a line in every
 document is no hot key, and the rows of frequent lines meet their counts by a measured broadcast or a salted join.
@@ -36,9 +36,9 @@ SYMBOLS = byte_set(r"[#*$%&|<>]")
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
 WINDOW = 8
-#: Limits of a line in a host, and what must be left of a document.
+#: Limits of a line in a host, the same at every size of the host, and what must be left of a document.
 MIN_DOCS = 20
-SHARE = 0.02
+SHARE = 0.0
 LEFT_WORDS = 5
 LEFT_SHARE = 0.2
 
