@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from titlekit.llm import bpe, decontaminate, extract, langid, pii, quality, rules, secrets, simhash, toxicity
+from titlekit.llm import bpe, decontaminate, extract, langid, pii, prefixes, quality, rules, secrets, sharding, simhash, spelling, toxicity
 from titlekit.llm.common import table
 
 #: The key of this query's surrogates; a user of the operator gives a secret one.
@@ -187,3 +188,134 @@ def op8_html_content_trees(spark: SparkSession, folder: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with personal data replaced by surrogates."""
     return pii.surrogated(table(spark, folder, "documents"), PII_KEY)
+
+
+#: A CTE with the table of CRC-32, and the checksum of a text's UTF-8 bytes by it.
+CRC_TABLE = """crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex({text}), '..'),
+    lambda z: ('0x' || z)::BIGINT)), lambda c, z: xor(c >> 8, crc_table[xor(c & 255, z) + 1])))"""
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS n, c - c % {prefixes.FAMILY} AS base FROM turns GROUP BY c),
+shared AS (SELECT convs.*, {crc_sql("c::VARCHAR")} % {prefixes.MOST_SHARED} AS h FROM convs, crcs),
+lent AS (SELECT s.*, least(h, coalesce(b.n, 0)) AS lent FROM shared s LEFT JOIN convs b ON b.c = s.base),
+rebuilt AS (
+  SELECT l.c, p AS depth, role, body FROM lent l JOIN turns t ON t.c = l.base AND p <= lent
+  UNION ALL SELECT l.c, lent + p - h, role, body FROM lent l JOIN turns t ON t.c = l.c AND p > h),
+paths AS (
+  SELECT c, depth, string_agg(md5(length(role) || ':' || role || body), '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth) AS node,
+         strlen(body) AS bytes, depth = max(depth) OVER (PARTITION BY c) AS ended FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, min(c) AS c, count(*) AS n_convs, any_value(bytes) AS bytes, bool_and(ended) AS leaf,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256
+  FROM paths GROUP BY node),
+sums AS (
+  SELECT p.node, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * n.bytes) AS saved
+  FROM nodes n JOIN paths p ON p.c = n.c AND p.depth <= n.depth GROUP BY p.node),
+ups AS (SELECT *, CASE WHEN depth > 0 THEN node[:(depth - 1) * 32] END AS up FROM nodes),
+children AS (SELECT up, count(*) AS n FROM ups GROUP BY up)
+SELECT n.c AS conv_id, n.depth::BIGINT AS depth, u.c AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM ups n JOIN sums s ON s.node = n.node LEFT JOIN nodes u ON u.node = n.up LEFT JOIN children k ON k.up = n.node
+"""
+
+
+@query(OP11_SQL)
+def op11_conversation_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with sums over its subtree."""
+    return prefixes.conversation_trie(table(spark, folder, "conversations"), branch=True)
+
+
+#: Runs whose checksum this divides lose a character.
+DAMAGED = 31
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[{spelling.LETTERS}]{{{spelling.LEAST_CHARS},}}')) AS run
+  FROM documents),
+hashed AS (SELECT run, {crc_sql("id || ':' || run")} AS h FROM runs, crcs),
+words AS (
+  SELECT CASE WHEN h % {DAMAGED} = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, count(*) AS n
+  FROM hashed GROUP BY word HAVING length(word) >= {spelling.LEAST_CHARS} AND count(*) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+shorter AS (SELECT DISTINCT p.word AS a, w.word AS b FROM places p JOIN words w ON w.word = left(p.word, i) || substring(p.word, i + 2)),
+masked AS (SELECT word, left(word, i) || '*' || substring(word, i + 2) AS pattern FROM places),
+pairs AS (
+  SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter
+  UNION ALL SELECT x.word, y.word FROM masked x JOIN masked y ON x.pattern = y.pattern AND x.word <> y.word),
+ranked AS (
+  SELECT a AS word, b AS near, w.n AS near_n, count(*) OVER (PARTITION BY a) AS n_near,
+         row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS place
+  FROM pairs JOIN words w ON w.word = b),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= {spelling.RATIO} * w.n THEN r.near END AS form,
+         CASE WHEN r.near_n >= {spelling.RATIO} * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+walk AS (
+  SELECT word, word AS reached FROM formed
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = reached WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, reached FROM walk JOIN formed f ON f.word = reached WHERE f.form IS NULL)
+SELECT word, n::BIGINT AS n, n_near::BIGINT AS n_near, form, form_n::BIGINT AS form_n, reached AS root FROM formed JOIN ends USING (word)
+"""
+
+
+@query(OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the documents, the near word that each is a variant of, and the last such word."""
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), damaged=DAMAGED))
+
+
+SHARDS = 24
+SHUFFLE_KEY = 20_240_229
+
+
+def permutation_sql(key: int) -> str:
+    """The network once over x, with a and b in scope, two rounds a step."""
+    keys = sharding.round_keys(key)
+    steps = ", ".join(f"[{f}, {s}, {g}, {t}]" for (f, s), (g, t) in zip(keys[::2], keys[1::2]))
+
+    def mixed(x: str, factor: str, summand: str) -> str:
+        y = f"(({x} % {sharding.PRIME} * {factor} + {summand}) % {sharding.PRIME})"
+        return f"(({y} * {y} + {factor}) % {sharding.PRIME})"
+
+    left = f"((z[1] + {mixed('z[2]', 'k[1]', 'k[2]')}) % a)"
+    right = f"((z[2] + {mixed(left, 'k[3]', 'k[4]')}) % b)"
+    return f"list_reduce(list_prepend([x % a, x // a, 0, 0], [{steps}]::BIGINT[][]), lambda z, k: [{left}, {right}, 0, 0])"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+measured AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + {sharding.OVERHEAD})::BIGINT AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crcs),
+rows AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS r FROM measured),
+halves AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM rows),
+sides AS (SELECT n, a, (n + a - 1) // a AS b FROM halves),
+walk AS (
+  SELECT r, n, a, b, {permutation_sql(SHUFFLE_KEY)} AS z FROM (SELECT r, r AS x, n, a, b FROM rows, sides)
+  UNION ALL
+  SELECT r, n, a, b, {permutation_sql(SHUFFLE_KEY)} FROM (SELECT r, z[2] * a + z[1] AS x, n, a, b FROM walk WHERE z[2] * a + z[1] >= n)),
+placed AS (SELECT r, z[2] * a + z[1] AS place FROM walk WHERE z[2] * a + z[1] < n)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place % {SHARDS})::INTEGER AS shard, (place // {SHARDS})::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard
+FROM rows JOIN placed USING (r)
+"""
+
+
+@query(OP13_SQL)
+def op13_shuffled_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document; shards have equal counts of rows."""
+    found = sharding.assigned(table(spark, folder, "documents"), SHARDS, SHUFFLE_KEY)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
