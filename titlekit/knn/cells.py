@@ -45,6 +45,8 @@ class CellIndex:
     aux: tuple[str, ...]
     dimensions: int
     copies: int | None
+    #: tau was estimated, not given
+    estimated: bool = False
 
     def bundle_rows(self) -> dict[int, int]:
         """Training rows of each bundle."""
@@ -228,7 +230,7 @@ def fit_cells(train: DataFrame, id_col: str = "tid", features_col: str = "featur
     share = max(BUNDLE_ROWS, -(-total // (BUNDLES_PER_CORE * spark.sparkContext.defaultParallelism)))
     index = CellIndex(
         tree, tau, spill, assigned, sizes, {r["cell_id"]: r["radius"] for r in stats},
-        bundled(sizes, tree.cells, min(share, block_rows(dimensions))), {}, tuple(aux), dimensions, copies,
+        bundled(sizes, tree.cells, min(share, block_rows(dimensions))), {}, tuple(aux), dimensions, copies, buffer_size < 0,
     )
     index.blocks = {b: -(-n // block_rows(dimensions)) for b, n in index.bundle_rows().items()}
     index.rows = _stored(spark, index, store)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from titlekit.knn.cells import CellIndex, fit_cells
 from titlekit.knn.predict import class_count, classified, regressed
+from titlekit.knn.probing import DEFAULT_RECALL
 from titlekit.knn.search import DEFAULT_K, knn_cells, knn_exact_pruned, with_neighbors
 from titlekit.knn.tau import SAMPLE_SIZES
 from titlekit.session import materialise
@@ -39,13 +40,14 @@ class KNNParams(HasFeaturesCol, HasSeed):
     balanceThreshold = Param(Params._dummy(), "balanceThreshold", "greatest share of a child of an overlapping node", TypeConverters.toFloat)
     spill = Param(Params._dummy(), "spill", "'query' or 'train': which side is copied near a boundary", TypeConverters.toString)
     copies = Param(Params._dummy(), "copies", "rows of equal vectors that the index keeps; 0: all. A fitted model then takes any k up to it", TypeConverters.toInt)
+    recall = Param(Params._dummy(), "recall", "share of the true neighbours that a search with estimated buffer finds", TypeConverters.toFloat)
     exact = Param(Params._dummy(), "exact", "visit every cell that may hold a neighbour", TypeConverters.toBoolean)
 
     def _defaults(self) -> None:
         self._setDefault(
             idCol="", k=DEFAULT_K, inputCols=[], neighborsCol="neighbors", distanceCol="", maxDistance=math.inf,
             topTreeSize=1000, topTreeLeafSize=10, subTreeLeafSize=30, bufferSize=-1.0,
-            bufferSizeSampleSizes=list(SAMPLE_SIZES), balanceThreshold=0.7, spill="query", copies=0, exact=False, seed=0,
+            bufferSizeSampleSizes=list(SAMPLE_SIZES), balanceThreshold=0.7, spill="query", copies=0, recall=DEFAULT_RECALL, exact=False, seed=0,
         )
 
     def set(self, param, value):
@@ -65,6 +67,7 @@ class KNNParams(HasFeaturesCol, HasSeed):
             (not 0 <= get("balanceThreshold") <= 1, "balanceThreshold is from 0 to 1"),
             (get("spill") not in ("query", "train"), "spill is 'query' or 'train'"),
             (get("copies") < 0, "copies is at least 0"),
+            (not 0 < get("recall") <= 1, "recall is above 0 and at most 1"),
         ):
             if bad:
                 raise ValueError(said)
@@ -107,7 +110,8 @@ class _KNNModelBase(Model, KNNParams):
         if get("exact"):
             return knn_exact_pruned(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"))
         tau = get("bufferSize") if self.isSet("bufferSize") and get("bufferSize") >= 0 else None
-        return knn_cells(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"), tau)
+        recall = get("recall") if tau is None and self.index.estimated else None
+        return knn_cells(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"), tau, recall)
 
     def release(self) -> None:
         """Drop the cached training rows."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlekit.knn.cells import CellIndex, block_rows, numbers_by, single_cell, vector_rows
+from titlekit.knn.probing import DEFAULT_RECALL, calibrated_probes
 from titlekit.knn.vectors import CHUNK_CELLS, block, nearest_in_block
 from titlekit.operators.ranking import top_k
 from titlekit.session import materialise
@@ -168,12 +169,56 @@ def routed_queries(index: CellIndex, queries: DataFrame, tau: float | None = Non
     return _routed(queries, _visited(index, index.tau if tau is None else tau)("features"))
 
 
+def _best_first(index: CellIndex, probes: int):
+    """Arrow function: vector to the ``probes`` cells of least margin."""
+    tree, bundle_of = index.tree, index.bundle_of
+
+    @F.arrow_udf(VISITS)
+    def visits(features: pa.Array) -> pa.Array:
+        points = block(features)
+        row, cell, _ = tree.nearest_cells(points, probes)
+        return bundle_visits(row, cell, len(points), bundle_of)
+
+    return visits
+
+
+def probed_queries(index: CellIndex, queries: DataFrame, probes: int) -> DataFrame:
+    """``qid, features, bundle, cells``: the ``probes`` cells that are best for each query (KNN4)."""
+    return _routed(queries, _best_first(index, probes)("features"))
+
+
+def probes_needed(index: CellIndex, asked: DataFrame, k: int, recall: float = DEFAULT_RECALL, max_distance: float = math.inf) -> int:
+    """Cells a query ``(qid, features)`` has to visit for the wanted recall, from a sample of the queries (KNN8)."""
+    rows = index.rows.select("tid", "features", F.array("cell_id").alias("cells"))
+    if index.spill == "train":  # a row is kept in several cells, and any of them will do
+        rows = index.rows.groupBy("tid").agg(F.first("features").alias("features"), F.collect_set("cell_id").alias("cells"))
+    return calibrated_probes(rows, asked, index.tree.margins, index.tree.cells, k, recall, max_distance)
+
+
+def visited_share(index: CellIndex, routed: DataFrame) -> float:
+    """The share of all pairs of a query and a training row that a search of ``routed`` compares."""
+    sizes = numbers_by(routed.select("qid", F.explode("cells").alias("cell_id")), "cell_id", index.sizes, "size", 0)
+    pairs, asked = sizes.agg(F.sum("size"), F.count_distinct("qid")).first()
+    return (pairs or 0) / max(1, asked * sum(index.sizes.values()))
+
+
 def knn_cells(index: CellIndex, queries: DataFrame, id_col: str = "qid", features_col: str = "features",
-              k: int = DEFAULT_K, max_distance: float = math.inf, tau: float | None = None) -> DataFrame:
-    """Neighbours ``qid, tid, distance, rank, aux...`` among the visited cells; approximate unless tau is infinite."""
+              k: int = DEFAULT_K, max_distance: float = math.inf, tau: float | None = None, recall: float | None = None,
+              probes: int | None = None) -> DataFrame:
+    """Neighbours ``qid, tid, distance, rank, aux...`` among the visited cells; approximate unless tau is infinite.
+
+    With ``tau`` a query visits both sides of the planes it is near to; with ``probes`` that many cells, the best first;
+    with ``recall`` as many as a sample of the queries needs for it. If none is given, an index with a buffer size of its
+    own uses that as tau, and any other meets ``DEFAULT_RECALL``.
+    """
     _check_search(index, k, max_distance)
     asked = vector_rows(queries, id_col, features_col, (), "qid")
-    found = search_cells(index, routed_queries(index, asked, tau), k, max_distance)
+    if recall is None and tau is None and probes is None and index.estimated:
+        recall = DEFAULT_RECALL
+    if recall is not None and probes is None:
+        probes = probes_needed(index, asked, k, recall, max_distance)
+    routed = routed_queries(index, asked, tau) if probes is None else probed_queries(index, asked, probes)
+    found = search_cells(index, routed, k, max_distance)
     if index.spill != "train":
         return _ranked(found, k)
     return _filled(index, asked, _once(found, k), k, max_distance)

@@ -12,6 +12,9 @@ import numpy as np
 
 from titlekit.knn.vectors import squared_to
 
+# Margins of points and cells that are put in order at a time.
+ORDERED_AT_ONCE = 4_000_000
+
 
 @dataclass
 class PivotTree:
@@ -144,6 +147,38 @@ class PivotTree:
             return np.empty(0, int), np.empty(0, int)
         return np.concatenate(rows), np.concatenate(cells)
 
+    def margins(self, points: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """For each point and cell, how far the cell is beyond splitting planes: the sum over the nodes above it of the
+        squared distance to the plane where the point is on the other side, from ``start`` on. The point's own cell has 0
+        more than ``start``, and no cell has less than a node above it."""
+        self._check(points)
+        out = np.empty((len(points), self.cells))
+        stack = [(0 if self.children else -1, np.zeros(len(points)) if start is None else start)]
+        while stack:
+            node, margin = stack.pop()
+            if node < 0:
+                out[:, -node - 1] = margin
+                continue
+            gap = np.sqrt(((self.left_pivot[node] - self.right_pivot[node]) ** 2).sum())
+            beyond = (squared_to(points, self.left_pivot[node]) - squared_to(points, self.right_pivot[node])) / (2.0 * gap)
+            left, right = self.children[node]
+            stack.append((left, margin + np.maximum(beyond, 0.0) ** 2))
+            stack.append((right, margin + np.minimum(beyond, 0.0) ** 2))
+        return out
+
+    def nearest_cells(self, points: np.ndarray, count: int, start: np.ndarray | None = None):
+        """(row, cell, margin): the ``count`` cells of least margin for each point, the best first."""
+        found = []
+        step = max(1, ORDERED_AT_ONCE // max(1, self.cells))
+        for lo in range(0, len(points), step):
+            part = self.margins(points[lo : lo + step], None if start is None else start[lo : lo + step])
+            best = np.argsort(part, axis=1, kind="stable")[:, :count]
+            rows = np.repeat(np.arange(lo, lo + len(part)), best.shape[1])
+            found.append((rows, best.ravel(), np.take_along_axis(part, best, axis=1).ravel()))
+        if not found:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def neighbourhoods(self, sizes: dict[int, int], enough: int) -> list[np.ndarray]:
         """For each cell itself or, where it has fewer than ``enough`` rows, the cells of nearest centre that have them."""
         centres, rows = np.array(self.centres), np.array([sizes.get(c, 0) for c in range(self.cells)])

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titlekit.operators.lookup import lookup_join
+from titlekit.operators.membership import maybe_among
 
 
 def term_hits(titles: DataFrame, id_col: str, tokens_col: str, terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """``(id, pos, term)``: each known term of a title once, with its place of first sight."""
-    grams = titles.select(id_col, F.posexplode(F.array_distinct(tokens_col)).alias("pos", "term"))
-    known = terms.select(F.col(term_col).alias("term")).distinct()
-    return lookup_join(grams, known, ["term"]).select(id_col, "pos", "term")
+    """``(id, pos, term)``: each known term of a title once, in the order of first sight by ``pos``.
+
+    Where the terms fit a broadcast, a filter inside the list lets few other tokens become rows (``maybe_among``); the join
+    then settles which of them are terms.
+    """
+    known = terms.select(F.col(term_col).alias("term")).where("term is not null").distinct()
+    small, maybe = maybe_among(known.withColumnRenamed("term", "word"))
+    tokens = F.filter(tokens_col, maybe) if maybe else F.col(tokens_col)
+    grams = titles.select(id_col, F.posexplode(F.array_distinct(tokens)).alias("pos", "term"))
+    return lookup_join(grams, known, ["term"], small=small).select(id_col, "pos", "term")
 
 
 def in_order(hits: DataFrame, id_col: str, out: str) -> DataFrame:

@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import with_ngrams
-from titlekit.operators.lookup import lookup_join
+from titlekit.operators.lookup import fits_broadcast, lookup_join
 from titlekit.operators.training import corpus_stop_words, without_corpus_words
 from titlekit.operators.vocabulary import numbered
 from titlekit.session import materialise
 
 HASHED_FEATURES = 1000
 WHOLE_VOCABULARY = 2**31 - 1
+#: Stop words that travel with the plan as a list.
+STOP_WORD_ROWS = 100_000
+STOP_WORD_BYTES = 4 * 1024 * 1024
 
 
 @dataclass
@@ -77,9 +80,17 @@ def halves(features: DataFrame, seed: int = 11) -> tuple[DataFrame, DataFrame]:
 
 
 def without_stop_words(titles: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """``titles`` with the stop words taken out of ``tokens``; the same step in training and in prediction."""
-    if stop_words.isEmpty():
-        return titles
+    """``titles`` with the stop words taken out of ``tokens``, in any case; the same step in training and in prediction.
+
+    Words that fit a small measured list leave the tokens where they lie (TXT5); more of them meet the exploded tokens by
+    an anti-join. Both give the same tokens in the same order.
+    """
+    if fits_broadcast(stop_words, STOP_WORD_ROWS, STOP_WORD_BYTES):
+        words = [r["word"] for r in stop_words.distinct().collect() if r["word"] is not None]
+        if not words:
+            return titles
+        remover = StopWordsRemover(inputCol="tokens", outputCol="_kept", stopWords=words, caseSensitive=False, locale="en_US")
+        return remover.transform(titles).withColumn("tokens", F.col("_kept")).drop("_kept")
     keyed = materialise(titles.withColumn("_row", F.monotonically_increasing_id()))
     kept = without_corpus_words(keyed, "_row", "tokens", stop_words, "_kept")
     return kept.withColumn("tokens", F.col("_kept")).drop("_row", "_kept")
@@ -97,6 +108,16 @@ def dealt(rows: DataFrame, fold_key: str, folds: int) -> tuple[DataFrame, int]:
     return lookup_join(rows, places, [fold_key]), folds
 
 
+def out_of_fold(rows: DataFrame, estimator: Pipeline, folds: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep..., fold, label, prediction``: every row scored by the model that was fitted without its ``fold`` (ML5)."""
+    out = None
+    for fold in range(folds):
+        model = estimator.fit(rows.where(F.col("fold") != fold))
+        scored = model.transform(rows.where(F.col("fold") == fold)).select(*keep, "fold", "label", "prediction")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", num_trees: int = 8,
                      fold_key: str = "title", seed: int = 0, **stages) -> TermModel:
     """Cross-validate and fit the classifier on rows ``tokens, target, stop_words`` (ML1-ML5).

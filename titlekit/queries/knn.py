@@ -10,12 +10,13 @@ from titlekit.knn.cells import cell_boxes, farthest_point, fit_cells
 from titlekit.knn.estimators import KNN, KNNClassifier, KNNRegression
 from titlekit.knn.predict import class_count, classified, regressed, votes, winners
 from titlekit.knn.search import knn_cells, knn_exact, knn_exact_pruned, routed_queries, with_neighbors
+from titlekit.knn.stored import open_index, search_stored, store_index
 from titlekit.knn.tau import sample_spacing, spacing_line, tau_from_line
 from titlekit.knn.vectors import euclidean
 from titlekit.operators.ranking import top_k
 from titlekit.operators.sampling import size_samples
 from titlekit.queries.catalog import query, table
-from titlekit.session import new_folder, spread
+from titlekit.session import materialise, new_folder, spread
 
 K = 5
 
@@ -88,7 +89,7 @@ def cells_near(spark, folder):
 @query("knn5_knn6_hybrid_cells")
 def cells_spilled(spark, folder):
     index = fit_cells(vectors(spark, folder), copies=K, spill="train", buffer_size=0.05)
-    return long_form(knn_cells(index, asked(spark, folder), k=K))
+    return long_form(knn_cells(index, asked(spark, folder), k=K, recall=0.9))
 
 
 # One split: the tree has a single node, whose pivots SQL can find too.
@@ -380,3 +381,47 @@ def single_vector(spark, folder):
     one = table(spark, folder, "customer").agg(F.array(F.avg("c_acctbal"), F.avg(F.col("c_nationkey") * 100.0)).alias("features")).first()
     model = KNNRegression(idCol="tid", k=K, exact=True, bufferSize=0.0).fit(suppliers(spark, folder))
     return spark.createDataFrame([(round(model.predict(spark, one["features"]), 4),)], "prediction double")
+
+
+@query("knn4_knn8_recall", f"""
+SELECT data, method, asked, asked * {K} AS wanted, true AS reached
+FROM (SELECT 'embeddings' AS data, count(*) AS asked FROM embeddings UNION ALL SELECT 'customers', count(*) FROM customer),
+     (SELECT unnest(['cells', 'hybrid']) AS method)""")
+def reached_recall(spark, folder):
+    """Searches at their default setting find nine tenths of the true neighbours of all queries."""
+    out = None
+    for data, train, rows, width in (("embeddings", vectors, asked, 0.05), ("customers", suppliers, customers, 20.0)):
+        points, queries = train(spark, folder), rows(spark, folder)
+        true = knn_exact(points, queries, K).select("qid", "tid")
+        for method, options in (("cells", {}), ("hybrid", {"spill": "train", "buffer_size": width})):
+            index = fit_cells(points, copies=K, **options)
+            found = knn_cells(index, queries, k=K, recall=0.9 if options else None).select("qid", "tid", F.lit(1).alias("hit"))
+            met = true.join(found, ["qid", "tid"], "left").agg(F.count_distinct("qid").alias("asked"), F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+            met = materialise(met.select(F.lit(data).alias("data"), F.lit(method).alias("method"), "asked", "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("reached")))
+            index.release()
+            out = met if out is None else out.unionByName(met)
+    return out
+
+
+def small_cells(spark, folder, **options):
+    """An index of many small cells in tables, a part of its tree met by a shuffle: nothing above a kilobyte is sent."""
+    path = new_folder(spark, "index")
+    return store_index(vectors(spark, folder), path, aux=("label",), max_cell_rows=40, limit=1024, **options)
+
+
+@query("knn3_prt1_tree_table", "SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, true AS small, true AS one_cell FROM embeddings")
+def tree_table(spark, folder):
+    """Every row is in one cell, and no cell of rows that differ is above its limit."""
+    rows = small_cells(spark, folder).rows
+    cells = rows.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("features").alias("different"))
+    small = materialise(cells.agg(F.bool_and((F.col("n") <= 40) | (F.col("different") == 1)).alias("small")))
+    ids = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("tid").alias("ids"), (F.count_distinct("tid") == F.count(F.lit(1))).alias("one_cell"))
+    return ids.crossJoin(F.broadcast(small)).select("n", "ids", "small", "one_cell")  # one row each
+
+
+@query("cch1_join5_reopened_index", f"WITH {NEIGHBOURS_SQL} SELECT qid, tid, round(distance, 6) AS distance, rank::INT AS rank, label FROM neighbours")
+def reopened_index(spark, folder):
+    """An index that is stored, opened again and searched in every cell."""
+    index = open_index(spark, small_cells(spark, folder).folder)
+    found = search_stored(index, asked(spark, folder), k=K, probes=index.cells.count())
+    return found.select("qid", "tid", F.round("distance", 6).alias("distance"), "rank", "label")

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import title_tokens, with_ngrams
+from titlekit.operators.counts import as_vector, count_vectors, fit_vocabulary
 from titlekit.operators.evaluation import weighted_metrics
+from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.lookup import lookup_join
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.operators.training import training_features
-from titlekit.plans.model import dealt, halves, indexed, term_stages, train_term_model
+from titlekit.plans.model import dealt, halves, indexed, out_of_fold, term_stages, train_term_model
 from titlekit.plans.predict import predict, predict_titles
 from titlekit.plans.train import train
 from titlekit.queries.catalog import LABELLED_SQL, PLAIN_SQL, joined, labelled_titles, merged_sql, plain_titles, query, table, tokens_sql
 from titlekit.queries.lists import VOCABULARY_SQL
-from titlekit.session import materialise
+from titlekit.session import materialise, new_folder
+from titlekit.sources.attributes import write_table
 
 TREES = 8
 FOLDS = 2
@@ -39,14 +40,14 @@ def string_index(spark, folder):
 WITH {LABELLED_SQL},
 grams AS (SELECT unnest({merged_sql('tokens')}) AS token FROM features)
 SELECT token, count(*)::DOUBLE AS total FROM grams GROUP BY token""")
-def count_vectors(spark, folder):
-    rows = training_features(labelled_titles(spark, folder)).select(with_ngrams("tokens").alias("tokens"))
-    # the engine's stages up to the vectors; no token is left out of the vocabulary
-    fitted = Pipeline(stages=term_stages(TREES).getStages()[:2]).fit(rows)
-    total = fitted.transform(rows).agg(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
-    named = total.select(F.posexplode("s").alias("i", "total"))
-    words = spark.createDataFrame(list(enumerate(fitted.stages[1].vocabulary)), "i int, token string")
-    return lookup_join(named, words, ["i"]).select("token", "total")
+def summed_vectors(spark, folder):
+    """Sparse vectors of all rows by a vocabulary that is a table, summed by index and named again."""
+    rows = training_features(labelled_titles(spark, folder), keep=("id",)).select("id", "target", with_ngrams("tokens").alias("tokens"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+    vocabulary = fit_vocabulary(rows)
+    held = count_vectors(rows, "row", "tokens", vocabulary).select(F.inline(F.arrays_zip("counts.indices", "counts.counts")))
+    totals = held.groupBy(F.col("indices").alias("index")).agg(F.sum("counts").alias("total"))
+    return lookup_join(totals, vocabulary.select("index", "token"), ["index"]).select("token", "total")
 
 
 @query("ml3_ml4_ml10_forest")
@@ -107,6 +108,46 @@ def even_folds(spark, folder):
     return rows.groupBy("title").agg((F.count_distinct("fold") == 1).alias("one_fold"), F.lit(even).alias("even"), F.lit(folds).alias("folds"))
 
 
+def component_stage(k):
+    """The stage that ``term_stages`` puts between vectors and classifier."""
+    return term_stages(pca_k=k).getStages()[2]
+
+
+@query("ml6_components_forest", f"WITH {MARKED_SQL} SELECT id, target, target AS predicted FROM marked")
+def components_forest(spark, folder):
+    """The forest on components of hashed counts, by the engine's own stages."""
+    rows, labels = indexed(marked_rows(spark, folder))
+    return named_predictions(term_stages(40, vectors="hashed", pca_k=8, hashed_features=256, seed=3).fit(rows), rows, labels)
+
+
+@query("ml2_ml10_table_vectors_forest", f"WITH {MARKED_SQL} SELECT id, target, target AS predicted FROM marked")
+def table_vectors_forest(spark, folder):
+    """The forest on vectors of a vocabulary table, which is written, read again and joined at prediction."""
+    rows, labels = indexed(marked_rows(spark, folder))
+    path = new_folder(spark, "vocabulary")
+    write_table(fit_vocabulary(rows), path)
+    vocabulary = spark.read.parquet(path)
+    size = vocabulary.count()
+    rows = materialise(count_vectors(rows, "id", "tokens", vocabulary).withColumn("features", as_vector("counts", size)))
+    stage = term_stages(40, seed=3).getStages()[-1]
+    return named_predictions(stage.fit(rows), rows, labels)
+
+
+@query("ml5_out_of_fold", f"""
+WITH {MARKED_SQL}, counts AS (SELECT target, count(*) AS n FROM marked GROUP BY target)
+SELECT id, target, target AS predicted, 1.0::DOUBLE AS f1 FROM marked""")
+def out_of_fold_predictions(spark, folder):
+    """Rows scored by models that have not seen them, and the metric of all of them together."""
+    rows, labels = indexed(marked_rows(spark, folder))
+    rows, folds = dealt(rows, "title", FOLDS + 1)
+    rows = materialise(rows)
+    scored = materialise(out_of_fold(rows, term_stages(40, seed=3), folds, ("id", "target")))
+    names = spark.createDataFrame([(float(i), t) for i, t in enumerate(labels)], "prediction double, predicted string")
+    f1 = weighted_metrics(scored).select(F.round("f1", 6).alias("f1"))
+    named = lookup_join(scored, names, ["prediction"], "left").select("id", "target", "predicted")
+    return named.crossJoin(F.broadcast(f1))  # one row
+
+
 @query("ml6_total_variance", """
 WITH numbers AS (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS value FROM embeddings),
 spreads AS (SELECT i, var_samp(value) AS v FROM numbers GROUP BY i)
@@ -114,7 +155,7 @@ SELECT round(sum(v), 6) AS variance, true AS descending FROM spreads""")
 def total_variance(spark, folder):
     """All components together carry the variance of the vectors, the first one most."""
     rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    reduced = PCA(k=64, inputCol="features", outputCol="components").fit(rows).transform(rows)
+    reduced = component_stage(64).fit(rows).transform(rows)
     values = reduced.select(F.posexplode(vector_to_array("components")).alias("i", "value"))
     spreads = materialise(values.groupBy("i").agg(F.var_samp("value").alias("v")))
     ordered = F.sort_array(F.collect_list(F.struct("i", "v")))
@@ -124,9 +165,9 @@ def total_variance(spark, folder):
 
 @query("ml6_components")
 def components(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    reduced = PCA(k=8, inputCol="v", outputCol="c").fit(rows).transform(rows)
-    return reduced.select("vec_id", F.posexplode(vector_to_array("c")).alias("component", "value")).select(
+    rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    reduced = component_stage(8).fit(rows).transform(rows)
+    return reduced.select("vec_id", F.posexplode(vector_to_array("components")).alias("component", "value")).select(
         "vec_id", "component", F.round(F.abs("value"), 6).alias("size")
     )
 
@@ -197,6 +238,24 @@ def checked_predictions(spark, folder):
     return found.select("id", F.array_join(F.array_sort("core_terms"), "|").alias("terms"))
 
 
+@query("ml11_prediction_or_fallback", f"""
+WITH {PLAIN_SQL},
+grams AS (SELECT id, {merged_sql('t')} AS m FROM (SELECT id, {tokens_sql('product_name', 3)} AS t FROM titles)),
+known AS (SELECT list(DISTINCT w) AS terms FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)),
+found AS (SELECT id, m, list_filter(list_distinct(m), lambda x: list_contains(known.terms, x)) AS unordered, terms FROM grams, known)
+SELECT id, CASE id % 3 WHEN 0 THEN m[1] ELSE array_to_string(list_sort(unordered), '|') END AS terms FROM found""")
+def prediction_or_fallback(spark, folder):
+    """Titles with several known terms: the predicted one alone where the title has it (every third), else all of them."""
+    titles = plain_titles(spark, folder)
+    terms = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    tokens = title_tokens("product_name", 3)
+    predicted = F.when(F.col("id") % 3 == 0, F.get(tokens, 0)).when(F.col("id") % 3 == 1, F.lit("not in any title"))
+    rows = titles.select("id", with_ngrams(tokens).alias("tokens"), predicted.alias("predicted_term"))
+    found = known_terms(rows, "id", "tokens", materialise(terms), out="gazetteer")
+    first = checked_prediction("predicted_term", F.col("tokens"), "gazetteer")
+    return found.select("id", F.array_join(F.array_sort(F.coalesce(first, F.col("gazetteer"))), "|").alias("terms"))
+
+
 PREDICTED_SQL = TERMS_SQL + """,
 pairs AS (SELECT DISTINCT core_term AS term, brand FROM titles),
 brands AS (

@@ -16,6 +16,7 @@ from titlekit.session import materialise, new_folder
 from titlekit.sources.attributes import read_brands, read_model, read_terms, write_model, write_table
 from titlekit.sources.titles import AS_IS, read_labelled, read_unlabelled, write_results
 from titlekit.streaming.predict import RowPrinter, predict_stream, read_stream
+from titlekit.streaming.stateless import predict_rows_stream
 
 
 @query("src1_labelled_csv", f"WITH {LABELLED_SQL} SELECT product_name, core_terms, brand, stop_words FROM labelled")
@@ -98,6 +99,31 @@ def predicted_stream(spark, folder):
     return spark.read.parquet(output).select("id", "product_name", joined("core_terms"))
 
 
+@query("str1_stateless_stream", PREDICTED_SQL.replace("SELECT product_name, array_to_string", "SELECT id, product_name, array_to_string"))
+def stateless_stream(spark, folder):
+    """One streaming query of list expressions and model steps, without a function over micro-batches."""
+    titles = plain_titles(spark, folder)
+    terms = materialise(titles.select(F.col("core_terms").alias("term")).distinct())
+    pairs = materialise(titles.select(F.col("core_terms").alias("term"), "brand").distinct())
+    source, output = new_folder(spark, "titles"), new_folder(spark, "predicted")
+    stored = titles.select("id", "product_name")
+    stored.repartition(4).write.parquet(source)
+    stream = read_stream(spark, source, stored.schema, files_per_batch=2)
+    predict_rows_stream(stream, None, terms, pairs, output, new_folder(spark, "progress")).awaitTermination()
+    return spark.read.parquet(output).select("id", "product_name", joined("core_terms"), joined("brands"))
+
+
+@query("src6_file_uri", f"WITH {PLAIN_SQL} SELECT product_name FROM titles")
+def file_uri(spark, folder):
+    """Titles written under a location and read again by its full URI, with a scheme."""
+    path = new_folder(spark, "csv")
+    plain_titles(spark, folder).select("product_name").write.options(**AS_IS).csv(path)
+    uri = spark.read.format("binaryFile").load(f"{path}/*.csv").select("path").first()["path"].rsplit("/", 1)[0]
+    if "://" not in uri:
+        uri = uri.replace("file:", "file://", 1)
+    return read_unlabelled(spark, uri)
+
+
 @query("snk5_str4_printed_rows", "SELECT count(*) AS printed FROM events")
 def printed_rows(spark, folder):
     """Every streamed row passes the row sink once; here the sink counts instead of printing."""
