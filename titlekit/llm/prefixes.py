@@ -165,7 +165,8 @@ def rolled_up(nodes: DataFrame, paths: DataFrame, convs: DataFrame, height: int)
     above = own.where("n_leaves > 0 or saved > 0").join(chains.hint("merge"), ["c", "band"])
     up = F.slice("chain", F.lit(1), (F.col("depth") - F.col("band") * height + 1).cast("int"))
     spread = above.select("n_leaves", "saved", F.explode(up).alias("up")).select("up.*", "n_leaves", "saved")
-    within = materialise(_summed(spread))
+    # nodes with nothing of their own are there too
+    within = materialise(_summed(spread.unionByName(own.select(*KEY, zero.alias("n_leaves"), zero.alias("saved")))))
 
     # the top nodes of the bands below the first, each with its chain in the band above
     tops = own.where(f"depth > 0 and depth % {height} = 0").select("c", *KEY, (F.col("band") - 1).alias("band"))
