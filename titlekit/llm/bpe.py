@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import by_slice, col
+from titlekit.llm.common import as_text, by_slice, col
 from titlekit.session import spread
 
 VOCABULARY_BYTES = 64 << 20
@@ -207,7 +207,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def encode(texts: list[bytes]) -> list:
         tokens = _tokens(sent)
-        ids = [np.frombuffer(b"".join(tokens.encode(t.decode())), dtype="<u4").astype(np.int32) for t in texts]
+        ids = [np.frombuffer(b"".join(tokens.encode(as_text(t))), dtype="<u4").astype(np.int32) for t in texts]
         return [pa.array(ids, pa.list_(pa.int32()))]
 
     rows = spread(docs.select(col(id_col).alias(id_col), col(text_col).alias("text")))
@@ -237,7 +237,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         counts, ids_digests, text_digests = [], [], []
         for text in texts:
             of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
-            for part in tokens.encode(text.decode()):
+            for part in tokens.encode(as_text(text)):
                 of_ids.update(part)
                 n += len(part) // 4
                 # a part ends where a piece ends, so its bytes are whole characters

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import collections
-import functools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from titlekit.operators.lookup import lookup_join
+from titlekit.session import materialise
+
 SLICE_BYTES = 1 << 20
-MOST_CLASSES = 200
 MASK64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -51,6 +52,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def as_text(raw: bytes) -> str:
+    """A text's bytes as a string; bytes that are not UTF-8 are read as U+FFFD, so no text ends a job."""
+    return raw.decode("utf-8", "replace")
+
+
+def strings_of(column: pa.Array) -> list[str | None]:
+    """The values as strings, read by ``as_text``; null stays null."""
+    return [None if x is None else as_text(x) for x in column.cast(pa.binary()).to_pylist()]
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes each; a longer text has a range of its own."""
     start = size = 0
@@ -205,31 +216,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
                     chars: int) -> list[tuple[bytes, object, float]]:
     """A bounded sample of labelled texts that may be learned from: (text, label, weight).
 
-    From each class come at most ``rows`` ids, the lowest by a hash of the id, so that a rare class is not crowded out;
-    the weights give a class its share among all labelled rows again. Texts are taken in hash order, within ``chars``
-    bytes together and a share of them for each class (``within``); a text that does not fit is skipped. An id labelled
-    twice counts with its larger label; an id that stands for several documents gives the longest text. Only these rows
-    reach the driver.
+    From each class, however many there are, come at most ``rows`` ids, the lowest by a hash of the id, so that a rare
+    class is not crowded out; one pass ranks the ids of all classes, and a task sends on no more than ``rows`` of each. The
+    weights give a class its share among all labelled rows again. Texts are taken in hash order, within ``chars`` bytes
+    together and a share of them for each class (``within``); a text that does not fit is skipped. An id labelled twice
+    counts with its larger label; an id that stands for several documents gives the longest text. Only these rows reach the
+    driver.
     """
     known = labels.select(col(id_col).alias("i"), col(label_col).alias("y"))
     known = known.where("i IS NOT NULL AND y IS NOT NULL").where(learnable("i")).groupBy("i").agg(F.max("y").alias("y"))
-    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().limit(MOST_CLASSES + 1).collect()}
-    if len(shares) > MOST_CLASSES:
-        raise ValueError(f"{label_col} has more than {MOST_CLASSES} classes")
+    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not shares:
         return []
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows) for y in sorted(shares)]
-    chosen = functools.reduce(DataFrame.unionByName, parts)
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
+    chosen = materialise(known.withColumn("place", place).where(F.col("place") <= rows).select("i", "y"))
     own = docs.select(col(id_col).alias("i"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    # at most ``rows`` ids for each class are broadcast
-    found = own.join(F.broadcast(chosen), "i")
+    found = lookup_join(own, chosen, ["i"])
     sizes = found.groupBy("i", "y").agg(F.max(F.octet_length("t")).alias("n")).orderBy(F.xxhash64("i"), "i").collect()
     taken = [(sizes[k]["i"],) for k in within([(r["y"], r["n"]) for r in sizes], chars)]
     if not taken:
         return []
     if len(taken) < len(sizes):
         ids = docs.sparkSession.createDataFrame(taken, f"i {dict(own.dtypes)['i']}")
-        found = found.join(F.broadcast(ids), "i")
-    texts = found.groupBy("i", "y").agg(F.max_by("t", F.struct(F.octet_length("t"), "t")).alias("t")).orderBy(F.xxhash64("i"), "i").collect()
+        found = lookup_join(found, ids, ["i"])
+    texts = found.groupBy("i", "y").agg(F.max_by("t", F.struct(F.octet_length("t"), "t")).cast("binary").alias("t")).orderBy(F.xxhash64("i"), "i").collect()
     have = collections.Counter(r["y"] for r in texts)
-    return [(r["t"].encode(), r["y"], shares[r["y"]] / have[r["y"]]) for r in texts]
+    return [(bytes(r["t"]), r["y"], shares[r["y"]] / have[r["y"]]) for r in texts]

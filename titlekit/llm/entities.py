@@ -227,12 +227,13 @@ def candidate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return f"{canonical[:2]}{98 - rest:02d}{body}"
     if name == "ip":
         # private, loopback and group addresses stay in their own kind of network
-        first = int(canonical.split(".")[0])
+        first = int(canonical.split(".")[0]) if attempt <= LOOSE_ATTEMPTS else 1  # a full network lends from the public ones
         kept = str(first) if first in (0, 10, 127) or first >= 224 else str(next(x for x in iter(lambda: 11 + stream.below(212), None) if x != 127))
         return ".".join([kept, *(str(stream.below(256)) for _ in range(3))])
     if name in ("phone", "social"):
         lead = str(2 + stream.below(8)) if canonical[0] != "0" else "0"
-        return lead + "".join(map(stream.like, canonical[1:]))
+        longer = "".join(stream.like("0") for _ in range(max(0, attempt - LOOSE_ATTEMPTS)))
+        return lead + "".join(map(stream.like, canonical[1:])) + longer
     parts = kind.split(":")
     if name == "first":
         gender, script = parts[1], parts[2]
@@ -256,7 +257,7 @@ def written(surrogate: str, mention: str, kind: str) -> str:
     if name in ("card", "social", "phone", "iban"):
         skipped = 0
         if name == "phone" and mention.startswith("+"):
-            skipped = sum(c.isdigit() for c in mention) - len(surrogate)
+            skipped = max(0, sum(c.isdigit() for c in mention) - len(surrogate))
         rest, out = iter(surrogate), []
         for c in mention:
             if not c.isalnum() or skipped:
@@ -264,7 +265,7 @@ def written(surrogate: str, mention: str, kind: str) -> str:
                 out.append(c)
             else:
                 out.append(next(rest))
-        return "".join(out)
+        return "".join([*out, *rest])
     if name == "email":
         if mention.isupper():
             return surrogate.upper()

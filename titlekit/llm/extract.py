@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import by_slice, col
+from titlekit.llm.common import as_text, by_slice, col
 from titlekit.llm.dom import Page
 from titlekit.llm.labelled_pages import labelled_pages
 from titlekit.session import spread
@@ -139,7 +139,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = spread(pages.select(col(id_col).alias("id"), col(url_col).alias("url"), col(html_col).alias("html")))
 
     def texts(found: list[bytes]) -> list:
-        out = sent.value.texts([p.decode() for p in found])
+        out = sent.value.texts([as_text(p) for p in found])
         return [out, np.array([len(t) for t in out], dtype=np.int64)]
 
     out = by_slice(rows, texts, "text string, n_chars bigint")

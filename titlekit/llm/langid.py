@@ -9,20 +9,20 @@ it is probably in none of the languages.
 
 Scoring reads every whole text once, by slices, and shuffles nothing. A null text and one without a letter are ``und``
 with score 0, and so is every text if there is nothing to learn from. Repeated rows get equal answers; an empty table
-gives an empty result; extra columns are ignored. Nulls in the language are not learned from.
+gives an empty result; extra columns are ignored; bytes that are not UTF-8 are no letters. Nulls in the language are not learned from.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import by_slice, col, held_out, labelled_sample, learnable, slices, texts_of
+from titlekit.llm.common import as_text, by_slice, col, held_out, labelled_sample, learnable, slices, texts_of
 from titlekit.session import spread
 
 SAMPLE_ROWS = 600
@@ -34,14 +34,14 @@ SHARPNESS = 30.0
 FAR_SHARE = 0.002
 FAR_FACTOR = 0.6
 TEXTS_AT_ONCE = 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)])
 UNKNOWN = "und"
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
     """How often each text has the n-grams of each bucket."""
-    lowered = [t.decode().lower().encode() for t in texts]
+    lowered = [as_text(t).lower().encode() for t in texts]
     raw = np.frombuffer(b"  " + b"  ".join(lowered) + b"  ", dtype=np.uint8)
     raw = np.where(NOT_LETTERS[raw], 32, raw).astype(np.uint32)
     sizes = np.array([len(t) for t in lowered])
@@ -109,7 +109,7 @@ class Centroids:
             score[a:b] = 1 / weight.sum(axis=1)
             far[a:b] = cosine[a:b] < self.least[pick]
             for i in own:
-                if LETTER.search(texts[a + i].decode()):
+                if LETTER.search(as_text(texts[a + i])):
                     langs[a + i] = self.names[pick[i]]
                 else:
                     score[a + i], cosine[a + i], far[a + i] = 0.0, 0.0, True
@@ -134,7 +134,7 @@ def fit(sample: list[tuple[bytes, str, float]], texts_seen: int, frequency: np.n
     names = sorted({y for _, y, _ in sample})
     centres, owner, least = [], [], []
     for k, name in enumerate(names):
-        texts = [t for t, y, _ in sample if y == name and LETTER.search(t.decode())]
+        texts = [t for t, y, _ in sample if y == name and LETTER.search(as_text(t))]
         if not texts:
             continue
         x = np.concatenate([vectors(texts[a:b], idf) for a, b in in_batches(texts)])

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import by_slice, col
+from titlekit.llm.common import as_text, by_slice, col, strings_of
 from titlekit.llm.entities import candidate, mentions, name_finder, written
 from titlekit.operators.lookup import lookup_join
 from titlekit.session import materialise, spread
 
+MOST_ATTEMPTS = 200
+
 MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("canonical", pa.string())])
 
 
@@ -35,7 +37,7 @@ def found_mentions(rows: DataFrame) -> DataFrame:
     def find(texts: list[bytes]) -> list:
         if not finder:
             finder.append(name_finder())
-        out = [[m._asdict() for m in mentions(t.decode(), finder[0])] for t in texts]
+        out = [[m._asdict() for m in mentions(as_text(t), finder[0])] for t in texts]
         return [pa.array(out, pa.list_(MENTION))]
 
     return by_slice(spread(rows), find, "mentions array<struct<start:bigint,end:bigint,kind:string,canonical:string>>")
@@ -46,7 +48,7 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            made = [candidate(key, *r) for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            made = [candidate(key, *r) for r in zip(strings_of(batch.column(0)), strings_of(batch.column(1)), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "canonical", "attempt", "surrogate"])
 
     return entities.select("kind", "canonical", "attempt").mapInArrow(batches, "kind string, canonical string, attempt int, surrogate string")
@@ -54,10 +56,14 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
 
 def assigned(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, surrogate) of all entities (distinct kind, canonical); surrogates of a kind are distinct and
-    none of them is an entity."""
+    none of them is an entity.
+
+    Later attempts draw from a wider room (longer names and numbers, other networks), so a kind that is full in its own
+    format ends too; only addresses have a last value, and when they are used up the job stops with an error.
+    """
     entities = materialise(entities.select("kind", "canonical").distinct())
     open_ones = entities.withColumn("attempt", F.lit(0))
-    given = None
+    given, attempt = None, 0
     while True:
         found = drawn(open_ones, key)
         taken = entities.select("kind", F.col("canonical").alias("surrogate"))
@@ -73,6 +79,9 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
         open_ones = materialise(left.withColumn("attempt", F.col("attempt") + 1))
         if open_ones.isEmpty():
             return given
+        attempt += 1
+        if attempt > MOST_ATTEMPTS:
+            raise ValueError("a kind of entities has no surrogates left")
 
 
 def surrogated(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +104,7 @@ def rewritten(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their places replaced, and the kind of each place."""
     for batch in rows:
         kinds, texts = [], []
-        for places, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for places, text in zip(batch.column(1).to_pylist(), strings_of(batch.column(2))):
             kinds.append([p["kind"].split(":")[0] for p in places or []])
             if places and text:
                 parts, at = [], 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import SPACED, Words, by_slice, byte_set, col, fresh, mixed, powers, span_codes, prefix_codes, sums
+from titlekit.llm.common import SPACED, Words, by_slice, byte_set, col, fresh, mixed, powers, span_codes, prefix_codes, strings_of, sums
 from titlekit.operators.lookup import lookup_join
 from titlekit.session import materialise, spread
 
@@ -188,7 +188,7 @@ def _without_lines(rows: DataFrame) -> DataFrame:
             at = len(batch.schema.names) - 1
             lists = batch.column(at - 1)
             if lists.null_count < len(lists):
-                texts, gone = batch.column(at).to_pylist(), lists.to_pylist()
+                texts, gone = strings_of(batch.column(at)), lists.to_pylist()
                 texts = [_stripped(t, set(g)) if g and t else t for t, g in zip(texts, gone)]
                 batch = batch.set_column(at, batch.schema.names[at], pa.array(texts, batch.column(at).type))
             yield batch

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlekit.llm.common import ALNUM, Words, by_slice, col, held_out, labelled_sample, mixed, prefix_codes, slices, span_codes
+from titlekit.llm.common import ALNUM, Words, as_text, by_slice, col, held_out, labelled_sample, mixed, prefix_codes, slices, span_codes
 from titlekit.session import spread
 
 SAMPLE_ROWS = 1500
@@ -45,7 +45,7 @@ THRESHOLD = 0.5
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every term, repeats included."""
-    words = Words([t.decode().lower().encode() for t in texts], ALNUM)
+    words = Words([as_text(t).lower().encode() for t in texts], ALNUM)
     prefix = prefix_codes(words.raw)
     owner = words.owner()
     owners, codes = [owner], [span_codes(prefix, words.starts, words.ends)]
