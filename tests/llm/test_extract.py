@@ -8,7 +8,7 @@ import pytest
 
 from titlekit.llm import extract
 from titlekit.llm.dom import Page
-from titlekit.llm.labelled_pages import labelled_pages
+from titlekit.llm.labelled_pages import BODIES, labelled_pages
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +89,58 @@ def test_tables(spark):
     assert {r["text"] for r in got if r["page_id"] in (1, 2)} == {""}
     assert {len(r["text"].split()) for r in got if r["page_id"] == 3} == {1 + 8 * 5000}
     assert extract.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
+STORY = "The harbour was quiet that morning, and the boats had not yet left for the open sea."
+PARAGRAPH = "<p>" + STORY + " Nobody spoke, since there was little to say about the weather or the catch.</p>"
+
+
+def comments(n):
+    return "<div class='comments'><h3>Comments</h3>" + "".join(f"<div class='comment'><p>I do not agree with number {i}, says a reader.</p></div>" for i in range(n)) + "</div>"
+
+
+def plain(part):
+    return " ".join(re.sub("<[^>]*>", " ", part).split())
+
+
+@pytest.mark.parametrize("around", [("", ""), ("<nav><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul></nav>", "<footer>&copy; Site. All rights reserved.</footer>")])
+def test_pages_without_telling_tags(model, around):
+    """Few or many paragraphs in a plain block, with any number of comments beside or inside."""
+    cases = []
+    for n in (1, 2, 4):
+        body = f"<div class=x><h1>A heading here</h1>{PARAGRAPH * n}</div>"
+        cases += [(body + (comments(c) if c else ""), body) for c in (0, 1, 3, 8, 20)]
+    main = f"<main>{PARAGRAPH}</main>"
+    cases += [(main, main), (main + comments(1), main), (f"<main>{PARAGRAPH}{comments(1)}</main>", main)]
+    part = f"<article><h1>Title of it</h1>{PARAGRAPH}<section><h2>A part</h2><div>{STORY}</div></section>{PARAGRAPH}</article>"
+    cases.append((part, part))
+    for page, want in cases:
+        assert model.texts([f"<html><head><title>t</title></head><body>{around[0]}{page}{around[1]}</body></html>"]) == [plain(want)], page
+
+
+@pytest.mark.parametrize("start", range(4))
+def test_held_out_layouts(start):
+    """Blocks of layouts that the model has not seen at all."""
+    away = BODIES[start::4]
+    model = extract.fit(labelled_pages(bodies=tuple(b for b in BODIES if b not in away)))
+    pages = [Page(p) for p in labelled_pages(seed=9, bodies=away)]
+    trees = extract.Trees(pages)
+    y = np.concatenate([extract.labels_of(p) for p in pages])
+    size = np.concatenate([[sum(map(len, own)) for own in p.own] for p in pages])
+    right = (model.marginals(trees) > 0.5) == y
+    assert right.mean() > 0.9 and (right * size).sum() > 0.95 * size.sum()
+
+
+def test_parts_without_an_end(model):
+    head, tail = f"<article><h1>Title of it</h1>{PARAGRAPH}", f"{PARAGRAPH}</article>"
+    want = plain(head + tail)
+    for odd in ("<svg>", "<svg><path d='M0'>", "<template>", "<noembed>", "<svg><path/></svg>", "<template><p>never shown</p></template>", "<svg><foreignObject><p>drawn</p></foreignObject></svg>", "<svg><svg></svg>drawn</svg>"):
+        assert model.texts([f"<body>{head}{odd}{tail}</body>"]) == [want], odd
+    assert model.texts([f"<body>{head}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><xmp>a < b</xmp>{tail}</body>"]) == [plain(head) + " so x=1 holds a < b " + plain(tail)]
+
+
+def test_many_unclosed_parts_are_read_in_linear_time():
+    page = Page("<template>" * 20000 + "<noembed>" * 20000 + "text")
+    assert page.text(np.ones(len(page.parent), dtype=bool)) == "text"
+    page = Page("<svg><p>a</p>" * 20000)
+    assert page.text(np.ones(len(page.parent), dtype=bool)) == "a " * 19999 + "a"

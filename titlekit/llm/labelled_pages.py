@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Parts of pages. {s} is a sentence, {w} a word, {l} a list of links, {p} some paragraphs.
+#: Parts of pages. {s} is a sentence, {w} a word, {l} a list of links, {p} some paragraphs, {q} one
+#: or two, {c} comments of readers.
 TOPS = (
     "<nav><ul>{l}</ul></nav>",
     "<header><div class='logo'>{w}</div><nav>{l}</nav></header>",
@@ -48,6 +49,18 @@ BODIES = (
     "<main><article data-label='content'><h1>{s}</h1>{p}<div id='comments' data-label='other'><h2>{w} {w}</h2><ol><li><p>{s}</p><p>{s}</p></li></ol></div></article></main>",
     "<article data-label='content'><h1>{s}</h1>{p}<div class='social' data-label='other'><span>{w}</span> <a href='/s'>{w}</a></div><div class='promo' data-label='other'><h3>{s}</h3><p>{s}</p></div>{p}</article>",
     "<article data-label='content'><p>{s}</p></article>",
+    "<div class='{w}' data-label='content'><h1>{s}</h1>{q}</div>",
+    "<div class='{w}' data-label='content'><h2>{w} {w}</h2>{q}{p}</div>",
+    "<div data-label='content'><h1>{s}</h1>{q}</div>",
+    "<div class='{w}'><div id='{w}' data-label='content'><h1>{w} {w}</h1>{q}</div></div>",
+    "<div data-label='content'>{q}</div>",
+    "<main data-label='content'>{q}</main>",
+    "<main><div class='{w}' data-label='content'>{q}</div></main>",
+    "<main data-label='content'>{q}<section class='comments' data-label='other'><h3>{w}</h3>{c}</section></main>",
+    "<main data-label='content'><h1>{s}</h1>{q}<div class='comments' data-label='other'>{c}</div></main>",
+    "<section data-label='content'><h2>{s}</h2><div>{s}</div>{q}</section>",
+    "<article data-label='content'><h1>{s}</h1>{q}<section><h2>{s}</h2><div>{s} {s}</div></section>{p}</article>",
+    "<article data-label='content'><section class='{w}'><h2>{w} {w}</h2><div>{s}</div><div><p>{s}</p></div></section></article>",
     "<article data-label='content'><h1>{w}</h1><p>{w}.</p></article>",
     "<article data-label='content'><h1>{s}</h1>{p}<form data-label='other'><label>{w}</label><input><button>{w}</button></form><div class='related' data-label='other'><h3>{w}</h3><ul>{l}</ul><p>{s}</p></div></article>",
 )
@@ -59,6 +72,10 @@ ENDS = (
     "<div class='sidebar'><div class='widget'><h4>{w}</h4><p>{s}</p></div><div class='widget'><ul>{l}</ul></div></div><div class='footer'>{s}</div>",
     "<div class='comments'><p>{s}</p><div class='reply'><p>{s} {s}</p></div></div><footer><a href='/i'>{w}</a> <a href='/p'>{w}</a></footer>",
     "<div class='related'><h3>{w}</h3><div><a href='/r'>{s}</a></div><div><a href='/r'>{s}</a></div></div><footer>{s}</footer>",
+    "<div class='comments'><h3>{w}</h3>{c}</div>",
+    "<div id='comments'>{c}</div><footer>{s}</footer>",
+    "<section class='discussion'><h2>{w} {w}</h2>{c}{c}</section><div class='footer'>{s}</div>",
+    "<footer>&copy; {w}. {s}</footer>",
     "<div class='disclaimer'><p>{s} {s}</p></div><footer>{s}</footer>",
     "",
 )
@@ -102,6 +119,10 @@ def filled(part: str, random: np.random.Generator) -> str:
             out.append(sentence())
         elif piece == "{l}":
             out.append("".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(int(random.integers(2, 9)))))
+        elif piece == "{q}":
+            out.append("".join(paragraph() for _ in range(int(random.integers(1, 3)))))
+        elif piece == "{c}":
+            out.append("".join(f"<div class='comment'><p>{sentence()}</p></div>" for _ in range(int(random.integers(1, 16)))))
         elif piece == "{p}":
             out.append("".join(paragraph() for _ in range(int(random.integers(1, 7)))))
         else:
@@ -109,12 +130,12 @@ def filled(part: str, random: np.random.Generator) -> str:
     return "".join(out)
 
 
-def labelled_pages(seed: int = 5) -> list[str]:
-    """Every body with several tops, notices and ends."""
+def labelled_pages(seed: int = 5, bodies: tuple[str, ...] = BODIES, times: int = 7) -> list[str]:
+    """Every body ``times`` times with several tops, notices and ends."""
     random = np.random.default_rng(seed)
     pages = []
-    for body in BODIES:
-        for _ in range(10):
+    for body in bodies:
+        for _ in range(times):
             parts = [TOPS, NOTICES, (body,), NOTICES, ENDS]
             chosen = [filled(options[random.integers(len(options))], random) for options in parts]
             pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(chosen) + "</body></html>")
