@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from titlekit.operators import membership
+from titlekit.operators.containment import minimal_lists
 from titlekit.operators.counts import as_vector, count_vectors, fit_vocabulary
 from titlekit.operators.gazetteer import known_terms, term_hits
 from titlekit.operators.membership import maybe_among
@@ -122,3 +123,26 @@ def test_out_of_fold(spark):
     single = parted.withColumn("tokens", F.when(F.col("fold") == 0, F.array(F.concat(F.lit("only"), "target"))).otherwise(F.array(F.lit("x"))))
     assert {r["prediction"] for r in out_of_fold(single, term_stages(4), folds).where("fold = 0").collect()} <= {0.0, 1.0}
     parted.unpersist()
+
+
+@pytest.mark.parametrize("whole_words", [False, True])
+def test_nested_terms_of_long_lists(spark, whole_words):
+    """By the row and by the join: the same terms in the same order."""
+    words = ["jam tangan", "jam", "xjam", "tangan pria", "tangan", "pria jam", "b"]
+    rows = spark.createDataFrame([(1, words), (2, words[::-1]), (3, []), (4, None), (5, ["a"])], "id long, terms array<string>")
+    for long in (0, 3, 100):
+        got = {r["id"]: r["out"] for r in minimal_lists(rows, "id", "terms", "out", whole_words, long).collect()}
+        want = {1: ["jam", "tangan", "b"], 2: ["b", "tangan", "jam"], 3: [], 5: ["a"]}
+        if whole_words:
+            want[1].insert(1, "xjam")
+            want[2].insert(2, "xjam")
+        assert {i: t for i, t in got.items() if i != 4} == want
+
+
+def test_a_title_with_thousands_of_terms(spark):
+    names = [f"w{i:05d}" for i in range(2500)]
+    terms = spark.createDataFrame([(w,) for w in names] + [("w00001 w00002",)], "term string")
+    titles = spark.createDataFrame([(1, " ".join(names)), (2, "w00007 x")], "id long, product_name string")
+    brands = spark.createDataFrame([], "term string, brand string")
+    got = {r["id"]: r["core_terms"] for r in predict(titles, "id", None, terms, brands).collect()}
+    assert got == {1: names, 2: ["w00007"]}

@@ -184,3 +184,24 @@ def test_few_or_odd_rows(spark, tmp_path):
     nulls = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "tid long, features array<double>")
     assert store_index(nulls, str(tmp_path / "nulls")).total == 1
     assert math.isclose(search_stored(index, q).first()["distance"], math.sqrt(5))
+
+
+def test_neighbouring_cells_as_by_all_distances():
+    """The groups of the tree give the lists that comparing all centres gives, ties included."""
+    for n, dims, places in ((900, 2, 1), (600, 5, 9), (40, 3, 9)):
+        rng = np.random.default_rng(n)
+        rows = np.round(rng.normal(size=(n, dims)), places)
+        tree = PivotTree()
+        tree.grow(rows, 6)
+        cell = tree.route(rows)[1]
+        sizes = dict(zip(*np.unique(cell, return_counts=True)))
+        centres, held = np.array(tree.centres), np.array([sizes.get(c, 0) for c in range(tree.cells)])
+        assert sorted(tree.leaf_order()) == list(range(tree.cells))
+        for enough in (1, 25, 10**6):
+            for c, got in enumerate(tree.neighbourhoods(sizes, enough)):
+                if held[c] >= enough:
+                    assert got.tolist() == [c]
+                    continue
+                order = np.argsort(((centres - centres[c]) ** 2).sum(axis=1), kind="stable")
+                count = np.searchsorted(np.cumsum(held[order]), enough) + 1
+                assert got.tolist() == sorted(order[:count].tolist())

@@ -14,6 +14,9 @@ from titlekit.knn.vectors import squared_to
 
 # Margins of points and cells that are put in order at a time.
 ORDERED_AT_ONCE = 4_000_000
+# Neighbouring cells that look for their surroundings together.
+GROUP_CELLS = 32
+NEAR_GROUPS = 4
 
 
 @dataclass
@@ -179,12 +182,49 @@ class PivotTree:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def leaf_order(self) -> np.ndarray:
+        """The cells from left to right, so that cells of one subtree stand together."""
+        out, stack = [], [0 if self.children else -1]
+        while stack:
+            node = stack.pop()
+            if node < 0:
+                out.append(-node - 1)
+            else:
+                left, right = self.children[node]
+                stack += [right, left]
+        return np.array(out, dtype=int)
+
     def neighbourhoods(self, sizes: dict[int, int], enough: int) -> list[np.ndarray]:
-        """For each cell itself or, where it has fewer than ``enough`` rows, the cells of nearest centre that have them."""
+        """For each cell itself or, where it has fewer than ``enough`` rows, the cells of nearest centre that have them.
+
+        Cells are taken in groups that stand together in the tree. The groups around a cell first give it a distance
+        within which there are enough rows; then only groups whose balls come within that distance are looked at.
+        """
         centres, rows = np.array(self.centres), np.array([sizes.get(c, 0) for c in range(self.cells)])
         found = [np.array([c]) for c in range(self.cells)]
-        for cell in np.flatnonzero(rows < enough):
-            nearest = np.argsort(squared_to(centres, centres[cell]), kind="stable")
-            count = np.searchsorted(np.cumsum(rows[nearest]), enough) + 1
-            found[cell] = np.sort(nearest[:count])
+        groups = np.array_split(self.leaf_order(), max(1, self.cells // GROUP_CELLS))
+        middles = np.array([centres[g].mean(axis=0) for g in groups])
+        radius = np.array([np.sqrt(squared_to(centres[g], m).max()) for g, m in zip(groups, middles)]) * (1.0 + 1e-9)
+        everyone = np.arange(self.cells)
+        for group, middle in zip(groups, middles):
+            own = group[rows[group] < enough]
+            if not len(own):
+                continue
+            some = np.argsort(squared_to(middles, middle), kind="stable")[:NEAR_GROUPS]
+            first = np.sort(np.concatenate([groups[g] for g in some]))
+            apart = np.sqrt(((centres[own][:, None, :] - middles[None]) ** 2).sum(axis=2)) - radius
+            for cell, gaps in zip(own, apart):
+                far, _ = self._nearest_until(centres, rows, cell, first, enough)
+                reached = np.flatnonzero(gaps <= np.sqrt(far) * (1.0 + 1e-9))
+                near = np.sort(np.concatenate([groups[g] for g in reached])) if len(reached) < len(groups) else everyone
+                found[cell] = self._nearest_until(centres, rows, cell, near, enough)[1]
         return found
+
+    @staticmethod
+    def _nearest_until(centres: np.ndarray, rows: np.ndarray, cell: int, near: np.ndarray, enough: int) -> tuple[float, np.ndarray]:
+        """(squared distance, cells): those of ``near``, in order of distance, that first have ``enough`` rows together."""
+        away = squared_to(centres[near], centres[cell])
+        order = np.argsort(away, kind="stable")
+        count = int(np.searchsorted(np.cumsum(rows[near[order]]), enough)) + 1
+        far = away[order[count - 1]] if count <= len(order) else np.inf
+        return far, np.sort(near[order[:count]])

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlekit.functions.lists import minimal_terms
+from titlekit.operators.gazetteer import in_order
 from titlekit.operators.lookup import lookup_join
 from titlekit.session import materialise
 
+#: Items up to which a list is compared with itself inside its row.
+LONG_LIST = 200
+
 
 def parts_of(term: Column, whole_words: bool = False, lengths: list[int] | None = None) -> Column:
     """All distinct substrings of a term, or all its distinct runs of whole words; with ``lengths`` only of those many
@@ -72,3 +77,19 @@ def without_holders(items: DataFrame, id_col: str, term_col: str, parts: DataFra
 def minimal_terms_of(hits: DataFrame, id_col: str, term_col: str = "term", whole_words: bool = False) -> DataFrame:
     """ARR9 on rows ``(id, term, ...)``."""
     return without_holders(hits, id_col, term_col, hits, term_col, whole_words)
+
+
+def minimal_lists(titles: DataFrame, id_col: str, list_col: str, out: str, whole_words: bool = False, long: int | None = None) -> DataFrame:
+    """``titles`` (unique by ``id``) with ``out``, the list without items that hold another one (ARR9), in the list's order.
+
+    Lists of up to ``long`` items are settled inside the row; longer ones, which would cost the square of their length, by
+    the join of ``minimal_terms_of``. Both give the same terms.
+    """
+    limit = LONG_LIST if long is None else long
+    size = F.size(F.coalesce(list_col, F.array().cast("array<string>")))
+    short = titles.where(size <= limit).withColumn(out, minimal_terms(list_col, whole_words))
+    rest = materialise(titles.where(size > limit))
+    items = rest.select(id_col, F.posexplode(list_col).alias("pos", "term"))
+    lists = in_order(minimal_terms_of(items, id_col, "term", whole_words), id_col, out)
+    joined = rest.join(lists, id_col, "left")
+    return short.unionByName(joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from titlekit.functions.lists import minimal_terms, priority_merge
 from titlekit.functions.text import PREDICT_MIN_LEN, title_tokens, with_ngrams
 from titlekit.operators.brands import brands_present, title_brands
+from titlekit.operators.containment import minimal_lists
 from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, title_words
 from titlekit.operators.vocabulary import index_to_term
@@ -18,6 +19,8 @@ from titlekit.sources.attributes import read_brands, read_model, read_stop_words
 from titlekit.sources.titles import read_unlabelled, write_results
 
 REPEAT_ROWS = 100_000
+#: Tokens and n-grams of a title from which on nested terms are settled by a join.
+LONG_TITLE = 1_000
 
 
 def title_features(titles: DataFrame, min_len: int = PREDICT_MIN_LEN) -> DataFrame:
@@ -41,14 +44,23 @@ def core_terms(titles: DataFrame, id_col: str, terms: DataFrame, lexicon: DataFr
     first = checked_prediction("predicted_term", F.col("tokens"), "_gazetteer")
     found = found.select(id_col, "product_name", F.coalesce(first, F.col("_gazetteer")).alias("_first"))
     none = F.array().cast("array<string>")
+
+    def shortest(rows: DataFrame, column: str) -> DataFrame:
+        """The titles are cached, so looking for one with very many tokens costs little."""
+        if titles.where(F.size("tokens") > LONG_TITLE).isEmpty():
+            out = rows.withColumn("core_terms", minimal_terms(column, whole_words))
+        else:
+            out = minimal_lists(rows, id_col, column, "core_terms", whole_words)
+        return out.select(id_col, "product_name", "core_terms")
+
     if lexicon is None:
-        return found.select(id_col, "product_name", minimal_terms("_first", whole_words).alias("core_terms"))
+        return shortest(found, "_first")
     tagged = tag_words(title_words(titles, id_col, "product_name"), lexicon)
     second = phrase_candidates(noun_phrases(tagged, id_col), id_col, "_second")
     merged = found.join(second, id_col, "left").withColumn(
         "_merged", priority_merge("_first", F.coalesce("_second", none), whole_words)
     )
-    return merged.select(id_col, "product_name", minimal_terms("_merged", whole_words).alias("core_terms"))
+    return shortest(merged, "_merged")
 
 
 def named_titles(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame,
