@@ -13,7 +13,7 @@ from titlekit.knn import cells as cells_module
 from titlekit.knn import search as search_module
 from titlekit.knn import stored as stored_module
 from titlekit.knn.cells import fit_cells
-from titlekit.knn.estimators import KNN
+from titlekit.knn.estimators import KNN, KNNClassificationModel, KNNClassifier, KNNModel, KNNRegression, KNNRegressionModel
 from titlekit.knn.probing import exact_of_sample, probes_for
 from titlekit.knn.search import knn_cells, probed_queries, probes_needed, visited_share
 from titlekit.knn.stored import beams, needed_probes, open_index, routed_rows, search_stored, store_index
@@ -205,3 +205,28 @@ def test_neighbouring_cells_as_by_all_distances():
                 order = np.argsort(((centres - centres[c]) ** 2).sum(axis=1), kind="stable")
                 count = np.searchsorted(np.cumsum(held[order]), enough) + 1
                 assert got.tolist() == sorted(order[:count].tolist())
+
+
+def test_models_on_an_index_in_a_folder(spark, tmp_path):
+    """Fitted, and opened again with nothing but the folder."""
+    train, queries = points(200), points(30, seed=1)
+    t, q = frames(spark, train, queries)
+    t = t.withColumn("label", (F.col("tid") % 3).cast("double"))
+    asked, want = q.withColumnRenamed("qid", "tid"), brute(train, queries, 3)
+    path = str(tmp_path / "k")
+    fitted = KNN(k=3, idCol="tid", inputCols=["tid"], indexPath=path, exact=True).fit(t)
+    again = KNNModel.opened(spark, path, k=3, idCol="tid", inputCols=["tid"], exact=True)
+    for model in (fitted, again):
+        assert {r["tid"]: [n["tid"] for n in r["neighbors"]] for r in model.transform(asked).collect()} == want
+        model.release()
+    path = str(tmp_path / "c")
+    fitted = KNNClassifier(k=3, idCol="tid", indexPath=path, exact=True).fit(t)
+    again = KNNClassificationModel.opened(spark, path, k=3, idCol="tid", exact=True)
+    got = [{r["tid"]: (r["prediction"], r["probability"].toArray().tolist()) for r in m.transform(asked).collect()} for m in (fitted, again)]
+    assert got[0] == got[1] and again.numClasses == 3
+    path = str(tmp_path / "r")
+    fitted = KNNRegression(k=3, idCol="tid", indexPath=path, exact=True).fit(t)
+    again = KNNRegressionModel.opened(spark, path, k=3, idCol="tid", exact=True)
+    means = {i: sum(t % 3 for t in near) / 3 for i, near in want.items()}
+    for model in (fitted, again):
+        assert {r["tid"]: pytest.approx(r["prediction"]) for r in model.transform(asked).collect()} == means

@@ -9,13 +9,14 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titlekit.knn.cells import CellIndex, fit_cells
 from titlekit.knn.predict import class_count, classified, regressed
 from titlekit.knn.probing import DEFAULT_RECALL
 from titlekit.knn.search import DEFAULT_K, knn_cells, knn_exact_pruned, with_neighbors
+from titlekit.knn.stored import StoredIndex, open_index, search_stored, store_index
 from titlekit.knn.tau import SAMPLE_SIZES
 from titlekit.session import materialise
 
@@ -41,13 +42,14 @@ class KNNParams(HasFeaturesCol, HasSeed):
     spill = Param(Params._dummy(), "spill", "'query' or 'train': which side is copied near a boundary", TypeConverters.toString)
     copies = Param(Params._dummy(), "copies", "rows of equal vectors that the index keeps; 0: all. A fitted model then takes any k up to it", TypeConverters.toInt)
     recall = Param(Params._dummy(), "recall", "share of the true neighbours that a search with estimated buffer finds", TypeConverters.toFloat)
+    indexPath = Param(Params._dummy(), "indexPath", "folder where the index is kept as tables for other sessions; empty: in this session only", TypeConverters.toString)
     exact = Param(Params._dummy(), "exact", "visit every cell that may hold a neighbour", TypeConverters.toBoolean)
 
     def _defaults(self) -> None:
         self._setDefault(
             idCol="", k=DEFAULT_K, inputCols=[], neighborsCol="neighbors", distanceCol="", maxDistance=math.inf,
             topTreeSize=1000, topTreeLeafSize=10, subTreeLeafSize=30, bufferSize=-1.0,
-            bufferSizeSampleSizes=list(SAMPLE_SIZES), balanceThreshold=0.7, spill="query", copies=0, recall=DEFAULT_RECALL, exact=False, seed=0,
+            bufferSizeSampleSizes=list(SAMPLE_SIZES), balanceThreshold=0.7, spill="query", copies=0, recall=DEFAULT_RECALL, indexPath="", exact=False, seed=0,
         )
 
     def set(self, param, value):
@@ -78,15 +80,21 @@ class KNNParams(HasFeaturesCol, HasSeed):
             return df, key
         return materialise(df.withColumn(ROW_KEY, F.monotonically_increasing_id())), ROW_KEY
 
-    def _index(self, df: DataFrame, aux: tuple[str, ...]) -> CellIndex:
-        """The index of the training rows; the columns ``aux`` travel under names of their own, so any may be asked for."""
+    def _index(self, df: DataFrame, aux: tuple[str, ...]) -> CellIndex | StoredIndex:
+        """The index of the training rows; the columns ``aux`` travel under names of their own, so any may be asked for.
+
+        An index in a folder has a tree of its own kind; the parameters of trees, buffers and copies do not bear on it.
+        """
         self._check()
         rows, key = self._keyed(df)
         get = self.getOrDefault
         own = [F.col(c).alias(AUX.format(i)) for i, c in enumerate(aux)]
         rows = rows.select(F.col(key).alias(ROW_KEY), F.col(get("featuresCol")).alias("_features"), *own)
+        names = tuple(AUX.format(i) for i in range(len(aux)))
+        if get("indexPath"):
+            return store_index(rows, get("indexPath"), ROW_KEY, "_features", names, seed=get("seed"))
         return fit_cells(
-            rows, ROW_KEY, "_features", tuple(AUX.format(i) for i in range(len(aux))), top_tree_size=get("topTreeSize"),
+            rows, ROW_KEY, "_features", names, top_tree_size=get("topTreeSize"),
             top_tree_leaf_size=get("topTreeLeafSize"), sub_tree_leaf_size=get("subTreeLeafSize"),
             buffer_size=get("bufferSize"), buffer_size_sample_sizes=get("bufferSizeSampleSizes"),
             balance_threshold=get("balanceThreshold"), spill=get("spill"), seed=get("seed"), copies=get("copies") or None,
@@ -107,6 +115,9 @@ class _KNNModelBase(Model, KNNParams):
     def _found(self, rows: DataFrame, key: str) -> DataFrame:
         self._check()
         get = self.getOrDefault
+        if isinstance(self.index, StoredIndex):
+            probes = self.index.cells.count() if get("exact") else None
+            return search_stored(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"), get("recall"), probes)
         if get("exact"):
             return knn_exact_pruned(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"))
         tau = get("bufferSize") if self.isSet("bufferSize") and get("bufferSize") >= 0 else None
@@ -114,8 +125,16 @@ class _KNNModelBase(Model, KNNParams):
         return knn_cells(self.index, rows, key, get("featuresCol"), get("k"), get("maxDistance"), tau, recall)
 
     def release(self) -> None:
-        """Drop the cached training rows."""
-        self.index.release()
+        """Drop the cached training rows; an index in a folder stays there."""
+        if isinstance(self.index, CellIndex):
+            self.index.release()
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str, **params):
+        """The model of an index in a folder, with the parameters that it was fitted with."""
+        model = cls(open_index(spark, folder))
+        model._set(**params)
+        return model
 
 
 class KNNModel(_KNNModelBase):
@@ -163,6 +182,12 @@ class KNNClassificationModel(_KNNModelBase, _Supervised):
         self._setDefault(weightCol="", rawPredictionCol="rawPrediction", probabilityCol="probability")
         self.numClasses = num_classes
 
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str, **params):
+        model = super().opened(spark, folder, **params)
+        model.numClasses = class_count(model.index.rows, AUX.format(0))
+        return model
+
     def copy(self, extra=None):
         copied = super().copy(extra)
         copied.numClasses = self.numClasses

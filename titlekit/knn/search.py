@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -235,20 +236,21 @@ def _filled(index: CellIndex, asked: DataFrame, found: DataFrame, k: int, max_di
     The cells of nearest centre that hold enough rows are searched; copies of rows in several cells may leave a query
     short again, so the number of rows is doubled until all queries are served or have seen every cell.
     """
-    enough, total, done = 2 * k, sum(index.sizes.values()), None
+    enough, total = 2 * k, sum(index.sizes.values())
+    served: list[DataFrame] = []
     open_ones = asked
     while True:
         found = materialise(found)
         counts = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
         short = materialise(open_ones.join(counts, "qid", "left").where(F.coalesce("n", F.lit(0)) < k).drop("n"))
-        served = found if done is None else done.unionByName(found)
         if short.isEmpty():
-            return served
-        done = materialise(served.join(short.select("qid"), "qid", "left_anti"))
+            return functools.reduce(DataFrame.unionByName, [*served, found])
+        # only what this round has served is written down
+        served.append(materialise(found.join(short.select("qid"), "qid", "left_anti")))
         near = index.tree.neighbourhoods(index.sizes, min(enough, total))
         found = _once(search_cells(index, route_near(index, short, near), k, max_distance), k)
         if enough >= total:
-            return done.unionByName(found)
+            return functools.reduce(DataFrame.unionByName, [*served, found])
         open_ones, enough = short, 2 * enough
 
 
