@@ -13,8 +13,8 @@ from titlekit.operators.gazetteer import known_terms, term_hits
 from titlekit.operators.membership import maybe_among
 from titlekit.plans import model as model_module
 from titlekit.plans.model import dealt, indexed, out_of_fold, term_stages, without_stop_words
-from titlekit.plans.predict import predict
-from titlekit.plans.train import train
+from titlekit.plans.predict import predict, predict_job
+from titlekit.plans.train import train, train_job
 from titlekit.streaming import stateless
 from titlekit.streaming.predict import read_stream
 from titlekit.streaming.stateless import predict_rows_stream, predicted_rows
@@ -146,3 +146,18 @@ def test_a_title_with_thousands_of_terms(spark):
     brands = spark.createDataFrame([], "term string, brand string")
     got = {r["id"]: r["core_terms"] for r in predict(titles, "id", None, terms, brands).collect()}
     assert got == {1: names, 2: ["w00007"]}
+
+
+def test_jobs_with_a_vocabulary_table(spark, tmp_path):
+    """Trained with vectors from a table, written, and predicted from files; no token is in the model itself."""
+    labelled = [(f"red jam tangan {i} casio", "jam tangan, jam", "casio", "red") for i in range(20)] + [(f"blue shirt {i} gap", "shirt", "gap", None) for i in range(20)]
+    spark.createDataFrame(labelled, LABELLED).write.option("header", True).csv(str(tmp_path / "train"))
+    spark.createDataFrame([("jam tangan casio",), ("shirt gap red",), ("jam tangan casio",)], "product_name string").write.option("header", True).csv(str(tmp_path / "new"))
+    model = str(tmp_path / "model")
+    trained = train_job(spark, str(tmp_path / "train/*.csv"), model, str(tmp_path / "b"), str(tmp_path / "t"), folds=2, num_trees=4, vectors="table")
+    assert trained.term_model.vocabulary.where("token = 'shirt'").count() == 1 and [type(s).__name__ for s in trained.term_model.model.stages] == ["RandomForestClassificationModel"]
+    predict_job(spark, str(tmp_path / "new/*.csv"), model, str(tmp_path / "b"), str(tmp_path / "t"), str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert sorted((r["product_name"], r["core_terms"], r["brands"]) for r in rows) == [("jam tangan casio", "jam", "casio")] * 2 + [("shirt gap red", "shirt", "gap")]
+    with pytest.raises(ValueError):
+        term_stages(vectors="table", vocab_size=10)

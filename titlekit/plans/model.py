@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import with_ngrams
+from titlekit.operators.counts import as_vector, count_vectors, fit_vocabulary
 from titlekit.operators.lookup import fits_broadcast, lookup_join
 from titlekit.operators.training import corpus_stop_words, without_corpus_words
 from titlekit.operators.vocabulary import numbered
@@ -33,6 +34,8 @@ class TermModel:
     metric: float
     labels: list[str]
     stop_words: DataFrame
+    #: ``index, token, freq`` of a model with ``vectors="table"``
+    vocabulary: DataFrame | None = None
 
 
 def term_stages(num_trees: int = 8, vectors: str = "counts", classifier: str = "forest", pca_k: int | None = None,
@@ -41,8 +44,13 @@ def term_stages(num_trees: int = 8, vectors: str = "counts", classifier: str = "
     """Vector and classifier over the column ``tokens`` (ML2-ML4; ML6-ML8 and TXT4 as options).
 
     All tokens are counted unless ``vocab_size`` keeps only the most frequent ones; the vocabulary is part of the saved
-    model, so for very many tokens either give ``vocab_size`` or take ``vectors="hashed"``.
+    model, so for very many tokens either give ``vocab_size`` or take ``vectors="hashed"`` or ``vectors="table"``. With
+    "table" the stages expect the column ``features``, which ``table_vectors`` makes from a vocabulary that is a table.
     """
+    if vectors == "table":
+        if default_stop_words or vocab_size:
+            raise ValueError("vectors from a table take neither default stop words nor a vocabulary size")
+        return Pipeline(stages=_classifier([], "features", classifier, pca_k, num_trees, seed))
     words = StopWordsRemover.loadDefaultStopWords("english") if default_stop_words else [""]
     remover = StopWordsRemover(inputCol="tokens", outputCol="clean_tokens", stopWords=words)
     if vectors == "counts":
@@ -51,7 +59,10 @@ def term_stages(num_trees: int = 8, vectors: str = "counts", classifier: str = "
         vector = HashingTF(inputCol="clean_tokens", outputCol="features", numFeatures=hashed_features)
     else:
         raise ValueError("vectors is 'counts' or 'hashed'")
-    stages, column = [remover, vector], "features"
+    return Pipeline(stages=_classifier([remover, vector], "features", classifier, pca_k, num_trees, seed))
+
+
+def _classifier(stages: list, column: str, classifier: str, pca_k: int | None, num_trees: int, seed: int) -> list:
     if pca_k:
         stages.append(PCA(k=pca_k, inputCol=column, outputCol="components"))
         column = "components"
@@ -61,7 +72,14 @@ def term_stages(num_trees: int = 8, vectors: str = "counts", classifier: str = "
         stages.append(OneVsRest(classifier=LogisticRegression(), featuresCol=column, labelCol="label"))
     else:
         raise ValueError("classifier is 'forest' or 'one_vs_rest'")
-    return Pipeline(stages=stages)
+    return stages
+
+
+def table_vectors(rows: DataFrame, id_col: str, vocabulary: DataFrame) -> DataFrame:
+    """``rows`` (unique by ``id``) with ``features``, the counts of ``tokens`` by the vocabulary's index."""
+    size = vocabulary.agg(F.max("index")).first()[0]
+    counted = count_vectors(rows, id_col, "tokens", vocabulary, "_counts")
+    return counted.withColumn("features", as_vector("_counts", (-1 if size is None else size) + 1)).drop("_counts")
 
 
 def indexed(features: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -129,6 +147,11 @@ def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", n
     labelled, labels = indexed(features)
     rows, folds = dealt(labelled.select(fold_key, "label", with_ngrams("tokens").alias("tokens")), fold_key, folds)
     rows = materialise(without_stop_words(rows, words).select("label", "tokens", "fold"))
+    vocabulary = None
+    if stages.get("vectors") == "table":
+        keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+        vocabulary = fit_vocabulary(keyed)
+        rows = materialise(table_vectors(keyed, "_row", vocabulary).select("label", "features", "fold"))
     validator = CrossValidator(
         estimator=term_stages(num_trees, seed=seed, **stages),
         estimatorParamMaps=ParamGridBuilder().build(),
@@ -136,4 +159,4 @@ def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", n
         numFolds=folds, foldCol="fold", seed=seed,
     )
     fitted = validator.fit(rows)
-    return TermModel(fitted.bestModel, fitted.avgMetrics[0], labels, words)
+    return TermModel(fitted.bestModel, fitted.avgMetrics[0], labels, words, vocabulary)

@@ -13,9 +13,9 @@ from titlekit.operators.containment import minimal_lists
 from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, title_words
 from titlekit.operators.vocabulary import index_to_term
-from titlekit.plans.model import without_stop_words
+from titlekit.plans.model import table_vectors, without_stop_words
 from titlekit.session import materialise, partitioned, spread
-from titlekit.sources.attributes import read_brands, read_model, read_stop_words, read_terms
+from titlekit.sources.attributes import read_brands, read_model, read_stop_words, read_terms, read_vocabulary
 from titlekit.sources.titles import read_unlabelled, write_results
 
 REPEAT_ROWS = 100_000
@@ -64,11 +64,12 @@ def core_terms(titles: DataFrame, id_col: str, terms: DataFrame, lexicon: DataFr
 
 
 def named_titles(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame,
-                 min_len: int = PREDICT_MIN_LEN, stop_words: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+                 min_len: int = PREDICT_MIN_LEN, stop_words: DataFrame | None = None, keep: tuple[str, ...] = (),
+                 vocabulary: DataFrame | None = None) -> DataFrame:
     """``id, product_name, tokens, predicted_term`` and the columns ``keep``, cached and partitioned by ``id``.
 
     Without a model there is no predicted term, and the known terms of the title stand in for it. ``stop_words`` are
-    taken from what the model sees, as in training. The caller drops the cache with ``unpersist``.
+    taken from what the model sees, as in training; a ``vocabulary`` gives its vectors (``id`` is then unique). The caller drops the cache with ``unpersist``.
     """
     featured = title_features(titles.select(id_col, "product_name", *keep), min_len)
     if model is None:
@@ -76,6 +77,8 @@ def named_titles(titles: DataFrame, id_col: str, model: PipelineModel | None, te
     seen = featured.withColumn("_tokens", F.col("tokens"))
     if stop_words is not None:
         seen = without_stop_words(seen, stop_words)
+    if vocabulary is not None:
+        seen = table_vectors(seen, id_col, vocabulary)
     predicted = model.transform(seen).select(id_col, "product_name", F.col("_tokens").alias("tokens"), "prediction", *keep)
     return partitioned(index_to_term(predicted, terms, out="predicted_term").drop("prediction"), id_col)
 
@@ -97,13 +100,13 @@ def written_once(found: DataFrame, named: DataFrame) -> DataFrame:
 
 def predict(titles: DataFrame, id_col: str, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
             lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False,
-            stop_words: DataFrame | None = None) -> DataFrame:
+            stop_words: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """``id, product_name, core_terms, brands`` as lists, one row for each row of ``titles``.
 
     Rows are numbered inside, so repeated and null ids are kept apart. The result is written down, and no cache stays.
     """
     rows = materialise(titles.select(F.col(id_col).alias("_id"), "product_name").withColumn("_title", F.monotonically_increasing_id()))
-    named = named_titles(rows, "_title", model, terms, min_len, stop_words, keep=("_id",))
+    named = named_titles(rows, "_title", model, terms, min_len, stop_words, ("_id",), vocabulary)
     found = predict_named(named, "_title", terms, brands, lexicon, whole_words)
     ids = named.select("_title", "_id")
     joined = found.join(ids, "_title").select(F.col("_id").alias(id_col), "product_name", "core_terms", "brands")
@@ -132,11 +135,11 @@ def predict_titles(titles: DataFrame, model: PipelineModel | None, terms: DataFr
 
 def predicted_once(titles: DataFrame, model: PipelineModel | None, terms: DataFrame, brands: DataFrame,
                    lexicon: DataFrame | None = None, min_len: int = PREDICT_MIN_LEN, whole_words: bool = False,
-                   stop_words: DataFrame | None = None) -> DataFrame:
+                   stop_words: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """``product_name, core_terms, brands, _times`` of each different title that is not null, written down."""
     counts = titles.where("product_name is not null").groupBy("product_name").agg(F.count(F.lit(1)).alias("_times"))
     keyed = counts.withColumn("_title", F.col("product_name"))
-    named = named_titles(keyed, "_title", model, terms, min_len, stop_words, keep=("_times",))
+    named = named_titles(keyed, "_title", model, terms, min_len, stop_words, ("_times",), vocabulary)
     found = predict_named(named, "_title", terms, brands, lexicon, whole_words)
     return written_once(found.join(named.select("_title", "_times"), "_title").drop("_title"), named)
 
@@ -146,6 +149,7 @@ def predict_job(spark: SparkSession, input_path, model_path: str, brands_path: s
     """Predict from CSV files and write the results as CSV."""
     predicted = predict_titles(
         spread(read_unlabelled(spark, input_path)), read_model(model_path), read_terms(spark, terms_path),
-        read_brands(spark, brands_path), lexicon, stop_words=read_stop_words(spark, model_path), **options,
+        read_brands(spark, brands_path), lexicon, stop_words=read_stop_words(spark, model_path),
+        vocabulary=read_vocabulary(spark, model_path), **options,
     )
     write_results(predicted, output_path)

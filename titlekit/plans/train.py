@@ -13,7 +13,7 @@ from titlekit.operators.training import training_features
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.plans.model import TermModel, train_term_model
 from titlekit.session import materialise, spread
-from titlekit.sources.attributes import stop_words_path, write_model, write_table
+from titlekit.sources.attributes import stop_words_path, vocabulary_path, write_model, write_table
 from titlekit.sources.titles import read_labelled
 
 
@@ -46,6 +46,9 @@ def train_job(spark: SparkSession, input_path, model_path: str, brands_path: str
     trained = train(spread(read_labelled(spark, input_path)), **options)
     write_model(trained.term_model.model, model_path)
     write_table(trained.term_model.stop_words, stop_words_path(model_path))
+    # an empty one where the model needs none, so that no earlier model's is left there
+    none = spark.createDataFrame([], "index bigint, token string, freq bigint")
+    write_table(trained.term_model.vocabulary if trained.term_model.vocabulary is not None else none, vocabulary_path(model_path))
     write_table(trained.brands, brands_path)
     write_table(trained.terms, terms_path)
     return trained

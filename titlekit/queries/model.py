@@ -8,13 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import title_tokens, with_ngrams
-from titlekit.operators.counts import as_vector, count_vectors, fit_vocabulary
+from titlekit.operators.counts import count_vectors, fit_vocabulary
 from titlekit.operators.evaluation import weighted_metrics
 from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.lookup import lookup_join
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.operators.training import training_features
-from titlekit.plans.model import dealt, halves, indexed, out_of_fold, term_stages, train_term_model
+from titlekit.plans.model import dealt, halves, indexed, out_of_fold, table_vectors, term_stages, train_term_model
 from titlekit.plans.predict import predict, predict_titles
 from titlekit.plans.train import train
 from titlekit.queries.catalog import LABELLED_SQL, PLAIN_SQL, joined, labelled_titles, merged_sql, plain_titles, query, table, tokens_sql
@@ -127,10 +127,8 @@ def table_vectors_forest(spark, folder):
     path = new_folder(spark, "vocabulary")
     write_table(fit_vocabulary(rows), path)
     vocabulary = spark.read.parquet(path)
-    size = vocabulary.count()
-    rows = materialise(count_vectors(rows, "id", "tokens", vocabulary).withColumn("features", as_vector("counts", size)))
-    stage = term_stages(40, seed=3).getStages()[-1]
-    return named_predictions(stage.fit(rows), rows, labels)
+    rows = materialise(table_vectors(rows, "id", vocabulary))
+    return named_predictions(term_stages(40, vectors="table", seed=3).fit(rows), rows, labels)
 
 
 @query("ml5_out_of_fold", f"""

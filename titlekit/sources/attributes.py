@@ -41,5 +41,19 @@ def read_stop_words(spark: SparkSession, model_path: str) -> DataFrame | None:
         return None
 
 
+def vocabulary_path(model_path: str) -> str:
+    """Where the token vocabulary of a model with ``vectors="table"`` is: beside it."""
+    return f"{str(model_path).rstrip('/')}-vocabulary"
+
+
+def read_vocabulary(spark: SparkSession, model_path: str) -> DataFrame | None:
+    """``index, token``: the vocabulary of a saved model; None if its vectors need no table."""
+    try:
+        table = spark.read.parquet(vocabulary_path(model_path)).select("index", "token")
+    except AnalysisException:
+        return None
+    return None if table.isEmpty() else table
+
+
 def read_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
