@@ -34,18 +34,38 @@ def groups(pairs):
     return sorted(map(sorted, out.values()))
 
 
+def smallest_reachable(ids, prints):
+    """The smallest id over all paths of links of at most two bits, by comparing all pairs."""
+    different = sorted(set(prints))
+    linked = groups([(p, q) for p in different for q in different if bin(p ^ q).count("1") <= 2])
+    return {f"{p:016x}": min((i for i, q in zip(ids, prints) if q in own and i is not None), default=None) for own in map(set, linked) for p in own}
+
+
+def test_component_ids_over_chains(spark):
+    """Texts made so that their fingerprints chain: each near copy differs from the one before in a few words."""
+    random.seed(11)
+    words = [f"word{i}" for i in range(120)]
+    texts = []
+    for chain in range(6):
+        own = random.sample(words, 90)
+        for _ in range(8):
+            texts.append(" ".join(own))
+            own[random.randrange(90)] = random.choice(words)
+    ids = list(range(len(texts)))
+    random.shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    prints = [slow_fingerprint(t) for t in texts]
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == smallest_reachable(ids, prints) and 6 <= len(set(got.values())) < len(set(prints))
+
+
 def test_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     rows = odd.select("doc_id", "text").collect()
     prints = [slow_fingerprint(r["text"]) for r in rows]
-    least = {}
-    for p in prints:
-        near = [r["doc_id"] for r, q in zip(rows, prints) if bin(p ^ q).count("1") <= 2 and r["doc_id"] is not None]
-        least[f"{p:016x}"] = min(near, default=None)
+    assert {r["fingerprint"]: r["component_id"] for r in got} == smallest_reachable([r["doc_id"] for r in rows], prints)
     want = sorted((str(r["doc_id"]), f"{p:016x}") for r, p in zip(rows, prints))
     assert sorted((str(r["doc_id"]), r["fingerprint"]) for r in got) == want
-    for r in got:
-        assert r["component_id"] is not None and r["component_id"] <= least[r["fingerprint"]]
 
 
 def test_links_against_all_pairs(spark):
