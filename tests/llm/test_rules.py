@@ -34,25 +34,16 @@ def slow_verdicts(rows, min_docs, share, left_words=rules.LEFT_WORDS, left_share
             if WORD.search(line):
                 lines[rules.normalised(line.encode())] += len(WORD.findall(line))
         own.append((host, lines))
-    docs = Counter((h, x) for h, lines in own for x in lines)
     hosts = Counter(h for h, _ in own)
     limit = {h: max(min_docs, share * n) for h, n in hosts.items()}
-    often = {k: n for k, n in docs.items() if n > limit[k[0]]}
-    effective = Counter()
+    holders = defaultdict(set)
     for h, lines in own:
-        mine = sorted(((often[h, x], n) for x, n in lines.items() if (h, x) in often), reverse=True)
-        total, so_far, middle = sum(lines.values()), 0, 1
-        for n_docs, n in mine:
-            if 2 * so_far < total <= 2 * (so_far + n):
-                middle = n_docs
-            so_far += n
         for x in lines:
-            if (h, x) in often:
-                effective[h, x] += 1 / middle
+            holders[h, x].add(frozenset(lines))
     out = []
     for (k, _, text), (h, lines) in zip(rows, own):
         counts = slow_counts(text)
-        gone = sum(n for x, n in lines.items() if effective[h, x] > limit[h])
+        gone = sum(n for x, n in lines.items() if len(holders[h, x]) > limit[h])
         depleted = gone > 0 and (counts[0] - gone < left_words or counts[0] - gone < left_share * counts[0])
         out.append((k, *counts, not counts[-1] and not depleted, gone))
     return sorted(out, key=repr)
@@ -78,10 +69,12 @@ def corpus():
     for k in range(40, 60):  # little but the footer
         rows.append((k, "a", sentence(r, 5) + "\n" + "\n".join([footer + f" {i}" for i in range(10)][:1] * 1) + "\n" + footer + "\n" + footer.upper()))
     story = [sentence(r, 12) for _ in range(6)]
-    for k in range(60, 100):  # copies and near copies
-        lines = list(story)
-        if k % 2:
-            lines[k % 6] = sentence(r, 12)
+    for k in range(60, 100):  # copies, some in another order, in capitals or with a line twice
+        lines = story[k % 6 :] + story[: k % 6] + story[:k % 2]
+        rows.append((k, "b", "\n".join(lines).upper() if k % 3 else "\n".join(lines)))
+    for k in range(100, 140):  # one line in six is each document's own
+        lines = [f"{x} of the template" for x in story]
+        lines[k % 6] = sentence(r, 8)
         rows.append((k, "b", "\n".join(lines)))
     rows += [(200, None, sentence(r, 30)), (201, None, None), (202, "a", ""), (None, "a", sentence(r, 25)), (203, "b", "x " * 40), (203, "b", "x " * 40)]
     return rows
@@ -101,6 +94,7 @@ def test_lines_of_a_host(spark):
     assert all(found[k][-2] and found[k][-1] > 0 for k in range(40))  # the footer goes, the text stays
     assert not any(found[k][-2] for k in range(40, 60))  # nothing is left
     assert all(found[k][-2] and found[k][-1] == 0 for k in range(60, 100))  # copies are not boilerplate
+    assert not any(found[k][-2] for k in range(100, 140))  # a template with a line of its own is
 
 
 def test_other_limits(spark):
@@ -136,3 +130,25 @@ def test_one_limit_for_every_host(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     gone = {r["doc_id"]: r["n_common_words"] for r in rules.verdicts(table).collect()}
     assert all(gone[k] == (9 if k < 60 else 0) for k in gone)
+
+
+def test_pages_that_are_mostly_template(spark):
+    """500 different pages with 60 words of template: with 20 words of their own they lose it, with 10 they go; 500 copies
+    of one page are one document."""
+    r = random.Random(8)
+    template = "\n".join(sentence(r, 12) for _ in range(5))
+    one = sentence(r, 10)
+    rows = []
+    for k in range(500):
+        rows += [(k, "some", template + "\n" + sentence(r, 20)), (1000 + k, "thin", template + "\n" + sentence(r, 10)), (2000 + k, "copied", template + "\n" + one)]
+    found = check(spark, rows)
+    assert all(found[k][-2:] == (True, 60) and found[1000 + k][-2:] == (False, 60) and found[2000 + k][-2:] == (True, 0) for k in range(500))
+
+
+def test_as_many_documents_as_the_limit(spark):
+    """A line goes with one document above the limit, however many copies those have."""
+    r = random.Random(9)
+    for n, gone in ((20, 0), (21, 5)):
+        texts = ["a line of five words\n" + sentence(r, 25) for _ in range(n)]
+        rows = [(i * 10 + j, "h", t) for i, t in enumerate(texts) for j in range(3)]
+        assert {x[-1] for x in check(spark, rows).values()} == {gone}

@@ -141,18 +141,12 @@ plain AS (SELECT rid, host, n, trim(line, chr(9) || chr(10) || chr(11) || chr(12
                  regexp_replace(trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), '[0-9]', '0', 'g') AS norm FROM lines),
 own AS (SELECT rid, host, CASE WHEN norm = '' THEN bare ELSE norm END AS norm, sum(n) AS n FROM plain GROUP BY ALL),
 hosts AS (SELECT host, greatest({rules.MIN_DOCS}, {rules.SHARE} * count(*)) AS most FROM docs GROUP BY host),
-often AS (
-  SELECT o.host, norm, count(*) AS held, any_value(most) AS most FROM own o JOIN hosts h ON o.host IS NOT DISTINCT FROM h.host
-  GROUP BY o.host, norm HAVING count(*) > any_value(most)),
-met AS (SELECT o.rid, o.host, o.norm, o.n, f.held, f.most FROM own o JOIN often f ON o.host IS NOT DISTINCT FROM f.host AND o.norm = f.norm),
-totals AS (SELECT rid, sum(n) AS total FROM own GROUP BY rid),
-ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY rid ORDER BY held DESC, n DESC, norm DESC ROWS UNBOUNDED PRECEDING) AS upto FROM met JOIN totals USING (rid)),
-middles AS (SELECT rid, coalesce(max(held) FILTER (2 * (upto - n) < total AND 2 * upto >= total), 1) AS middle FROM ranked GROUP BY rid),
+sets AS (SELECT rid, string_agg(norm, chr(10) ORDER BY norm) AS lines FROM own GROUP BY rid),
 common AS (
-  SELECT host, norm FROM met JOIN middles USING (rid) GROUP BY host, norm HAVING sum(1.0 / middle) > any_value(most)),
+  SELECT o.host, norm FROM own o JOIN sets USING (rid) JOIN hosts h ON o.host IS NOT DISTINCT FROM h.host
+  GROUP BY o.host, norm HAVING count(DISTINCT lines) > any_value(most)),
 gone AS (
-  SELECT rid, sum(n) AS gone FROM met m JOIN common c ON m.host IS NOT DISTINCT FROM c.host AND m.norm = c.norm GROUP BY rid),
+  SELECT rid, sum(n) AS gone FROM own m JOIN common c ON m.host IS NOT DISTINCT FROM c.host AND m.norm = c.norm GROUP BY rid),
 measured AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
          (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

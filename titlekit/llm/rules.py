@@ -5,11 +5,11 @@ reject it. For the others lines are compared across documents: each line is norm
 other characters than letters and digits as one blank) and hashed, and documents of the same host are counted by line.
 Lines above the limits are boilerplate; they are taken out, and a document of which too little is left is rejected.
 
-Copies of a document are not independent witnesses: all of their lines are frequent, and yet they are no boilerplate. So
-a document counts for the reciprocal of the number of documents that share at least half of its words line by line (the
-word-weighted median of its lines' counts). A thousand copies count as one document, near copies as little more, while a
-footer under a thousand different texts counts a thousand times. A line above the limits has more than ``min_docs`` such
-documents, and more than ``share`` of the host's (0 unless it is given: one absolute limit for every host).
+Copies of a document are one document: rows of a host with the same set of normalised lines count once, so a line's count
+is the number of distinct documents that hold it, a whole number that no order of rows changes. Whatever else two
+documents share, they count as two: pages that are mostly one template are what the count is for, and so are texts of
+which one line in six was rewritten. A line above the limits is held by more than ``min_docs`` documents, and by more than
+``share`` of the host's rows (0 unless it is given: one absolute limit for every host).
 
 The text is read once; from then on only hashes of lines move. Counts are summed before each shuffle, so a line in every
 document is no hot key, and the rows of frequent lines meet their counts by a measured broadcast or a salted join.
@@ -120,29 +120,22 @@ def judged(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, left
     measured = by_slice(spread(rows), measure, MEASURES)
     marked = measured.withColumns({"row": F.monotonically_increasing_id(), "failed": base_failed()})
     kept = materialise(marked)  # row numbers stay as they are written down here
-    lines = kept.select("row", F.col("host").alias("h"), F.explode("lines").alias("l"))
-    lines = lines.select("row", F.xxhash64(F.coalesce(F.col("h"), F.lit("")), F.col("h").isNull(), "l.hash").alias("line"), F.col("l.hash").alias("hash"), F.xxhash64(F.coalesce(F.col("h"), F.lit("")), F.col("h").isNull()).alias("host_key"), "l.words")
+    host_key = F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull())
+    copy = F.xxhash64(F.array_sort(F.transform("lines", lambda x: x["hash"])))  # rows with equal lines are one document
+    lines = kept.select("row", host_key.alias("host_key"), copy.alias("copy"), F.inline("lines"))
+    lines = lines.withColumn("line", F.xxhash64("host_key", "hash"))
 
     hosts = kept.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    hosts = hosts.select(F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull()).alias("host_key"), F.greatest(F.lit(float(min_docs)), share * F.col("docs")).alias("limit"))
-    often = lines.groupBy("line", "host_key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
-    often = materialise(lookup_join(often, hosts, ["host_key"]).where("docs > limit").select("line", "docs", "limit"))
-
-    # documents that have frequent lines: how common the middle word's line is
-    found = lookup_join(lines.select("row", "line", "hash", "words"), often, ["line"])
-    totals = kept.select("row", F.aggregate("lines", F.lit(0).cast("bigint"), lambda t, x: t + x["words"]).alias("total"))
-    grouped = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("docs", "words", "line", "hash", "limit")), asc=False).alias("own"))
-    grouped = grouped.join(totals, "row")
-    middle = F.aggregate(
-        "own",
-        F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(1).cast("bigint").alias("docs")),
-        lambda t, x: F.struct((t["words"] + x["words"]).alias("words"), F.when((2 * t["words"] < F.col("total")) & (2 * (t["words"] + x["words"]) >= F.col("total")), x["docs"]).otherwise(t["docs"]).alias("docs")),
-        lambda t: t["docs"],
-    )
-    weighed = materialise(grouped.select("row", (1 / middle).alias("weight"), "own"))
-    own = weighed.select("row", "weight", F.inline("own"))
-    common = own.groupBy("line", "limit").agg(F.sum("weight").alias("docs")).where(F.col("docs") > F.col("limit")).select("line")
-    gone = lookup_join(own.select("row", "line", "hash", "words"), materialise(common), ["line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hash").alias("common_lines"))
+    hosts = hosts.select(host_key.alias("host_key"), F.greatest(F.lit(float(min_docs)), share * F.col("docs")).alias("limit"))
+    often = lines.groupBy("line", "host_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > min_docs)
+    often = materialise(lookup_join(often, hosts, ["host_key"]).where("rows > limit").select("line", "limit"))
+
+    # only lines with so many rows can have so many documents
+    found = materialise(lookup_join(lines.select("row", "line", "hash", "words", "copy"), often, ["line"]))
+    docs = found.select("line", "limit", "copy").distinct().groupBy("line", "limit").agg(F.count(F.lit(1)).alias("docs"))
+    common = materialise(docs.where("docs > limit").select("line"))
+    gone = lookup_join(found.select("row", "line", "hash", "words"), common, ["line"])
+    gone = gone.groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hash").alias("common_lines"))
     out = kept.join(gone, "row", "left").withColumn("n_common_words", F.coalesce("gone", F.lit(0).cast("bigint")))
     left = F.col("n_words") - F.col("n_common_words")
     depleted = (F.col("n_common_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
