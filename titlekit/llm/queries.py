@@ -141,7 +141,7 @@ plain AS (SELECT rid, host, n, trim(line, chr(9) || chr(10) || chr(11) || chr(12
                  regexp_replace(trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), '[0-9]', '0', 'g') AS norm FROM lines),
 own AS (SELECT rid, host, CASE WHEN norm = '' THEN bare ELSE norm END AS norm, sum(n) AS n FROM plain GROUP BY ALL),
 hosts AS (SELECT host, greatest({rules.MIN_DOCS}, {rules.SHARE} * count(*)) AS most FROM docs GROUP BY host),
-sets AS (SELECT rid, string_agg(norm, chr(10) ORDER BY norm) AS lines FROM own GROUP BY rid),
+sets AS (SELECT rid, md5(string_agg(norm, chr(10) ORDER BY norm)) AS lines FROM own GROUP BY rid),
 common AS (
   SELECT o.host, norm FROM own o JOIN sets USING (rid) JOIN hosts h ON o.host IS NOT DISTINCT FROM h.host
   GROUP BY o.host, norm HAVING count(DISTINCT lines) > any_value(most)),
