@@ -260,3 +260,21 @@ def test_defaults():
     wanted = {"k": 5, "topTreeSize": 1000, "topTreeLeafSize": 10, "subTreeLeafSize": 30, "bufferSize": -1.0, "balanceThreshold": 0.7}
     assert wanted.items() <= values.items() and values["maxDistance"] == math.inf
     assert values["bufferSizeSampleSizes"] == list(range(100, 1001, 100))
+
+
+def test_a_task_holds_a_bounded_part(spark, monkeypatch):
+    """Queries, pairs and results of a task are bounded, whatever k and however many queries a cell draws."""
+    for asked, rows, k in ((600_000, 600_000, 5), (600_000, 3_000, 5), (12_000, 50_000, 600_000), (2_000_000, 10, 10**9)):
+        part = -(-asked // search_module.task_parts(asked, rows, k, 64))
+        held = min(rows, cells_module.block_rows(64))
+        assert max(part, held) * 64 * 8 <= 8 << 20
+        assert part * held <= search_module.TASK_PAIRS and part * min(k, held) <= search_module.TASK_FOUND + held
+    monkeypatch.setattr(search_module, "TASK_FOUND", 40)
+    monkeypatch.setattr(search_module, "VISITS_AT_ONCE", 7)
+    train, queries = points(120), points(40, seed=1)
+    t, q = frames(spark, train, queries)
+    index = fit_cells(t, buffer_size=0.0, top_tree_size=40, spill="train")
+    assert listed(knn_cells(index, q, k=120), queries) == brute(train, queries, 120)
+    index = fit_cells(t, buffer_size=0.0, top_tree_size=40)
+    assert listed(knn_exact_pruned(index, q, k=30), queries) == brute(train, queries, 30)
+    assert listed(knn_cells(index, q, k=30, tau=math.inf), queries) == brute(train, queries, 30)
