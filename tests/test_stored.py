@@ -230,3 +230,16 @@ def test_models_on_an_index_in_a_folder(spark, tmp_path):
     means = {i: sum(t % 3 for t in near) / 3 for i, near in want.items()}
     for model in (fitted, again):
         assert {r["tid"]: pytest.approx(r["prediction"]) for r in model.transform(asked).collect()} == means
+
+
+def test_every_cell_is_searched_without_a_beam(spark, shelf, monkeypatch):
+    """A beam of all cells would grow with the queries times the cells."""
+    train, _, index = shelf
+    queries = points(20, dims=3, seed=1)
+    q = frames(spark, [], queries)[1]
+    cells = index.cells.count()
+    near = listed(search_stored(index, q, probes=cells - 1), queries)
+    monkeypatch.setattr(stored_module, "TASK_FOUND", 9)
+    assert listed(search_stored(index, q, probes=cells - 1), queries) == near
+    monkeypatch.setattr(stored_module, "beams", None)
+    assert listed(search_stored(index, q, probes=cells), queries) == brute(train, queries, 5)

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlekit.knn.cells import BUNDLE_ROWS, BUNDLES_PER_CORE, block_rows, vector_rows
+from titlekit.knn.cells import BUNDLE_ROWS, BUNDLES_PER_CORE, block_rows, cell_rows, vector_rows
 from titlekit.knn.probing import DEFAULT_RECALL, SAMPLE_QUERIES, exact_of_sample, probes_for, sampled_queries
-from titlekit.knn.search import DEFAULT_K, TASK_PAIRS, _arrow_schema, _ranked, _searcher
+from titlekit.knn.search import DEFAULT_K, TASK_FOUND, TASK_PAIRS, _arrow_schema, _ranked, _searcher, knn_exact
 from titlekit.knn.tree import PivotTree
 from titlekit.knn.vectors import block
 from titlekit.operators.lookup import lookup_join
@@ -180,7 +180,7 @@ def store_index(train: DataFrame, folder: str, id_col: str = "tid", features_col
         raise ValueError("no training vectors")
     if dimensions != least:
         raise ValueError("vectors differ in length")
-    max_cell_rows = max_cell_rows or block_rows(dimensions)
+    max_cell_rows = max_cell_rows or cell_rows(dimensions)
     settled, moving, levels = [], rows, []
     for level in range(MOST_LEVELS):
         counts = moving.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell_rows)
@@ -337,13 +337,16 @@ def search_stored(index: StoredIndex, queries: DataFrame, id_col: str = "qid", f
     """Neighbours ``qid, tid, distance, rank, aux...`` among the visited cells of a stored index.
 
     ``probes`` cells are visited by each query, or as many as ``recall`` needs (``DEFAULT_RECALL`` if neither is given); with
-    at least as many probes as the index has cells the result is exact.
+    at least as many probes as the index has cells the result is exact. No beam of all cells is then formed, which would
+    grow with the queries times the cells: blocks of the stored rows meet parts of the queries.
     """
     if k < 1 or not max_distance > 0:
         raise ValueError("k is at least 1 and the greatest distance above 0")
     asked = vector_rows(queries, id_col, features_col, (), "qid")
     if probes is None:
         probes = needed_probes(index, asked, k, recall or DEFAULT_RECALL, max_distance, limit=limit)
+    if probes >= index.cells.count():
+        return knn_exact(index.rows, asked, k, max_distance, index.aux)
     beam = materialise(beams(index, asked, probes, limit))
     visits = beam.select("qid", F.explode("beam.cell").alias("cell"))
     placed = lookup_join(visits, index.cells.select("cell", "bundle", "blocks"), ["cell"])
@@ -352,8 +355,10 @@ def search_stored(index: StoredIndex, queries: DataFrame, id_col: str = "qid", f
 
     rows_of = index.cells.groupBy("bundle").agg(F.sum("n").alias("n"))
     rows_at_once = block_rows(index.dimensions)
+    held = F.least("n", F.lit(rows_at_once))
     counts = routed.groupBy("bundle").agg(F.count(F.lit(1)).alias("asked")).join(rows_of, "bundle")
-    parts = F.greatest(F.ceil(F.col("asked") / rows_at_once), F.ceil(F.col("asked") * F.least("n", F.lit(rows_at_once)) / TASK_PAIRS)).cast("int")
+    most = [F.col("asked") / rows_at_once, F.col("asked") * held / TASK_PAIRS, F.col("asked") * F.least(held, F.lit(k)) / TASK_FOUND]
+    parts = F.greatest(*[F.ceil(x) for x in most]).cast("int")
     hot = materialise(counts.select("bundle", parts.alias("parts")).where("parts > 1"))
 
     schema = T.StructType([routed.schema["qid"], index.rows.schema["tid"], T.StructField("distance", T.DoubleType()), *[index.rows.schema[c] for c in index.aux]])
