@@ -243,3 +243,10 @@ def test_every_cell_is_searched_without_a_beam(spark, shelf, monkeypatch):
     assert listed(search_stored(index, q, probes=cells - 1), queries) == near
     monkeypatch.setattr(stored_module, "beams", None)
     assert listed(search_stored(index, q, probes=cells), queries) == brute(train, queries, 5)
+
+
+def test_rows_that_are_there_twice_count_once(spark, tmp_path):
+    train, queries = points(40, dims=3), points(6, dims=3, seed=1)
+    t, q = frames(spark, train + train[::3], queries)
+    index = store_index(t, str(tmp_path / "twice"), max_cell_rows=5)
+    assert listed(search_stored(index, q, probes=10**6), queries) == brute(train, queries, 5)

@@ -346,7 +346,8 @@ def search_stored(index: StoredIndex, queries: DataFrame, id_col: str = "qid", f
     if probes is None:
         probes = needed_probes(index, asked, k, recall or DEFAULT_RECALL, max_distance, limit=limit)
     if probes >= index.cells.count():
-        return knn_exact(index.rows, asked, k, max_distance, index.aux)
+        # a row that is there twice counts once among the nearest, as in a search by cells
+        return knn_exact(index.rows.dropDuplicates(["tid", "features"]), asked, k, max_distance, index.aux)
     beam = materialise(beams(index, asked, probes, limit))
     visits = beam.select("qid", F.explode("beam.cell").alias("cell"))
     placed = lookup_join(visits, index.cells.select("cell", "bundle", "blocks"), ["cell"])
