@@ -38,7 +38,8 @@ def count_vectors(rows: DataFrame, id_col: str, tokens_col: str, vocabulary: Dat
     """
     pairs = F.array_sort(F.collect_list(F.struct("index", "n")))
     lists = token_totals(rows, id_col, tokens_col, vocabulary).groupBy(id_col).agg(pairs.alias("_pairs"))
-    joined = rows.join(lists, id_col, "left")
+    # as many lists as rows, whatever the planner's estimate says
+    joined = rows.join(lists.hint("merge"), id_col, "left")
     pairs = F.coalesce("_pairs", F.array().cast("array<struct<index:bigint,n:bigint>>"))
     made = F.struct(F.transform(pairs, lambda p: p["index"]).alias("indices"), F.transform(pairs, lambda p: p["n"].cast("double")).alias("counts"))
     return joined.withColumn(out, made).drop("_pairs")

@@ -32,7 +32,8 @@ def known_terms(titles: DataFrame, id_col: str, tokens_col: str, terms: DataFram
                 out: str = "terms") -> DataFrame:
     """Add the list ``out`` of known terms in each title's tokens, first seen first; no title is lost."""
     lists = in_order(term_hits(titles, id_col, tokens_col, terms, term_col), id_col, out)
-    joined = titles.join(lists, id_col, "left")
+    # as many lists as rows, whatever the planner's estimate says
+    joined = titles.join(lists.hint("merge"), id_col, "left")
     return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 

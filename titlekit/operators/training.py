@@ -46,5 +46,6 @@ def without_corpus_words(titles: DataFrame, id_col: str, tokens_col: str, words:
     kept = lookup_join(tokens, lowered, ["word"], "left_anti")
     placed = F.array_sort(F.collect_list(F.struct("pos", "token")))
     lists = kept.groupBy(id_col).agg(F.transform(placed, lambda t: t["token"]).alias(out))
-    joined = titles.join(lists, id_col, "left")
+    # as many lists as rows, whatever the planner's estimate says
+    joined = titles.join(lists.hint("merge"), id_col, "left")
     return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
