@@ -170,6 +170,12 @@ def components(spark, folder):
     )
 
 
+def bucket_entries(vector):
+    """The entries of a sparse vector; an array of all its places would have as many numbers as there are buckets."""
+    entries = F.udf(lambda v: None if v is None else [(int(i), float(x)) for i, x in zip(v.indices, v.values)], "array<struct<bucket:int,held:double>>")
+    return entries(vector)
+
+
 @query("ml7_hashed_counts", f"""
 WITH {PLAIN_SQL},
 grams AS (SELECT id, unnest({merged_sql('t')}) AS token FROM (SELECT id, {tokens_sql('product_name', 2)} AS t FROM titles))
@@ -184,12 +190,13 @@ def hashed_counts(spark, folder):
     grams = rows.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
     tokens = materialise(grams.select("token").distinct())
     alone = tokens.select("token", F.array("token").alias("tokens"))
-    buckets = Pipeline(stages=stages).fit(alone).transform(alone).select("token", F.posexplode(vector_to_array("features")).alias("bucket", "one")).where("one > 0")
+    buckets = Pipeline(stages=stages).fit(alone).transform(alone).select("token", F.inline(bucket_entries("features"))).where("held > 0")
     buckets = materialise(buckets.select("token", "bucket"))
     spread_out = buckets.select("bucket").distinct().count() > 0.9 * buckets.count()
-    held = hashed.select("id", F.posexplode(vector_to_array("features")).alias("bucket", "held")).where("held > 0")
-    expected = grams.join(buckets, "token").withColumn("all", F.sum("n").over(Window.partitionBy("id", "bucket")))
-    met = expected.join(held, ["id", "bucket"], "left")
+    held = hashed.select("id", F.inline(bucket_entries("features"))).where("held > 0")
+    # rows of every title on both sides: none is sent whole through the driver, whatever the planner's estimate says
+    expected = lookup_join(grams, buckets, ["token"]).withColumn("all", F.sum("n").over(Window.partitionBy("id", "bucket")))
+    met = expected.join(held.hint("merge"), ["id", "bucket"], "left")
     return met.groupBy("token").agg(
         F.sum(F.when(F.col("all") == F.col("held"), F.col("n"))).cast("double").alias("total"),
         F.count(F.lit(1)).alias("titles"),
