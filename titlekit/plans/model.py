@@ -24,6 +24,11 @@ WHOLE_VOCABULARY = 2**31 - 1
 #: Stop words that travel with the plan as a list.
 STOP_WORD_ROWS = 100_000
 STOP_WORD_BYTES = 4 * 1024 * 1024
+#: What a task of a forest reads; Spark keeps a row as a number for each feature and each tree.
+TASK_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 1024
+#: Rows of a task that are left where they lie.
+FEW_ROWS = 10_000
 
 
 @dataclass
@@ -82,6 +87,21 @@ def table_vectors(rows: DataFrame, id_col: str, vocabulary: DataFrame) -> DataFr
     return counted.withColumn("features", as_vector("_counts", (-1 if size is None else size) + 1)).drop("_counts")
 
 
+def dealt_to_tasks(rows: DataFrame, num_trees: int, width: int | None = None) -> DataFrame:
+    """Training rows, written down before, in as many parts as a bounded part for each task needs.
+
+    ``width`` is the number of features; without it the different ``tokens`` are counted.
+    """
+    held = rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if largest <= FEW_ROWS:
+        return rows
+    if width is None:
+        width = rows.select(F.explode("tokens").alias("token")).agg(F.approx_count_distinct("token")).first()[0]
+    limit = max(1, TASK_BYTES // (4 * width + 4 * num_trees + ROW_BYTES))
+    return rows if largest <= limit else materialise(rows.repartition(-(-total // limit)))
+
+
 def indexed(features: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add ``label``, the place of the target by frequency, then by name (ML1).
 
@@ -136,6 +156,13 @@ def out_of_fold(rows: DataFrame, estimator: Pipeline, folds: int, keep: tuple[st
     return out
 
 
+def _width(stages: dict, vocabulary: DataFrame | None) -> int | None:
+    """Numbers of a row that the classifier sees, where the options tell."""
+    if stages.get("pca_k") or stages.get("vectors") == "hashed":
+        return stages.get("pca_k") or stages.get("hashed_features") or HASHED_FEATURES
+    return vocabulary.count() if vocabulary is not None else stages.get("vocab_size")
+
+
 def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", num_trees: int = 8,
                      fold_key: str = "title", seed: int = 0, **stages) -> TermModel:
     """Cross-validate and fit the classifier on rows ``tokens, target, stop_words`` (ML1-ML5).
@@ -152,6 +179,7 @@ def train_term_model(features: DataFrame, folds: int = 10, metric: str = "f1", n
         keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
         vocabulary = fit_vocabulary(keyed)
         rows = materialise(table_vectors(keyed, "_row", vocabulary).select("label", "features", "fold"))
+    rows = dealt_to_tasks(rows, num_trees, _width(stages, vocabulary))
     validator = CrossValidator(
         estimator=term_stages(num_trees, seed=seed, **stages),
         estimatorParamMaps=ParamGridBuilder().build(),

@@ -14,7 +14,7 @@ from titlekit.operators.gazetteer import checked_prediction, known_terms
 from titlekit.operators.lookup import lookup_join
 from titlekit.operators.vocabulary import term_vocabulary
 from titlekit.operators.training import training_features
-from titlekit.plans.model import dealt, halves, indexed, out_of_fold, table_vectors, term_stages, train_term_model
+from titlekit.plans.model import dealt, dealt_to_tasks, halves, indexed, out_of_fold, table_vectors, term_stages, train_term_model
 from titlekit.plans.predict import predict, predict_titles
 from titlekit.plans.train import train
 from titlekit.queries.catalog import LABELLED_SQL, PLAIN_SQL, joined, labelled_titles, merged_sql, plain_titles, query, table, tokens_sql
@@ -53,7 +53,7 @@ def summed_vectors(spark, folder):
 @query("ml3_ml4_ml10_forest")
 def forest(spark, folder):
     rows, _ = indexed(plain_features(spark, folder))
-    rows = materialise(rows.select("id", "label", with_ngrams("tokens").alias("tokens")))
+    rows = dealt_to_tasks(materialise(rows.select("id", "label", with_ngrams("tokens").alias("tokens"))), TREES)
     model = term_stages(TREES).fit(rows)
     return model.transform(rows).select("id", "label", "prediction")
 
@@ -87,7 +87,7 @@ def named_predictions(model, rows, labels):
 
 @query("ml3_ml4_ml10_separable_forest", f"WITH {MARKED_SQL} SELECT id, target, target AS predicted FROM marked")
 def separable_forest(spark, folder):
-    rows, labels = indexed(marked_rows(spark, folder))
+    rows, labels = indexed(dealt_to_tasks(marked_rows(spark, folder), 40))
     return named_predictions(term_stages(40, seed=3).fit(rows), rows, labels)
 
 
@@ -116,7 +116,7 @@ def component_stage(k):
 @query("ml6_components_forest", f"WITH {MARKED_SQL} SELECT id, target, target AS predicted FROM marked")
 def components_forest(spark, folder):
     """The forest on components of hashed counts, by the engine's own stages."""
-    rows, labels = indexed(marked_rows(spark, folder))
+    rows, labels = indexed(dealt_to_tasks(marked_rows(spark, folder), 40, 8))
     return named_predictions(term_stages(40, vectors="hashed", pca_k=8, hashed_features=256, seed=3).fit(rows), rows, labels)
 
 
@@ -127,7 +127,7 @@ def table_vectors_forest(spark, folder):
     path = new_folder(spark, "vocabulary")
     write_table(fit_vocabulary(rows), path)
     vocabulary = spark.read.parquet(path)
-    rows = materialise(table_vectors(rows, "id", vocabulary))
+    rows = dealt_to_tasks(materialise(table_vectors(rows, "id", vocabulary)), 40, vocabulary.count())
     return named_predictions(term_stages(40, vectors="table", seed=3).fit(rows), rows, labels)
 
 
@@ -138,7 +138,7 @@ def out_of_fold_predictions(spark, folder):
     """Rows scored by models that have not seen them, and the metric of all of them together."""
     rows, labels = indexed(marked_rows(spark, folder))
     rows, folds = dealt(rows, "title", FOLDS + 1)
-    rows = materialise(rows)
+    rows = dealt_to_tasks(materialise(rows), 40)
     scored = materialise(out_of_fold(rows, term_stages(40, seed=3), folds, ("id", "target")))
     names = spark.createDataFrame([(float(i), t) for i, t in enumerate(labels)], "prediction double, predicted string")
     f1 = weighted_metrics(scored).select(F.round("f1", 6).alias("f1"))
