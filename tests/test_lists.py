@@ -15,7 +15,8 @@ from titlekit.functions.lists import (
     text_list,
     without_words,
 )
-from titlekit.operators.containment import minimal_terms_of
+from titlekit.operators.containment import minimal_in_order, minimal_terms_of, shortest_runs
+from titlekit.queries import text
 
 
 def test_parse_list(spark):
@@ -76,6 +77,38 @@ def test_both_forms_of_minimal_terms_agree_and_leave_no_nested_term(spark, lists
         assert not any(x != y and y in x for terms in kept.values() for x in terms for y in terms)
 
 
+def test_minimal_lists_in_order_are_the_same_by_search_and_by_join(spark):
+    lists = {1: ["suitcase", "pan", "case", "red pan"], 2: ["red pan", "suitcase"], 3: ["pan"], 4: ["case", "case"], None: ["pan", "red pan"]}
+    rows = [(i, at, t) for i, items in lists.items() for at, t in enumerate(items)]
+    hits = spark.createDataFrame(rows, "id int, pos int, term string")
+    terms = hits.select("term")
+    wanted = {1: ["pan", "case"], 2: ["red pan", "suitcase"], 3: ["pan"], 4: ["case", "case"], None: ["pan", "red pan"]}
+    for long in (None, 3, 0):
+        assert {r["id"]: r["out"] for r in minimal_in_order(hits, "id", "out", terms, long=long).collect()} == wanted
+    whole = minimal_in_order(hits, "id", "out", terms, whole_words=True).collect()
+    assert {r["id"]: r["out"] for r in whole}[1] == ["suitcase", "pan", "case"]
+    assert sorted(r["term"] for r in shortest_runs(terms.distinct()).collect()) == ["case", "pan", "suitcase"]
+
+
+def test_minimal_terms_of_documents_look_only_for_terms_that_can_be_minimal(spark, tmp_path, monkeypatch):
+    items = [("a", "the red suitcase"), ("b", "case"), ("c", None)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "Red suitcase and a case, the red suitcase"), (2, "red suitcase"), (3, "nothing"), (4, None), (None, "the red case"), (2, "case")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    looked_for, hits = [], text.term_hits
+
+    def seen(titles, id_col, tokens_col, terms):
+        looked_for.append({r["term"] for r in terms.collect()})
+        return hits(titles, id_col, tokens_col, terms)
+
+    monkeypatch.setattr(text, "term_hits", seen)
+    found = {r["doc_id"]: r["terms"] for r in text.minimal_document_terms(spark, str(tmp_path)).collect()}
+    assert looked_for[0] == {"the", "red", "suitcase", "case"}
+    # a document without an id is not compared with itself
+    assert found.pop(2) in ("case|red", "red|case")
+    assert found == {1: "red|case|the", None: "the|red|case|the red"}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(first=WORDS, second=WORDS)
 def test_priority_merge_keeps_the_first_list(spark, first, second):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlekit.functions.binding import bound
 from titlekit.functions.lists import minimal_terms
 from titlekit.operators.gazetteer import in_order
 from titlekit.operators.lookup import lookup_join
@@ -12,6 +13,8 @@ from titlekit.session import materialise
 
 #: Items up to which a list is compared with itself inside its row.
 LONG_LIST = 200
+#: Items up to which a list is searched for the few known parts of its items.
+SEARCHED_LIST = 2000
 
 
 def parts_of(term: Column, whole_words: bool = False, lengths: list[int] | None = None) -> Column:
@@ -74,11 +77,45 @@ def without_holders(items: DataFrame, id_col: str, term_col: str, parts: DataFra
     return items.join(holders, [id_col, term_col], "left_anti")
 
 
+def shortest_runs(terms: DataFrame) -> DataFrame:
+    """``(term)``: the terms that hold no other one as a run of whole words.
+
+    Lists of all n-grams of a text have with a term each shorter run of its words, so the others are never minimal there
+    (ARR9), and what holds one of them holds one of these.
+    """
+    longer = nested_pairs(terms, terms, whole_words=True).select("term")
+    return terms.join(longer, "term", "left_anti")
+
+
 def minimal_terms_of(hits: DataFrame, id_col: str, term_col: str = "term", whole_words: bool = False) -> DataFrame:
     """ARR9 on rows ``(id, term, ...)``."""
     return without_holders(hits, id_col, term_col, hits, term_col, whole_words)
 
 
+def minimal_in_order(hits: DataFrame, id_col: str, out: str, terms: DataFrame, whole_words: bool = False,
+                     long: int | None = None) -> DataFrame:
+    """``(id, out)``: ARR9 on rows ``(id, pos, term)`` as one list, in order of place; ``terms`` has every term of them.
+
+    A row brings the parts of its term along, so one grouping by id settles lists of up to ``long`` items; longer ones go
+    by the join of ``minimal_terms_of``. Both give the same terms. Rows without an id are not compared.
+    """
+    limit = SEARCHED_LIST if long is None else long
+    known = terms.select("term").distinct()
+    pairs = materialise(nested_pairs(known, known, whole_words))
+    items = lookup_join(hits.select(id_col, "pos", "term"), pairs, ["term"], "left")
+    lists = materialise(items.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "term", "parts"))).alias("_items")))
+    size = F.size("_items")
+
+    def minimal(all_items: Column, present: Column) -> Column:
+        kept = F.filter(all_items, lambda x: x["parts"].isNull() | ~F.exists(x["parts"], lambda p: F.array_contains(present, p)))
+        return F.transform(kept, lambda x: x["term"])
+
+    present = F.when(F.col(id_col).isNotNull(), F.array_compact(F.transform("_items", lambda x: x["term"])))
+    short = lists.where(size <= limit).select(id_col, bound(minimal, "_items", F.coalesce(present, F.array().cast("array<string>"))).alias(out))
+    rest = lists.where(size > limit).select(id_col, F.inline("_items")).drop("parts")
+    return short.where(F.size(out) > 0).unionByName(in_order(minimal_terms_of(rest, id_col, "term", whole_words), id_col, out))
+
+
 def minimal_lists(titles: DataFrame, id_col: str, list_col: str, out: str, whole_words: bool = False, long: int | None = None) -> DataFrame:
     """``titles`` (unique by ``id``) with ``out``, the list without items that hold another one (ARR9), in the list's order.
 

@@ -6,7 +6,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from titlekit.functions.text import clean_text, ngrams, short_phrases, title_tokens, with_ngrams
-from titlekit.operators.containment import minimal_terms_of
+from titlekit.operators.containment import minimal_in_order, shortest_runs
 from titlekit.operators.gazetteer import in_order, known_terms, term_hits
 from titlekit.operators.phrases import noun_phrases, phrase_candidates, tag_words, text_words
 from titlekit.operators.training import corpus_stop_words, training_features, without_corpus_words
@@ -179,9 +179,10 @@ hits AS (
   SELECT doc_id, term, min(pos) AS pos FROM grams WHERE term IN (SELECT term FROM known) GROUP BY doc_id, term)"""
 
 
-def document_grams(spark, folder):
-    texts = documents(spark, folder)
-    return texts.select("doc_id", with_ngrams(title_tokens("text", 3)).alias("tokens"))
+def document_grams(spark, folder, longer=True):
+    """Words of every document, and with ``longer`` their 2-grams and 3-grams."""
+    words = title_tokens("text", 3)
+    return documents(spark, folder).select("doc_id", (with_ngrams(words) if longer else words).alias("tokens"))
 
 
 @query("join2_gazetteer_terms", f"""
@@ -200,5 +201,14 @@ FROM hits x
 WHERE NOT EXISTS (SELECT 1 FROM hits y WHERE y.doc_id = x.doc_id AND y.term <> x.term AND contains(x.term, y.term))
 GROUP BY doc_id""")
 def minimal_document_terms(spark, folder):
-    hits = materialise(term_hits(document_grams(spark, folder), "doc_id", "tokens", benchmark_terms(spark, folder)))
-    return in_order(minimal_terms_of(hits, "doc_id"), "doc_id", "terms").select("doc_id", joined("terms"))
+    """Terms that hold another one as a run of words are never minimal in a document's n-grams, so they are not looked for.
+
+    Documents without an id are not compared with each other: they keep all their terms.
+    """
+    known = benchmark_terms(spark, folder)
+    terms = materialise(shortest_runs(known))
+    longer = not terms.where(F.contains("term", F.lit(" "))).isEmpty()
+    hits = term_hits(document_grams(spark, folder, longer).where("doc_id is not null"), "doc_id", "tokens", terms)
+    unnamed = term_hits(document_grams(spark, folder).where("doc_id is null"), "doc_id", "tokens", known)
+    lists = minimal_in_order(hits, "doc_id", "terms", terms).unionByName(in_order(unnamed, "doc_id", "terms"))
+    return lists.select("doc_id", joined("terms"))
